@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .core import col, first_match
 
@@ -96,7 +97,7 @@ CONTEXT_MARGIN = 160
 QUOTE_MARGIN = 320
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
     """Character references as text; Spark has no built-in for the full table."""
     return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
