@@ -197,38 +197,40 @@ def _compare_metrics(current, prior, fallback: str, source) -> Column:
     return guarded(absent, [], _flag(current["value"] > prior["value"]), source)
 
 
-def derived_metrics(
-    now: Callable[[str], Column],
-    prior: Callable[[str], Column],
-    price: Column,
-    shares: Column,
-    shares_at_period: Column,
-    prior_shares: Column,
-    interest_cap: float,
-    ratio_cap: float,
-) -> dict[str, Column]:
-    """All metrics for one (security, period, knowledge state) row.
-
-    `now` and `prior` give the input struct of this and the prior fiscal year.
+def with_derived_metrics(
+    rows, price: str, shares: str, shares_at_period: str, prior_shares: str, interest_cap: float, ratio_cap: float
+):
+    """Add every metric to rows of input structs (`prior_` ones for the year before).
+
+    Shared terms become columns of their own first, so each is computed once per
+    row and the expressions stay small enough to compile.
     """
-    cap = market_cap_input(shares, price)
-    debt = present_total(now("short_term_debt"), now("long_term_debt"))
-    earned = ebitda(now("operating_income"), now("depreciation_amortization"))
-    margin = gross_margin(now("gross_profit"), now("revenue"), now("cost_of_revenue"))
-    margin_before = gross_margin(prior("gross_profit"), prior("revenue"), prior("cost_of_revenue"))
-    liquid = current_ratio(now("current_assets"), now("current_liabilities"), ratio_cap)
-    liquid_before = current_ratio(prior("current_assets"), prior("current_liabilities"), ratio_cap)
+    now = F.col
+    prior = lambda name: F.col(f"prior_{name}")
+    rows = rows.withColumns(
+        {
+            "_cap": market_cap_input(now(shares), price),
+            "_debt": present_total(now("short_term_debt"), now("long_term_debt")),
+            "_earned": ebitda(now("operating_income"), now("depreciation_amortization")),
+            "_margin": gross_margin(now("gross_profit"), now("revenue"), now("cost_of_revenue")),
+            "_margin_before": gross_margin(prior("gross_profit"), prior("revenue"), prior("cost_of_revenue")),
+            "_liquid": current_ratio(now("current_assets"), now("current_liabilities"), ratio_cap),
+            "_liquid_before": current_ratio(prior("current_assets"), prior("current_liabilities"), ratio_cap),
+            "_held": F.when(now(shares_at_period)["value"].isNotNull(), now(shares_at_period)).otherwise(now(shares)),
+        }
+    )
+    rows = rows.withColumn("_ev", enterprise_value(now("_cap"), now("_debt"), now("cash")))
+    cap, debt, earned, margin, liquid, held = (now(f"_{n}") for n in ("cap", "debt", "earned", "margin", "liquid", "held"))
     revenue, income, assets, cfo = now("revenue"), now("net_income"), now("assets"), now("cfo")
     equity, capex = now("stockholders_equity"), now("capex")
-    held = F.when(shares_at_period["value"].isNotNull(), shares_at_period).otherwise(shares)
     bad_assets = [(assets["value"] <= 0, "assets<=0")]
-    return {
-        "pe": price_earnings(cap, now("eps_diluted"), price, income),
+    columns = {
+        "pe": price_earnings(cap, now("eps_diluted"), now(price), income),
         "pb": guarded(
             missing_names(market_cap=cap, equity=equity), [(equity["value"] <= 0, "book_value<=0")],
             _over(cap["value"], equity["value"]), equity,
         ),
-        "ev_ebitda": ev_to_ebitda(enterprise_value(cap, debt, now("cash")), earned),
+        "ev_ebitda": ev_to_ebitda(now("_ev"), earned),
         "fcf_yield": guarded(
             missing_names(cfo=cfo, capex=capex, market_cap=cap), [(cap["value"] <= 0, "market_cap<=0")],
             _over(cfo["value"] - F.abs(capex["value"]), cap["value"]), cfo,
@@ -243,7 +245,7 @@ def derived_metrics(
             [(prior("revenue")["value"] <= 0, "prior_revenue<=0")],
             _over(revenue["value"], prior("revenue")["value"]) - 1.0, revenue,
         ),
-        "shares_outstanding": guarded(missing_names(shares_outstanding=shares), [], shares["value"], shares),
+        "shares_outstanding_metric": guarded(missing_names(shares_outstanding=now(shares)), [], now(shares)["value"], now(shares)),
         "piotroski_roa_positive": guarded(
             missing_names(net_income=income, assets=assets), bad_assets,
             _flag(_over(income["value"], assets["value"]) > 0), income,
@@ -262,17 +264,18 @@ def derived_metrics(
             ("long_term_debt", "assets", "prior_long_term_debt", "prior_assets"), lambda a, b: a < b,
             now("long_term_debt"),
         ),
-        "piotroski_current_ratio_improved": _compare_metrics(liquid, liquid_before, "current_ratio", now("current_assets")),
+        "piotroski_current_ratio_improved": _compare_metrics(liquid, now("_liquid_before"), "current_ratio", now("current_assets")),
         "piotroski_no_new_shares": guarded(
-            missing_names(shares=held, prior_shares=prior_shares), [],
-            _flag(held["value"] <= prior_shares["value"]), held,
+            missing_names(shares=held, prior_shares=now(prior_shares)), [],
+            _flag(held["value"] <= now(prior_shares)["value"]), held,
         ),
-        "piotroski_gross_margin_improved": _compare_metrics(margin, margin_before, "gross_margin", revenue),
+        "piotroski_gross_margin_improved": _compare_metrics(margin, now("_margin_before"), "gross_margin", revenue),
         "piotroski_asset_turnover_improved": _compare_ratios(
             revenue, assets, prior("revenue"), prior("assets"),
             ("revenue", "assets", "prior_revenue", "prior_assets"), lambda a, b: a > b, revenue,
         ),
     }
+    return rows.withColumns(columns)
 
 
 def f_score(value: Callable[[str], Column], has_prior) -> Column:

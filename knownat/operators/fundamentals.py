@@ -220,43 +220,42 @@ def derived_fundamentals(
         ["security_id"], "_known_on", "date", ["close", "price_date"],
     ).withColumnRenamed("close", "market_cap_price_used").withColumnRenamed("price_date", "market_cap_price_date")
 
-    price = F.col("market_cap_price_used")
     held = F.when(F.col("_shares.value").isNotNull(), F.col("_shares")).otherwise(F.col("shares_outstanding"))
     rows = rows.withColumn("_shares", held)
     any_base = F.coalesce(*[F.col(f"{n}.value") for n in ("revenue", "net_income", "assets", "stockholders_equity")])
     rows = rows.where(any_base.isNotNull())
-    columns = M.derived_metrics(
-        lambda n: F.col(n), lambda n: F.col(f"prior_{n}"), price, F.col("_shares"), F.col("_shares_at_period"),
-        F.col("_prior_shares"), params.interest_coverage_cap, params.current_ratio_cap,
+    rows = M.with_derived_metrics(
+        rows, "market_cap_price_used", "_shares", "_shares_at_period", "_prior_shares",
+        params.interest_coverage_cap, params.current_ratio_cap,
     )
-    cap = M.market_cap_input(F.col("_shares"), price)
     applicable = M.model_applicable("sic_code")
+    metric = lambda n: F.col("shares_outstanding_metric" if n == "shares_outstanding" else n)
     out = rows.select(
         "security_id", "cik", "period_end", "prior_end", "knowledge_date",
         F.lit(params.mapping_version).alias("mapping_version"),
-        cap["value"].alias("market_cap"),
-        M.market_cap_confidence(cap, "class_count").alias("market_cap_confidence"),
+        F.col("_cap.value").alias("market_cap"),
+        M.market_cap_confidence(F.col("_cap"), "class_count").alias("market_cap_confidence"),
         F.col("_shares.value").alias("market_cap_shares_used"),
         "market_cap_price_used", "market_cap_price_date",
         applicable["applicable"].alias("model_applicable"),
         applicable["label"].alias("not_applicable_label"),
-        *[c.alias(n) for n, c in columns.items()],
+        *[metric(n).alias(n) for n in M.ALL_METRICS],
     )
-    absent = F.filter(
-        F.array(*[F.when(F.col(f"{n}.value").isNull(), F.struct(F.lit(n).alias("key"), F.col(f"{n}.reason").alias("value"))) for n in columns]),
-        lambda e: e.isNotNull(),
+    # (name, value, concept, accession, reason) of every metric, once, as an array
+    every = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("m")) for n in sorted(M.ALL_METRICS)])
+    out = out.withColumn("_every", every)
+    absent = F.filter("_every", lambda e: e["m"]["value"].isNull())
+    used = F.transform(
+        "_every",
+        lambda e: F.array(e["name"], F.coalesce(e["m"]["concept"], F.lit("")), F.coalesce(e["m"]["accession"], F.lit("")), canonical_text(e["m"]["value"], "double")),
     )
-    used = F.array(*[
-        F.array(F.lit(n), F.coalesce(F.col(f"{n}.concept"), F.lit("")), F.coalesce(F.col(f"{n}.accession"), F.lit("")), canonical_text(f"{n}.value", "double"))
-        for n in sorted(columns)
-    ])
     return out.withColumns(
         {
-            "missing": F.map_from_entries(absent),
+            "missing": F.map_from_entries(F.transform(absent, lambda e: F.struct(e["name"].alias("key"), e["m"]["reason"].alias("value")))),
             "inputs_complete": F.size(absent) == 0,
             "fact_set_hash": F.sha2(F.to_json(used), 256),
         }
-    )
+    ).drop("_every")
 
 
 def flat_values(fundamentals: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from ..functions import core as C, metrics as M
 from ..operators import asof, calendar as CAL, dilution as DIL, fundamentals as FU, report as REP, risk as RK
 from ..sources import facts as SF, payloads as P, sinks
 from . import adapters as A
-from .registry import query
+from .registry import query, stored
 
 _SPLIT = "fsplits AS (SELECT security_id, ex_date, ratio FROM actions WHERE action_type = 'split' AND ratio > 0 AND NOT requires_manual_review)"
 
@@ -85,8 +85,8 @@ def knowledge_grid(t):
 
 
 @query("asof_pit_fact", "", _pit_sql("""
-    SELECT cik, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, input, round(value, 4) AS value, concept, accession_no AS accession
-    FROM pit WHERE which = 0"""), places=4)
+    SELECT cik, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, input, round(value, 8) AS value, concept, accession_no AS accession
+    FROM pit WHERE which = 0"""), places=8)
 def asof_pit_fact(t):
     mapped, grid = _grid(t)
     rows = FU.resolve_inputs(grid, mapped, list(FU.CONCEPTS))
@@ -150,18 +150,22 @@ _FUND = ", " + ", ".join([
 ])
 
 
-def _fund(t):
+def _derive(t):
     return FU.derived_fundamentals(A.facts(t), A.companies(t), A.company_bars(t), since="1996-01-01")
 
 
+def _fund(t):
+    return stored(t, "derived_fundamentals", lambda: _derive(t))
+
+
 @query("derived_fundamentals", "", _pit_sql(_FUND + """
-    SELECT security_id, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, round(cap, 3) AS market_cap, """
-    + ", ".join(f"round({n}, 6) AS {n}" for n in M.SCALARS if n != "shares_outstanding") + ", round(shares_outstanding, 3) AS shares_outstanding FROM m", " companies cbars"))
+    SELECT security_id, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, round(cap, 4) AS market_cap, """
+    + ", ".join(f"round({n}, 9) AS {n}" for n in M.SCALARS if n != "shares_outstanding") + ", round(shares_outstanding, 6) AS shares_outstanding FROM m", " companies cbars"), places=9)
 def derived_fundamentals(t):
-    f = FU.flat_values(_fund(t))
+    f = FU.flat_values(_derive(t))
     return f.select(
-        "security_id", "period_end", "knowledge_date", F.round("market_cap", 3).alias("market_cap"), *[n for n in M.SCALARS if n != "shares_outstanding"],
-        F.round("shares_outstanding", 3).alias("shares_outstanding"),
+        "security_id", "period_end", "knowledge_date", F.round("market_cap", 4).alias("market_cap"), *[n for n in M.SCALARS if n != "shares_outstanding"],
+        F.round("shares_outstanding", 6).alias("shares_outstanding"),
     )
 
 
@@ -177,18 +181,18 @@ def piotroski_flags(t):
 
 @query("fundamentals_at", "", _pit_sql(_FUND + """
     , k AS (SELECT * FROM m WHERE knowledge_date <= TIMESTAMP '2000-06-30 23:59:59')
-    SELECT a.security_id, CAST(a.period_end AS VARCHAR) AS period_end, strftime(a.knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, round(a.pb, 6) AS pb,
+    SELECT a.security_id, CAST(a.period_end AS VARCHAR) AS period_end, strftime(a.knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, round(a.pb, 9) AS pb,
            CAST((SELECT max(b.period_end) FROM k b WHERE b.security_id = a.security_id AND b.period_end < a.period_end) AS VARCHAR) AS prior_period
-    FROM k a QUALIFY row_number() OVER (PARTITION BY a.security_id ORDER BY a.period_end DESC, a.knowledge_date DESC) = 1""", " companies cbars"))
+    FROM k a QUALIFY row_number() OVER (PARTITION BY a.security_id ORDER BY a.period_end DESC, a.knowledge_date DESC) = 1""", " companies cbars"), places=9)
 def fundamentals_at(t):
     out = FU.fundamentals_at(FU.flat_values(_fund(t)), C.end_of_day(F.lit("2000-06-30")))
     return out.select("security_id", "period_end", "knowledge_date", "pb", "prior_period")
 
 
 @query("market_cap_at", "", _pit_sql(_FUND + """
-    SELECT security_id, round(cap, 3) AS market_cap, CASE WHEN class_count > 1 THEN 'low' ELSE 'high' END AS market_cap_confidence
+    SELECT security_id, round(cap, 4) AS market_cap, CASE WHEN class_count > 1 THEN 'low' ELSE 'high' END AS market_cap_confidence
     FROM m WHERE knowledge_date <= TIMESTAMP '2000-06-30 23:59:59' AND cap IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY knowledge_date DESC, period_end DESC) = 1""", " companies cbars"), places=3)
+    QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY knowledge_date DESC, period_end DESC) = 1""", " companies cbars"), places=4)
 def market_cap_at(t):
     return FU.market_cap_at(_fund(t), A.day("2000-06-30"))
 
@@ -219,8 +223,8 @@ def metric_coverage(t):
 
 
 @query("reproduce_check", "", _pit_sql(_FUND + """
-    SELECT security_id, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, 'pb' AS metric, round(pb + 1, 6) AS stored, round(pb, 6) AS recomputed
-    FROM m WHERE pb IS NOT NULL AND security_id % 7 = 0""", " companies cbars"))
+    SELECT security_id, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, 'pb' AS metric, round(pb + 1, 9) AS stored, round(pb, 9) AS recomputed
+    FROM m WHERE pb IS NOT NULL AND security_id % 7 = 0""", " companies cbars"), places=9)
 def reproduce_check(t):
     from ..operators import verify as V
 

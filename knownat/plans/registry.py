@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DoubleType, TimestampNTZType, TimestampType
 
+from ..session import cut_lineage
 from .tables_sql import CTES
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,17 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+_STORED: dict[tuple, DataFrame] = {}
+
+
+def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table as later jobs read it: written once, not recomputed inside their plans."""
+    key = (t.spark.sparkContext.applicationId, t.folder, name)
+    if key not in _STORED:
+        _STORED[key] = cut_lineage(build())
+    return _STORED[key]
+
+
 def sql_with(names: str, body: str) -> str:
     """WITH clause of the named common tables, in the given order, before `body`."""
     parts = [f"{n} AS ({CTES[n].strip()})" for n in names.split()]
