@@ -17,9 +17,9 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def latest_set(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Every row at the key's greatest `order` value."""
-    top = df.groupBy(*keys).agg(F.max(order).alias("_top"))
-    on = [df[k].eqNullSafe(top[k]) for k in keys] + [df[order] == top["_top"]]
-    return df.join(top, on).select(*[df[c] for c in df.columns])
+    top = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(F.max(order).alias("_top"))
+    on = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col(order) == F.col("_top")]
+    return df.join(top, on).select(*df.columns)
 
 
 def _bucket(time: Column, days: int) -> Column:
@@ -64,15 +64,14 @@ def asof_join(
         )
     )
     spans = inside.unionByName(carried)
+    spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])], "_from", "_to", "_p")
     lt = left.withColumn("_b", _bucket(F.col(left_time), bucket_days))
-    on = [lt[k] == spans[k] for k in [*keys, "_b"]] + [
-        spans["_from"].isNull() | (lt[left_time] >= spans["_from"]),
-        spans["_to"].isNull() | (lt[left_time] < spans["_to"]),
+    on = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate([*keys, "_b"])] + [
+        F.col("_from").isNull() | (F.col(left_time) >= F.col("_from")),
+        F.col("_to").isNull() | (F.col(left_time) < F.col("_to")),
     ]
     joined = lt.join(spans, on, how)
-    return joined.select(
-        *[lt[c] for c in left.columns], *[spans["_p"][c].alias(f"{prefix}{c}") for c in payload]
-    )
+    return joined.select(*left.columns, *[F.col("_p")[c].alias(f"{prefix}{c}") for c in payload])
 
 
 def symbol_at(

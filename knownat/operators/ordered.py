@@ -24,7 +24,8 @@ def _bounds(df: DataFrame, group: Sequence[str], key: Column, buckets: int) -> D
     sample = df.select(*group, key.alias("_key"))
     order = Window.partitionBy(*group).orderBy(F.xxhash64("_key"), "_key")
     kept = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") < buckets)
-    return kept.groupBy(*group).agg(F.sort_array(F.collect_set("_key")).alias("_bounds"))
+    names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
+    return kept.groupBy(*names).agg(F.sort_array(F.collect_set("_key")).alias("_bounds"))
 
 
 def bucketed(df: DataFrame, key: Column, group: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
@@ -32,8 +33,8 @@ def bucketed(df: DataFrame, key: Column, group: Sequence[str] = (), buckets: int
     bounds = _bounds(df, group, key, buckets)
     keyed = df.withColumn("_key", key)
     if group:
-        on = [keyed[g].eqNullSafe(bounds[g]) for g in group]
-        joined = keyed.join(bounds, on, "left").select(*[keyed[c] for c in keyed.columns], bounds["_bounds"])
+        on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
+        joined = keyed.join(bounds, on, "left").select(*keyed.columns, "_bounds")
     else:
         joined = keyed.join(F.broadcast(bounds))  # one row of at most `buckets` keys
     steps = F.array(*[F.lit(s) for s in _STEPS])
@@ -47,9 +48,11 @@ def bucketed(df: DataFrame, key: Column, group: Sequence[str] = (), buckets: int
 
 
 def _carry_back(rows: DataFrame, carry: DataFrame, group: Sequence[str]) -> DataFrame:
-    on = [rows[c].eqNullSafe(carry[c]) for c in [*group, "_bucket"]]
-    extra = [c for c in carry.columns if c not in {*group, "_bucket"}]
-    return rows.join(carry, on).select(*[rows[c] for c in rows.columns], *[carry[c] for c in extra])
+    keys = [*group, "_bucket"]
+    extra = [c for c in carry.columns if c not in keys]
+    named = carry.select(*[F.col(k).alias(f"_g{i}") for i, k in enumerate(keys)], *extra)
+    on = [F.col(k).eqNullSafe(F.col(f"_g{i}")) for i, k in enumerate(keys)]
+    return rows.join(named, on).select(*rows.columns, *extra)
 
 
 def _windows(group: Sequence[str], order: Sequence[Column]):

@@ -35,8 +35,8 @@ def midrank(df: DataFrame, value: str, group: Sequence[str] = (), prefix: str =
             F.lit(100.0) * (below + (F.col("_equal") - 1) / F.lit(2.0)) / (F.col("_population") - 1),
         ).alias(pct),
     )
-    on = [df[g].eqNullSafe(table[f"_g{i}"]) for i, g in enumerate(group)] + [df[value] == table["_value"]]
-    return df.join(table, on, "left").select(*[df[c] for c in df.columns], table[n], table[pct])
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col(value) == F.col("_value")]
+    return df.join(table, on, "left").select(*df.columns, n, pct)
 
 
 def oriented(pct, metric) -> Column:
@@ -88,8 +88,10 @@ def competition_rank(df: DataFrame, score: str, population: Sequence[str] = (),
         F.col("_score").alias("_at"),
         (F.col("_upto") - F.col("_equal") + 1).alias(name),
     )
-    on = [keyed[g].eqNullSafe(table[f"_g{i}"]) for i, g in enumerate(population)] + [keyed["_score"] == table["_at"]]
-    return keyed.join(table, on, "left").select(*[keyed[c] for c in df.columns], table[name])
+    kept = [c for c in df.columns if c != name]
+    table = table.withColumnRenamed(name, "_place")
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(population)] + [F.col("_score") == F.col("_at")]
+    return keyed.join(table, on, "left").select(*kept, F.col("_place").alias(name))
 
 
 def weighted_component(

@@ -224,10 +224,7 @@ def select(
     table = done.select(*group, picked.alias("_picked"), *limits)
     # one row per group, holding at most max_candidates keys
     if group:
-        on = [survivors[g].eqNullSafe(table[g]) for g in group]
-        placed = survivors.join(F.broadcast(table), on, "left").select(
-            *[survivors[c] for c in survivors.columns], *[table[c] for c in table.columns if c not in group]
-        )
+        placed = survivors.join(F.broadcast(table), list(group), "left")
     else:
         placed = survivors.join(F.broadcast(table), how="left", on=F.lit(True))
 

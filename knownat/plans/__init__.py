@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables."""
 
-from . import q_facts, q_prices  # noqa: F401
+from . import q_facts, q_ledger, q_prices  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

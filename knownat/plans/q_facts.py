@@ -293,7 +293,8 @@ def risk_rows(t):
 
 
 @query("quarter_streak", "concepts facts", """
-    , q AS (SELECT DISTINCT cik, period_end + CAST(g AS INTEGER) AS period_end FROM (SELECT cik, period_end, unnest([0, -91, -183, -275]) AS g FROM facts WHERE accepted_at IS NOT NULL AND period_start IS NOT NULL AND (accession_no LIKE '%0' OR accession_no LIKE '%1' OR g = 0)) WHERE period_end + CAST(g AS INTEGER) <= DATE '2001-12-31'),
+    , q AS (SELECT DISTINCT cik, period_end + g AS period_end FROM facts, (VALUES (0), (-91), (-183), (-275)) v(g)
+        WHERE accepted_at IS NOT NULL AND period_start IS NOT NULL AND (accession_no LIKE '%0' OR accession_no LIKE '%1' OR g = 0) AND period_end + g <= DATE '2001-12-31'),
     l AS (SELECT cik, period_end, CASE WHEN lag(period_end) OVER (PARTITION BY cik ORDER BY period_end DESC) - period_end > 100 THEN 1 ELSE 0 END AS br FROM q),
     s AS (SELECT cik, sum(br) OVER (PARTITION BY cik ORDER BY period_end DESC) AS brs FROM l)
     SELECT cik, count(*) AS streak FROM s WHERE brs = 0 GROUP BY cik""")
