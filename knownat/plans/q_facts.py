@@ -214,7 +214,7 @@ def null_reasons(t):
 
 @query("metric_coverage", "", _pit_sql(_FUND + """
     , n AS (SELECT * FROM m QUALIFY rank() OVER (PARTITION BY security_id ORDER BY knowledge_date DESC) = 1)
-    SELECT metric, CAST(count(v) AS BIGINT) AS valid_count FROM (UNPIVOT INCLUDE NULLS (SELECT pe, pb, roic, current_ratio FROM n) ON pe, pb, roic, current_ratio INTO NAME metric VALUE v) GROUP BY metric""", " companies cbars"))
+    SELECT 'pe' AS metric, count(pe) AS valid_count FROM n UNION ALL SELECT 'pb', count(pb) FROM n UNION ALL SELECT 'roic', count(roic) FROM n UNION ALL SELECT 'current_ratio', count(current_ratio) FROM n""", " companies cbars"))
 def metric_coverage(t):
     from ..operators import calibrate as CB
 
