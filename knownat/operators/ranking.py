@@ -22,21 +22,28 @@ def midrank(df: DataFrame, value: str, group: Sequence[str] = (), prefix: str =
     population; n < 2 gives NULL. Rows are first counted per distinct value, so a
     value shared by many rows is one row in the ordering step.
     """
-    pct, n = f"{prefix}pct", f"{prefix}n"
+    return _attach(df, _midrank_table(df, value, group, prefix), value, group, prefix)
+
+
+def _midrank_table(df: DataFrame, value: str, group: Sequence[str], prefix: str) -> DataFrame:
+    """Percentile and population per distinct (group, value)."""
     counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_equal"))
     placed = running_sum(counts, F.col(value), "_equal", group, name="_upto", total="_population")
     below = F.col("_upto") - F.col("_equal")
-    table = placed.select(
+    return placed.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
         F.col(value).alias("_value"),
-        F.col("_population").alias(n),
+        F.col("_population").alias(f"{prefix}n"),
         F.when(
             F.col("_population") > 1,
             F.lit(100.0) * (below + (F.col("_equal") - 1) / F.lit(2.0)) / (F.col("_population") - 1),
-        ).alias(pct),
+        ).alias(f"{prefix}pct"),
     )
+
+
+def _attach(df: DataFrame, table: DataFrame, value: str, group: Sequence[str], prefix: str) -> DataFrame:
     on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col(value) == F.col("_value")]
-    return df.join(table, on, "left").select(*df.columns, n, pct)
+    return df.join(table, on, "left").select(*df.columns, f"{prefix}n", f"{prefix}pct")
 
 
 def oriented(pct, metric) -> Column:
@@ -59,8 +66,11 @@ def blended_percentiles(
 
     Adds market_pct, market_n, cohort_pct, cohort_n, blend_w and percentile.
     """
-    out = midrank(df, value, [*population, metric], "market_")
-    out = midrank(out, value, [*population, metric, cohort], "cohort_")
+    wide, narrow = [*population, metric], [*population, metric, cohort]
+    # both tables come from the input itself, so neither ranking is computed inside the other
+    market = _midrank_table(df, value, wide, "market_")
+    peers = _midrank_table(df, value, narrow, "cohort_")
+    out = _attach(_attach(df, market, value, wide, "market_"), peers, value, narrow, "cohort_")
     out = out.withColumn("market_pct", oriented("market_pct", metric))
     out = out.withColumn("cohort_pct", oriented("cohort_pct", metric))
     out = out.withColumn("blend_w", blend_weight("cohort_n", params))

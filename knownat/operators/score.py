@@ -9,6 +9,7 @@ from ..config import FROZEN, Params, digest
 from ..functions import metrics as M
 from ..functions.core import clamp, sha256
 from ..functions.text import cohort_id
+from ..session import cut_lineage
 from . import momentum as MOM
 from .fundamentals import fundamentals_at
 from .ranking import blended_percentiles, competition_rank, midrank, weighted_component
@@ -129,12 +130,14 @@ def score_universe(
     dilution: DataFrame, on: Column, cutoff: Column, params: Params = FROZEN,
 ) -> DataFrame:
     """Scores of a date: ranked, withheld and excluded securities, each with a reason."""
-    known = fundamentals_at(fundamentals, cutoff)
+    known = cut_lineage(fundamentals_at(fundamentals, cutoff))
     decided = universe_decision(securities, known)
     members = decided.where(F.col("status") == "included")
-    scored = composite(components(members, known, momentum, params), bonus, coverage, dilution, params)
+    # the rank reads its input more than once, so components and scores are stored first
+    parts = cut_lineage(components(members, known, momentum, params))
+    scored = composite(parts, bonus, coverage, dilution, params)
     # a stored score is rounded where only float summation order could differ
-    scored = scored.withColumn("composite_score", F.round("composite_score", 9))
+    scored = cut_lineage(scored.withColumn("composite_score", F.round("composite_score", 9)))
     ranked = competition_rank(scored, "composite_score")
     out_of_scope = decided.where(F.col("status") == "excluded").select(
         "security_id", "cohort_id", F.lit(False).alias("rankable"), F.col("exclusion_reason").alias("withhold_reason"),

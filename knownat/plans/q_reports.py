@@ -389,13 +389,14 @@ def _scores(t):
         adjusted = B.adjusted_bars(b, a)
         mom = MOM.momentum_inputs(adjusted, A.benchmark(b), on)
         cols = [c for c in MOM.WEIGHTS]
-        mom = mom.withColumns({c: F.round(c, 9) for c in cols})
+        rounded = mom.withColumns({c: F.round(c, 9) for c in cols})
+        mom = stored(t, "momentum", lambda: rounded)
         f = FU.flat_values(_fund(t))
-        cutoff = C.end_of_day("d")
         ids = A.securities(t)
         x = A.insiders(t)
         caps = FU.market_cap_at(f, on).select("security_id", "market_cap")
-        parts = INS.bonus_parts(INS.scored_purchases(x), on, caps).withColumn("size_ratio", F.round("size_ratio", 9))
+        own = INS.bonus_parts(INS.scored_purchases(x), on, caps).withColumn("size_ratio", F.round("size_ratio", 9))
+        parts = stored(t, "bonus_parts", lambda: own)
         bonus = ids.select("security_id").join(INS.with_size_bonus(parts), "security_id", "left").na.fill(0.0)
         cov = INS.scoring_coverage(ids.select("security_id"), INS.filing_counts(x), _ts("2001-10-30 00:00:00"), on, 96.0)
         dil = ids.select("security_id", (F.col("security_id") % 23).cast("double").alias("dilution_score"))
