@@ -264,7 +264,7 @@ _EXIT = _ENTRY + """,
     SELECT security_id, CAST(entry_date AS VARCHAR) AS entry_date, horizon AS horizon_days, CASE WHEN reason IS NOT NULL OR (del AND DATE '2001-06-30' - gone >= 180) THEN 'closed' WHEN del THEN 'pending_resolution' ELSE 'open' END AS status,
       CAST(CASE WHEN reason IS NOT NULL THEN exit_date WHEN del AND DATE '2001-06-30' - gone >= 180 THEN gone + 180 END AS VARCHAR) AS exit_date,
       CASE WHEN reason IS NOT NULL THEN reason WHEN del AND DATE '2001-06-30' - gone >= 180 THEN 'delisting_zero_after_180d' END AS exit_reason,
-      round(CASE WHEN reason IS NOT NULL THEN raw * (1 - bps * 1e-4) WHEN del AND DATE '2001-06-30' - gone >= 180 THEN 0.0 END, 4) AS exit_price, reason IS NULL AND NOT del AND frozen IS NOT NULL AS requires_manual_review FROM fin"""), places=4)
+      round(CASE WHEN reason IS NOT NULL THEN raw * (1 - bps * 1e-4) WHEN del AND DATE '2001-06-30' - gone >= 180 THEN 0.0 END, 8) AS exit_price, reason IS NULL AND NOT del AND frozen IS NOT NULL AS requires_manual_review FROM fin"""), places=8)
 def barrier_exit(t):
     return _resolved(t).select("security_id", "entry_date", "horizon_days", "status", "exit_date", "exit_reason", "exit_price", "requires_manual_review")
 
