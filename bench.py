@@ -14,10 +14,9 @@ from knownat.plans import QUERIES  # noqa: E402
 from knownat.session import get_spark  # noqa: E402
 
 HEADLINE = (
-    "bars_daily", "adv_trailing", "atr14", "relative_strength", "split_adjusted", "revision_detect", "asof_price",
-    "symbol_at_date", "asof_pit_fact", "restatements", "pct_midrank", "pct_blended", "composite_rank",
-    "insider_cluster", "insider_size", "amendment_link", "filing_class", "going_concern", "suppressions",
-    "threshold_sweep", "gap_entry", "drawdown", "wilson", "trading_weeks", "batch_summary",
+    "bars_daily", "adv_trailing", "atr14", "asof_price", "trading_weeks", "wilson", "batch_summary", "filing_class",
+    "going_concern", "composite_rank", "suppressions", "drawdown", "insider_cluster", "symbol_at_date", "pct_midrank",
+    "split_adjusted", "relative_strength",
 )
 
 
@@ -32,6 +31,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     print(json.dumps({"metric": "headline_total", "value": total, "unit": "sec", "queries": seconds, "sf": folder}))
 
