@@ -57,6 +57,7 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 
 STEP, STARTS = _automaton()
+_STEP, _STARTS = STEP.tolist(), STARTS.tolist()
 _tables: dict[str, np.ndarray] = {}
 
 
@@ -95,6 +96,8 @@ def symbols(points: np.ndarray) -> np.ndarray:
 def slice_starts(points: np.ndarray) -> np.ndarray:
     """Flags where slices start (also at each sentinel that ends a text)."""
     n = len(points)
+    if n <= BLOCK:
+        return _walk(symbols(points))
     rows = -(-n // BLOCK)
     grid = np.full(rows * BLOCK, END, np.uint8)
     grid[:n] = symbols(points)
@@ -115,6 +118,15 @@ def slice_starts(points: np.ndarray) -> np.ndarray:
     return flags.T.ravel()[:n]
 
 
+def _walk(found: np.ndarray) -> np.ndarray:
+    """The same by one step after the other, for short runs."""
+    flags, state = [], FRESH
+    for symbol in found.tolist():
+        flags.append(_STARTS[symbol][state])
+        state = _STEP[symbol][state]
+    return np.array(flags, bool)
+
+
 class Slices:
     """Pre-token slices of a run of texts."""
 

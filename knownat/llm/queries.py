@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import bpe, sharding
+from knownat.llm import bpe, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,12 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.size("slice_ids").cast("bigint").alias("n_slices"),
     )
+
+
+@query
+def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = token_counts.sample_edits(table(spark, folder, "documents").select("doc_id", "text"))
+    counted = token_counts.count_edits(docs, ranks())
+    return counted.select(
+        "doc_id", "n_tokens", "edited_tokens", "encoded_bytes", "edited_bytes", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
+    )
