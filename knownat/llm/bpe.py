@@ -14,6 +14,7 @@ import base64
 import unicodedata
 from collections.abc import Callable, Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +40,7 @@ BLOCK = 256
 #: Slices longer than this are merged with a heap, as their length has no bound.
 LONG = 48
 #: Slices that each worker remembers before it starts anew.
-CACHE = 700_000
+CACHE = 300_000
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -104,15 +105,19 @@ def slice_starts(points: np.ndarray) -> np.ndarray:
     columns = np.ascontiguousarray(grid.reshape(rows, BLOCK).T)
     step, starts = STEP.ravel(), STARTS.ravel()
     whole = np.broadcast_to(np.arange(8, dtype=np.uint8), (rows, 8)).copy()
-    for symbol in columns * np.uint8(8):
+    columns *= np.uint8(8)
+    for at, symbol in enumerate(columns):
+        if not at % 16 and whole.shape[1] > 1 and (whole == whole[:, :1]).all():
+            whole = whole[:, :1]  # by now every entry state leads to the same state in every row
         whole = step[symbol[:, None] + whole]
+    whole = np.broadcast_to(whole, (rows, 8)).copy()
     reach = 1
     while reach < rows:  # each row becomes the composition of all rows up to it
         whole[reach:] = np.take_along_axis(whole[reach:], whole[:-reach], 1)
         reach *= 2
     state = np.concatenate([[FRESH], whole[:-1, FRESH]]).astype(np.uint8)
     flags = np.empty((BLOCK, rows), bool)
-    for at, symbol in enumerate(columns * np.uint8(8)):
+    for at, symbol in enumerate(columns):
         flags[at] = starts[symbol + state]
         state = step[symbol + state]
     return flags.T.ravel()[:n]
@@ -253,9 +258,10 @@ def _encoder(spark: SparkSession, ranks: dict[bytes, int], text: str, schema: T.
         for batch in batches:
             for part in words.slices(batch, text):
                 cut = Slices(part.column(text))
-                found = [merge.ids(piece) for piece in cut]
+                known, ids_of = merge.known.get, merge.ids
+                found = [known(piece) or ids_of(piece) for piece in cut]
                 at = np.concatenate([[0], np.cumsum([len(x) for x in found], dtype=np.int64)]).astype(np.int64)
-                ids = np.fromiter((i for x in found for i in x), np.int32, at[-1])
+                ids = np.fromiter(chain.from_iterable(found), np.int32, at[-1])
                 made = {"ids": lists(ids, at[cut.first])}
                 if keep:
                     text_of = np.repeat(np.arange(part.num_rows), np.diff(cut.first))
@@ -282,7 +288,7 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", output
             made = []
             for i in range(batch.num_rows):
                 chosen = [] if missing and missing[i] else values[where[i] : where[i + 1]].tolist()
-                made.append(b"".join([token[x] for x in chosen]))
+                made.append(b"".join(map(token.__getitem__, chosen)))
             yield with_columns(batch, form, {output: pa.array(made, pa.binary())})
 
     return encoded.mapInArrow(run, schema)

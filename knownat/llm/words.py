@@ -27,7 +27,7 @@ class Words(NamedTuple):
     word_offsets: np.ndarray  # first word of each text; one more than texts
 
 
-def slices(batch: pa.RecordBatch, column: str, target: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about `target` bytes of text, to bound the arrays made from them."""
     if not batch.num_rows:
         return
