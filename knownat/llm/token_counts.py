@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from knownat.llm import bpe, words
 
 #: Bytes before an edit that may change meaning with it: three code points of at most four bytes.
-LOOK_BACK = 12
+LOOK_AROUND = 12
 EDIT = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("removed", T.LongType()), T.StructField("added", T.StringType())]))
 
 
@@ -78,8 +78,8 @@ class CountTree:
         removed = min(max(removed, 0), self.size - at)
         if not removed and not added:
             return
-        first, start = self._leaf(max(at - LOOK_BACK, 0))
-        last, last_start = self._leaf(at + removed)
+        first, start = self._leaf(max(at - LOOK_AROUND, 0))
+        last, last_start = self._leaf(at + removed + 2 * LOOK_AROUND)
         end = last_start + self.sizes[last + self.width]
         old = [s for leaf in self.leaves[first : last + 1] for s in leaf]
         more = 1
@@ -90,8 +90,9 @@ class CountTree:
             moved = len(added) - removed
             limits = np.cumsum([start, *map(len, old)])[:-1]  # where old slices start
             kept = limits[limits >= at + removed] + moved  # those after the edit, where they are now
-            agreed = [x for x in np.intersect1d(cut.starts + start, kept).tolist() if x < start + len(new)]
-            if end == self.size or agreed and self._safe(new, agreed[-1] - start):
+            common = np.intersect1d(cut.starts + start, kept)
+            agreed = common[common < start + len(new) - LOOK_AROUND]  # two more signs follow: its symbol is the true one
+            if end == self.size or len(agreed):
                 break
             grown = min(last + more, len(self.leaves) - 1)  # include more slices to the right
             for leaf in range(last + 1, grown + 1):
@@ -100,10 +101,10 @@ class CountTree:
             last, more = grown, 2 * more
         slices = list(cut)
         if end != self.size:  # from the agreed start on, the old slices hold
-            whole = agreed[-1] - start
+            whole = agreed[0] - start
             sizes = np.cumsum([0, *map(len, slices)])
             slices = slices[: int(np.searchsorted(sizes, whole))]
-            rest = int(np.searchsorted(limits + moved, agreed[-1]))
+            rest = int(np.searchsorted(limits + moved, agreed[0]))
             slices += old[rest:]
         self.encoded += len(new)
         self._set(first, slices)
@@ -111,11 +112,6 @@ class CountTree:
             if self.leaves[leaf]:
                 self._set(leaf, [])
 
-    @staticmethod
-    def _safe(new: bytes, at: int) -> bool:
-        """Whether the sign at `at` has two more signs after it here, so that its symbol is the true one."""
-        return len(new) - at > LOOK_BACK
-
 
 def count_edits(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", edits: str = "edits") -> DataFrame:
     """Add n_tokens, edited_tokens, encoded_bytes (encoded for the edits), edited_bytes and edited_text.
