@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import bpe, sharding, token_counts
+from knownat.llm import bpe, fingerprints, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,3 +52,8 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(
         "doc_id", "n_tokens", "edited_tokens", "encoded_bytes", "edited_bytes", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256")
     )
+
+
+@query
+def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, folder, "documents"))
