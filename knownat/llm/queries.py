@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import bpe, fingerprints, sharding, token_counts
+from knownat.llm import bpe, fingerprints, langid, sharding, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +28,11 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_documents(table(spark, folder, "documents"), shards=8)
 
 
+def remainder(by: int) -> Column:
+    """The crc32 of doc_id as text, modulo `by`; a null doc_id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(by))
+
+
 def ranks() -> dict[bytes, int]:
     return bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
@@ -57,3 +62,10 @@ def op3_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints.compare_edits(table(spark, folder, "documents"))
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
+    model = langid.fit(docs.where(~F.col("held_out")))
+    return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
