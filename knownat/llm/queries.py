@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import bpe, fingerprints, langid, sharding, token_counts
+from knownat.llm import bpe, fingerprints, langid, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,3 +69,12 @@ def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang", (remainder(5) == 0).alias("held_out"))
     model = langid.fit(docs.where(~F.col("held_out")))
     return langid.identify(docs.select("doc_id", "text", "held_out"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(4) == 2).alias("held_out"))
+    labels = table(spark, folder, "labels").select("doc_id", "toxic")
+    model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
