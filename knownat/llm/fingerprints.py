@@ -1,10 +1,13 @@
 """Document fingerprints as invertible Bloom lookup sketches, by DataFrame and SQL functions alone.
 
 A text is cut into paragraphs (here: at line ends and after sentence ends) and each distinct paragraph becomes a 64-bit
-digest. A sketch has CELLS cells in three parts; a digest falls into one cell of each part. A cell holds how many
-digests fell into it, the exclusive or of them and that of their checks. Subtracting the sketches of two versions cell by
-cell leaves only what differs; peeling takes a cell that holds one digest, removes that digest from its other cells, and
-so on. Where peeling gets stuck, the two versions are sketched anew into twice as many groups of cells.
+digest. A sketch has three parts of cells; a digest falls into one cell of each part. A cell holds how many digests fell
+into it, the exclusive or of them and that of their checks. Subtracting the sketches of two versions cell by cell leaves
+only what differs; peeling takes the cells that hold one digest, removes those digests from their other cells, and so on.
+Where peeling gets stuck, the two versions are sketched anew with twice the cells.
+
+Cells are rows: sketches are sums and exclusive ors by cell, and a round of peeling is an explode and two such sums. So
+the cost follows the number of paragraphs, however long a text is, and no array of cells is ever scanned.
 """
 
 from __future__ import annotations
@@ -14,122 +17,107 @@ from pyspark.sql import functions as F
 
 from knownat.llm.store import stored
 
-#: Cells of a sketch: three parts of eight. About a dozen differences can be peeled from it.
-CELLS = 24
-#: Groups of cells that one row holds at most; larger pairs are spread over more rows.
-ROW_GROUPS = 32
-#: Digests of both sides per group of cells when a pair is first sketched.
-PER_GROUP = 6
-#: Rounds with twice the groups each. Digests that agree in all bits that deal them out can't be parted; after so many
-#: rounds groups are told apart by 2^20 values more than a pair has digests.
-ROUNDS = 20
+#: Cells in each part of the sketch that is kept as a text's fingerprint.
+PART = 8
+#: Least cells in each part of the sketches that are subtracted; more paragraphs have as many as both versions have.
+LEAST_PART = 16
+#: Rounds of peeling in one try. Most digests go in the first two; what is left after the last is sketched anew.
+PEELS = 4
+#: Tries, each with twice the cells of the one before.
+TRIES = 20
 PARAGRAPHS = r"(?<=[.!?])\\s+|\\n+"
 
-_CELL = "named_struct('n', 0, 'k', 0L, 'c', 0)"
-
 
 def digests(text: str, pattern: str = PARAGRAPHS) -> Column:
-    """The distinct digests of a text's paragraphs. Null and empty texts have none; white space alone is no paragraph."""
+    """The distinct digests of a text's paragraphs. Null and empty texts have none; spaces alone are no paragraph."""
     return F.expr(f"array_distinct(transform(filter(split(coalesce({text}, ''), '{pattern}'), p -> trim(p) <> ''), p -> xxhash64(p)))")
 
 
-def _sketch(array: str) -> str:
-    """Cells of an array of digests. Six bits choose the cells (three for each part); group bits lie above them."""
-    at = "(shiftrightunsigned(d, 3 * (i div 8)) & 7L) = i % 8"
-    put = "named_struct('n', s.n + 1, 'k', s.k ^ d, 'c', s.c ^ hash(d))"
-    return f"transform(sequence(0, {CELLS - 1}), i -> aggregate({array}, {_CELL}, (s, d) -> if({at}, {put}, s)))"
-
+def _cells(digest: Column, part: Column) -> Column:
+    """The cell of each part that a digest falls into."""
+    return F.array(*[(F.pmod(F.xxhash64(digest, F.lit(t)), part) + t * part).cast("bigint") for t in range(3)])
 
-def sketch(array: str) -> Column:
-    return F.expr(_sketch(array))
 
+def _check(digest: Column) -> Column:
+    return F.hash(digest).cast("bigint")
 
-def subtract(left: str, right: str) -> str:
-    return f"zip_with({left}, {right}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'c', x.c ^ y.c))"
 
+def cells(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Sketches as rows (keys, part, cell, n, k, c), from rows of keys, part, sign and an array of digests.
 
-def _peel(cells: str, most: str) -> str:
-    """Peel up to `most` digests from cells: what is left, the digests of the left side and of the right side.
-
-    Each step takes the first cell that holds one digest, by count and check, and removes it from its three cells.
+    Versions with the same keys are added up by their signs, so +1 and -1 subtract one sketch from the other.
     """
-    pure = "filter(s.cells, x -> abs(x.n) = 1 and x.c = hash(x.k))"
-    hit = "(shiftrightunsigned(p.k, 3 * (i div 8)) & 7L) = i % 8"
-    left = f"transform(s.cells, (x, i) -> if({hit}, named_struct('n', x.n - p.n, 'k', x.k ^ p.k, 'c', x.c ^ p.c), x))"
-    step = (
-        f"coalesce(get(transform(slice({pure}, 1, 1), p -> named_struct('cells', {left}, "
-        "'a', if(p.n > 0, array_append(s.a, p.k), s.a), 'b', if(p.n < 0, array_append(s.b, p.k), s.b))), 0), s)"
-    )
-    start = f"named_struct('cells', {cells}, 'a', cast(array() as array<bigint>), 'b', cast(array() as array<bigint>))"
-    return f"aggregate(sequence(0, {most}), {start}, (s, step) -> {step})"
-
-
-def fingerprint(array: str) -> Column:
-    """The sketch of an array of digests as text: count and exclusive or of each cell."""
-    return F.expr(f"array_join(transform({_sketch(array)}, c -> concat_ws('.', c.n, lower(hex(c.k)))), ' ')")
-
-
-_NO_DIGESTS = "cast(array() as array<bigint>)"
-
-
-def _groups(left: str, right: str) -> str:
-    """Groups of cells that a pair is first sketched in: a power of two."""
-    return f"shiftleft(1, cast(ceil(log2(greatest(1, ceil((size({left}) + size({right})) / {PER_GROUP})))) as int))"
-
+    single = versions.select(*keys, "part", "sign", F.explode("digests").alias("d"))
+    spread = single.select(*keys, "part", "sign", "d", F.explode(_cells(F.col("d"), F.col("part"))).alias("cell"))
+    return spread.groupBy(*keys, "part", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(_check(F.col("d"))).alias("c"))
 
-def _peel_groups(left: str, right: str, groups: str, first: str = "0") -> str:
-    """Sketch, subtract and peel each of a row's groups of cells, from group `first` on: an array of what _peel returns."""
-    count = f"least({groups} - {first}, {ROW_GROUPS})"
-    own = f"d -> pmod(shiftrightunsigned(d, 12), {groups}) = {first} + g"
-    split = f"transform(sequence(0, {count} - 1), g -> named_struct('l', filter({left}, {own}), 'r', filter({right}, {own})))"
-    peeled = _peel(subtract(_sketch("v.l"), _sketch("v.r")), "size(v.l) + size(v.r)")
-    return f"transform({split}, v -> {peeled})"
 
+def peel(sketches: DataFrame, keys: list[str], rounds: int = PEELS) -> DataFrame:
+    """Peel subtracted sketches: rows of recovered digests (cell null, n its sign, k the digest) and of cells that are left.
 
-def _whole(peeled: str) -> str:
-    """Whether nothing is left in any cell."""
-    return f"forall({peeled}, v -> forall(v.cells, c -> c.n = 0 and c.k = 0L))"
-
-
-def apart(left: str, right: str) -> Column:
-    """How many digests differ between two arrays, by peeling within the row; null where a pair is too long for that or
-    gets stuck, which is what `differences` is for."""
-    groups = _groups(left, right)
-    counted = f"transform(array({_peel_groups(left, right, groups)}), v -> if({_whole('v')}, aggregate(v, 0, (n, x) -> n + size(x.a) + size(x.b)), cast(null as int)))[0]"
-    return F.expr(f"case when {groups} <= {ROW_GROUPS} then {counted} end")
-
-
-def differences(pairs: DataFrame, keys: list[str], left: str, right: str) -> DataFrame:
+    A cell is pure if it holds one digest, by its count and check, and the digest belongs into the cell. A digest that is
+    pure in several cells is removed once. Every grouping has the keys, so rows that are dealt out by keys stay there.
+    """
+    rows = sketches.where("n <> 0 or k <> 0").withColumn("kept", F.lit(None).cast("bigint"))
+    own = _cells(F.col("k"), F.col("part"))
+    pure = F.col("cell").isNotNull() & (F.abs("n") == 1) & (F.col("c") == _check(F.col("k"))) & F.array_contains(own, F.col("cell"))
+    none = F.lit(None).cast("bigint")
+
+    def row(cell: Column, n: Column, k: Column, c: Column, kept: Column, removed: Column) -> Column:
+        return F.struct(*[v.cast("bigint").alias(a) for v, a in ((cell, "cell"), (n, "n"), (k, "k"), (c, "c"), (kept, "kept"), (removed, "removed"))])
+
+    for _ in range(rounds):
+        same = row(F.col("cell"), F.col("n"), F.col("k"), F.col("c"), F.col("kept"), none)
+        found = row(none, F.col("n"), F.col("k"), F.lit(0), F.col("k"), none)
+        taken = [row(own[t], -F.col("n"), F.col("k"), F.col("c"), none, F.col("k")) for t in range(3)]
+        opened = rows.select(*keys, "part", F.explode(F.when(pure, F.array(same, found, *taken)).otherwise(F.array(same))).alias("x")).select(*keys, "part", "x.*")
+        once = opened.groupBy(*keys, "part", "cell", "kept", "removed").agg(*[F.max(c).alias(c) for c in ("n", "k", "c")])
+        rows = once.groupBy(*keys, "part", "cell", "kept").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+        rows = rows.where("kept is not null or n <> 0 or k <> 0")
+    return rows
+
+
+def _versions(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]], part: dict[str, Column]) -> DataFrame:
+    """For each kind of pair the left array with sign 1 and the right one with sign -1."""
+    sides = [
+        F.struct(F.lit(kind).alias("kind"), part[kind].cast("bigint").alias("part"), F.lit(sign).cast("bigint").alias("sign"), F.col(column).alias("digests"))
+        for kind, columns in pairs.items()
+        for sign, column in zip((1, -1), columns)
+        if column
+    ]
+    return rows.select(*keys, F.explode(F.array(*sides)).alias("v")).select(*keys, "v.*")
+
+
+def pair_part(left: str, right: str) -> Column:
+    """Cells of each part for a pair: as many as both have digests, which the differences can't exceed."""
+    return F.greatest(F.lit(LEAST_PART), F.size(left) + F.size(right))
+
+
+def differences(pairs: DataFrame, keys: list[str], left: str, right: str, larger: int = 1) -> DataFrame:
     """The digests that only the left or only the right array holds, recovered from sketches.
 
-    One row for each key: the keys, only_left, only_right (arrays of digests) and groups (of cells, of the try that
-    succeeded). A null array counts as empty, repeated digests once. Keys must tell rows apart and not be null. A pair
-    that can't be peeled is sketched again with twice the groups; after ROUNDS tries the job fails rather than guess.
+    One row for each key: the keys, only_left and only_right (arrays of digests). A null array counts as empty,
+    repeated digests once. Keys must tell rows apart and not be null. A pair that can't be peeled is sketched again with
+    twice the cells (the first time with `larger` times as many); after TRIES tries the job fails rather than guess.
     """
-    work = pairs.select(*keys, *[F.array_distinct(F.coalesce(F.col(c), F.expr(_NO_DIGESTS))).alias(n) for c, n in ((left, "_l"), (right, "_r"))])
-    work = work.withColumn("groups", F.expr(_groups("_l", "_r")))
+    empty = F.expr("cast(array() as array<bigint>)")
+    work = pairs.select(*keys, *[F.array_distinct(F.coalesce(F.col(c), empty)).alias(n) for c, n in ((left, "_l"), (right, "_r"))])
     done = None
-    for _ in range(ROUNDS):
-        tried = stored(_try(work, keys), "peeled")
-        good = tried.where("whole").select(*keys, "only_left", "only_right", "groups")
+    for attempt in range(TRIES):
+        part = {"pair": pair_part("_l", "_r") * larger * 2**attempt}
+        peeled = peel(cells(_versions(work, keys, {"pair": ("_l", "_r")}, part), keys), keys)
+        gathered = peeled.groupBy(*keys).agg(
+            F.count(F.when(F.col("cell").isNotNull(), 1)).alias("_left_over"),
+            *[F.collect_list(F.when(F.col("cell").isNull() & (F.col("n") == sign), F.col("k"))).alias(c) for sign, c in ((1, "only_left"), (-1, "only_right"))],
+        )
+        tried = work.join(gathered, keys, "left")
+        tried = stored(tried.withColumns({"_left_over": F.coalesce("_left_over", F.lit(0)), **{c: F.coalesce(c, empty) for c in ("only_left", "only_right")}}), "peeled")
+        good = tried.where("_left_over = 0").select(*keys, "only_left", "only_right")
         done = good if done is None else done.unionByName(good)
-        failed = tried.where("not whole").select(*keys, "_l", "_r", (F.col("groups") * 2).alias("groups"))
-        if failed.isEmpty():
+        work = tried.where("_left_over > 0").select(*keys, "_l", "_r")
+        if work.isEmpty():
             return done
-        work = failed
-    raise ValueError(f"sketches could not be peeled in {ROUNDS} tries")
-
-
-def _try(work: DataFrame, keys: list[str]) -> DataFrame:
-    """Peel every pair once. A long pair's digests are dealt out to rows, each with its own share of the groups."""
-    rows = f"cast(ceil(groups / {ROW_GROUPS}) as int)"
-    part = f"pmod(shiftrightunsigned(d, 12), groups) div {ROW_GROUPS}"
-    dealt = work.select(*keys, "groups", "_l", "_r", F.expr(f"explode(sequence(0, {rows} - 1))").alias("_part"))
-    dealt = dealt.select(*keys, "groups", "_part", *[F.expr(f"filter({c}, d -> {part} = _part)").alias(c) for c in ("_l", "_r")])
-    peeled = dealt.withColumn("_peeled", F.expr(_peel_groups("_l", "_r", "groups", f"_part * {ROW_GROUPS}")))
-    peeled = peeled.select(*keys, "groups", "_l", "_r", F.expr(_whole("_peeled")).alias("_good"), *[F.expr(f"flatten(transform(_peeled, v -> v.{c}))").alias(n) for c, n in (("a", "only_left"), ("b", "only_right"))])
-    gathered = [F.flatten(F.collect_list(c)).alias(c) for c in ("only_left", "only_right", "_l", "_r")]
-    return peeled.groupBy(*keys).agg(F.max("groups").alias("groups"), F.min("_good").alias("whole"), *gathered)
+    raise ValueError(f"sketches could not be peeled in {TRIES} tries")
 
 
 def likeness(left: str, right: str, differing: str) -> Column:
@@ -138,12 +126,16 @@ def likeness(left: str, right: str, differing: str) -> Column:
     return F.when(F.col(differing) == 0, F.lit(1.0)).otherwise(shared / (shared + F.col(differing)))
 
 
+PLACE = ["_coarse", "_fine", "_row"]
+
+
 def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1000, cuts: int = 512) -> DataFrame:
     """Add `next_<column>`: the columns of the row with the next smaller key; after the last row, of the first.
 
     Keys are cut at up to `cuts` quantiles, and each range evenly into buckets of about `per_bucket` rows; a bucket is one
     window. To its end comes the first row of the next bucket that has rows, so rows travel once. Null keys come
-    last, equal keys are ordered by the columns. A single row follows itself.
+    last, equal keys are ordered by the columns. A single row follows itself. The PLACE columns, which are added too, tell rows
+    apart, and rows are dealt out by the first two.
     """
     keyed = docs.select(F.coalesce(F.col(key), F.lit(-(2**63))).cast("bigint").alias("_key"), F.col(key).isNull().alias("_null"), *docs.columns)
     bounds = keyed.agg(F.percentile_approx("_key", [i / cuts for i in range(1, cuts)], 100_000)).first()[0] or []
@@ -179,8 +171,8 @@ def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1
     guests = narrow.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*cut.columns, F.lit(True).alias("_guest"))
     both = cut.select("*", F.lit(False).alias("_guest")).unionByName(guests)
     along = Window.partitionBy("_coarse", "_fine").orderBy("_guest", *order)
-    out = both.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns}).where(~F.col("_guest"))
-    return out.select(*docs.columns, *[f"next_{c}" for c in columns])
+    out = both.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns} | {"_row": F.row_number().over(along)}).where(~F.col("_guest"))
+    return out.select(*PLACE, *docs.columns, *[f"next_{c}" for c in columns])
 
 
 def compare_edits(docs: DataFrame) -> DataFrame:
@@ -188,29 +180,46 @@ def compare_edits(docs: DataFrame) -> DataFrame:
 
     The edit replaces the last third of the code points by the first as many of the next document in descending doc_id.
     A null text is empty; equal texts have equal fingerprints; texts without a paragraph are alike (1). Repeated
-    rows each get a row.
+    rows each get a row. Other columns are not read.
     """
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    texts = texts.withColumn("own", digests("text"))
-    joined = with_next(texts, "doc_id", ["text", "own"])
-    n = F.char_length("text")
-    third = F.floor(n / 3).cast("int")
-    edited = joined.withColumn("n_chars", n.cast("bigint")).withColumn("edited", F.concat(F.substring("text", F.lit(1), n - third), F.substring("next_text", F.lit(1), third)))
-    kinds = {"new": "near_edited", "next": "near_next"}
-    rows = edited.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", digests("edited").alias("new"), F.col("next_own").alias("next")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", digests("text"))
+    placed = with_next(texts, "doc_id", ["text", "own"])
+    length = F.char_length("text")
+    third = F.floor(length / 3).cast("int")
+    edited = placed.withColumn("edited", F.concat(F.substring("text", F.lit(1), length - third), F.substring("next_text", F.lit(1), third)))
+    pairs = {"edited": ("own", "new"), "next": ("own", "next_own"), "own": ("own", ""), "new": ("new", "")}
+    part = {"edited": pair_part("own", "new"), "next": pair_part("own", "next_own"), "own": F.lit(PART), "new": F.lit(PART)}
+    # both branches below start from the same exchange of the texts and stay where it dealt them out
+    arrays = edited.select(*PLACE, "own", digests("edited").alias("new"), "next_own")
+    keys = [*PLACE, "kind"]
+    sketches = cells(_versions(arrays, PLACE, pairs, part), keys)
+    peeled = peel(sketches.where(F.col("kind").isin("edited", "next")), keys)
+    counts = peeled.groupBy(*PLACE).agg(
+        F.count(F.when(F.col("cell").isNotNull(), 1)).alias("left_over"),
+        *[F.count(F.when(F.col("cell").isNull() & (F.col("kind") == k), 1)).alias(f"apart_{k}") for k in ("edited", "next")],
+    )
+    held = F.struct("cell", "n", "k")
+    prints = sketches.where(F.col("kind").isin("own", "new")).groupBy(*PLACE).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, held))).alias(f"cells_{k}") for k in ("own", "new")]
+    )
+    written = {k: F.expr(f"coalesce(array_join(transform(cells_{k}, c -> concat_ws('.', c.cell, c.n, lower(hex(c.k)))), ' '), '')") for k in ("own", "new")}
+    meta = edited.select(
+        *PLACE, "doc_id", length.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "own", digests("edited").alias("new"), "next_own",
+    )
+    rows = meta.join(counts, PLACE, "left").join(prints, PLACE, "left").na.fill(0, ["left_over", "apart_edited", "apart_next"])
+    near = {"near_edited": ("new", "apart_edited"), "near_next": ("next_own", "apart_next")}
+    rows = rows.select(
+        *PLACE, "doc_id", "n_chars", "edited_sha256", written["own"].alias("fingerprint"), written["new"].alias("edited_fingerprint"),
+        *[F.when(F.col("left_over") == 0, likeness("own", right, n)).alias(name) for name, (right, n) in near.items()],
+        *[F.when(F.col("left_over") > 0, F.col(c)).alias(c) for c in ("own", "new", "next_own")],
     )
-    rows = rows.withColumns({f"apart_{k}": apart("own", k) for k in kinds})
-    solved = " and ".join(f"apart_{k} is not null" for k in kinds)
-    prints = {"fingerprint": fingerprint("own"), "edited_fingerprint": fingerprint("new")}
-    rows = rows.withColumns(prints | {name: likeness("own", k, f"apart_{k}") for k, name in kinds.items()})
-    rows = rows.withColumns({c: F.when(~F.expr(solved), F.col(c)) for c in ("own", "new", "next")}).withColumn("version", F.when(~F.expr(solved), F.expr("uuid()")))
     rows = stored(rows, "versions")
-    result = ["doc_id", "n_chars", "edited_sha256", *prints, *kinds.values()]
-    open_rows = rows.where("version is not null")
-    pairs = open_rows.select("version", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col("own").alias("l"), F.col(k).alias("r")) for k in kinds])).alias("p")).select("version", "p.*")
-    found = differences(pairs, ["version", "kind"], "l", "r")
+    result = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near]
+    stuck = rows.where(F.col("own").isNotNull())
+    again = stuck.select(*PLACE, F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col("own").alias("l"), F.col(right).alias("r")) for name, (right, _) in near.items()])).alias("p"))
+    found = differences(again.select(*PLACE, "p.*"), [*PLACE, "measure"], "l", "r", larger=2)
     count = F.size("only_left") + F.size("only_right")
-    found = found.groupBy("version").agg(*[F.max(F.when(F.col("kind") == k, count)).alias(f"apart_{k}") for k in kinds])
-    late = open_rows.drop(*[f"apart_{k}" for k in kinds]).join(found, "version").withColumns({name: likeness("own", k, f"apart_{k}") for k, name in kinds.items()})
-    return rows.where("version is null").select(*result).unionByName(late.select(*result))
+    found = found.groupBy(*PLACE).agg(*[F.max(F.when(F.col("measure") == name, count)).alias(n) for name, (_, n) in near.items()])
+    late = stuck.drop(*near).join(found, PLACE).withColumns({name: likeness("own", right, n) for name, (right, n) in near.items()})
+    return rows.where(F.col("own").isNull()).select(*result).unionByName(late.select(*result))
