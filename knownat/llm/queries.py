@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import bpe, fingerprints, langid, sharding, token_counts, toxicity
+from knownat.llm import bpe, fingerprints, langid, order_minhash, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,3 +78,8 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.fit(docs.where(~F.col("held_out")).join(labels, "doc_id"))
     scored = toxicity.score(docs, model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return order_minhash.near_classes(table(spark, folder, "documents").select("doc_id", "text"))
