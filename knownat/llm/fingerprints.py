@@ -12,6 +12,8 @@ the cost follows the number of paragraphs, however long a text is, and no array
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +37,7 @@ def digests(text: str, pattern: str = PARAGRAPHS) -> Column:
 
 def _cells(digest: Column, part: Column) -> Column:
     """The cell of each part that a digest falls into."""
-    return F.array(*[(F.pmod(F.xxhash64(digest, F.lit(t)), part) + t * part).cast("bigint") for t in range(3)])
+    return F.array(*[(F.pmod(F.xxhash64(digest, F.lit(t)), F.greatest(part, F.lit(1))) + t * part).cast("bigint") for t in range(3)])
 
 
 def _check(digest: Column) -> Column:
@@ -45,22 +47,24 @@ def _check(digest: Column) -> Column:
 def cells(versions: DataFrame, keys: list[str]) -> DataFrame:
     """Sketches as rows (keys, part, cell, n, k, c), from rows of keys, part, sign and an array of digests.
 
-    Versions with the same keys are added up by their signs, so +1 and -1 subtract one sketch from the other.
+    Versions with the same keys are added up by their signs, so +1 and -1 subtract one sketch from the other. An array
+    whose part is 0 is not sketched: its values travel along, each in the cell of its position.
     """
-    single = versions.select(*keys, "part", "sign", F.explode("digests").alias("d"))
-    spread = single.select(*keys, "part", "sign", "d", F.explode(_cells(F.col("d"), F.col("part"))).alias("cell"))
+    single = versions.select(*keys, "part", "sign", F.posexplode("digests").alias("pos", "d"))
+    into = F.when(F.col("part") == 0, F.array(F.col("pos").cast("bigint"))).otherwise(_cells(F.col("d"), F.col("part")))
+    spread = single.select(*keys, "part", "sign", "d", F.explode(into).alias("cell"))
     return spread.groupBy(*keys, "part", "cell").agg(F.sum("sign").alias("n"), F.bit_xor("d").alias("k"), F.bit_xor(_check(F.col("d"))).alias("c"))
 
 
-def peel(sketches: DataFrame, keys: list[str], rounds: int = PEELS) -> DataFrame:
-    """Peel subtracted sketches: rows of recovered digests (cell null, n its sign, k the digest) and of cells that are left.
+def peel(sketches: DataFrame, keys: list[str], only: Column | None = None, rounds: int = PEELS) -> DataFrame:
+    """Peel subtracted sketches (`only` those rows, the others stay as they are): rows of recovered digests (cell null, n its sign, k the digest) and of cells that are left.
 
     A cell is pure if it holds one digest, by its count and check, and the digest belongs into the cell. A digest that is
     pure in several cells is removed once. Every grouping has the keys, so rows that are dealt out by keys stay there.
     """
     rows = sketches.where("n <> 0 or k <> 0").withColumn("kept", F.lit(None).cast("bigint"))
     own = _cells(F.col("k"), F.col("part"))
-    pure = F.col("cell").isNotNull() & (F.abs("n") == 1) & (F.col("c") == _check(F.col("k"))) & F.array_contains(own, F.col("cell"))
+    pure = (F.lit(True) if only is None else only) & F.col("cell").isNotNull() & (F.abs("n") == 1) & (F.col("c") == _check(F.col("k"))) & F.array_contains(own, F.col("cell"))
     none = F.lit(None).cast("bigint")
 
     def row(cell: Column, n: Column, k: Column, c: Column, kept: Column, removed: Column) -> Column:
@@ -120,10 +124,11 @@ def differences(pairs: DataFrame, keys: list[str], left: str, right: str, larger
     raise ValueError(f"sketches could not be peeled in {TRIES} tries")
 
 
-def likeness(left: str, right: str, differing: str) -> Column:
-    """Shared digests among all: 1 for equal sets (two empty ones too), 0 where nothing is shared."""
-    shared = (F.size(left) + F.size(right) - F.col(differing)) / F.lit(2.0)
-    return F.when(F.col(differing) == 0, F.lit(1.0)).otherwise(shared / (shared + F.col(differing)))
+def likeness(left: Column, right: Column, apart: Column) -> Column:
+    """Shared digests among all, from the sizes of two sets and how many digests only one of them holds: 1 for equal
+    sets (two empty ones too), 0 where nothing is shared."""
+    shared = (left + right - apart) / F.lit(2.0)
+    return F.when(apart == 0, F.lit(1.0)).otherwise(shared / (shared + apart))
 
 
 PLACE = ["_coarse", "_fine", "_row"]
@@ -132,14 +137,16 @@ PLACE = ["_coarse", "_fine", "_row"]
 def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1000, cuts: int = 512) -> DataFrame:
     """Add `next_<column>`: the columns of the row with the next smaller key; after the last row, of the first.
 
-    Keys are cut at up to `cuts` quantiles, and each range evenly into buckets of about `per_bucket` rows; a bucket is one
-    window. To its end comes the first row of the next bucket that has rows, so rows travel once. Null keys come
+    Keys are cut at up to `cuts` quantiles, and each range evenly into buckets of about `per_bucket` rows, or the root of all
+    rows if that is more; a bucket is one window. To its end comes the first row of the next bucket that has rows, so rows
+    travel once. The table of first rows has no more rows than that root and `cuts`, and is broadcast. Null keys come
     last, equal keys are ordered by the columns. A single row follows itself. The PLACE columns, which are added too, tell rows
     apart, and rows are dealt out by the first two.
     """
     keyed = docs.select(F.coalesce(F.col(key), F.lit(-(2**63))).cast("bigint").alias("_key"), F.col(key).isNull().alias("_null"), *docs.columns)
-    bounds = keyed.agg(F.percentile_approx("_key", [i / cuts for i in range(1, cuts)], 100_000)).first()[0] or []
-    bounds = sorted(set(bounds))  # at most `cuts` numbers
+    found = keyed.agg(F.percentile_approx("_key", [i / cuts for i in range(1, cuts)], 100_000), F.count(F.lit(1))).first()
+    bounds = sorted(set(found[0] or []))  # at most `cuts` numbers
+    per_bucket = max(per_bucket, isqrt(found[1]))
     half = 1 << max(len(bounds), 1).bit_length()
     steps = F.array(*[F.lit(half >> i) for i in range(half.bit_length())])
     known = F.array(*[F.lit(b).cast("bigint") for b in bounds]) if bounds else F.expr("cast(array() as array<bigint>)")
@@ -166,7 +173,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1
     targets = targets.select(
         F.col("_head"), F.when(F.col("_up").isNotNull(), F.col("_coarse")).otherwise(F.col("_up_coarse")).alias("_coarse"), F.coalesce("_up", "_up_fine").alias("_fine"),
     )
-    narrow = keyed.join(targets, F.col("_key") == F.col("_head"))
+    narrow = keyed.join(F.broadcast(targets), F.col("_key") == F.col("_head"))
     first = Window.partitionBy("_coarse", "_fine").orderBy(*order)
     guests = narrow.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*cut.columns, F.lit(True).alias("_guest"))
     both = cut.select("*", F.lit(False).alias("_guest")).unionByName(guests)
@@ -175,6 +182,13 @@ def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1
     return out.select(*PLACE, *docs.columns, *[f"next_{c}" for c in columns])
 
 
+def _edited(placed: DataFrame) -> DataFrame:
+    """Add `edited`: the last third of the text's code points gives way to the first as many of the next text."""
+    length = F.char_length("text")
+    third = F.floor(length / 3).cast("int")
+    return placed.withColumn("edited", F.concat(F.substring("text", F.lit(1), length - third), F.substring("next_text", F.lit(1), third)))
+
+
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and the likeness to the edited and to the next text.
 
@@ -183,43 +197,57 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     rows each get a row. Other columns are not read.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("own", digests("text"))
-    placed = with_next(texts, "doc_id", ["text", "own"])
+    edited = _edited(with_next(texts, "doc_id", ["doc_id", "text", "own"]))
     length = F.char_length("text")
-    third = F.floor(length / 3).cast("int")
-    edited = placed.withColumn("edited", F.concat(F.substring("text", F.lit(1), length - third), F.substring("next_text", F.lit(1), third)))
     pairs = {"edited": ("own", "new"), "next": ("own", "next_own"), "own": ("own", ""), "new": ("new", "")}
     part = {"edited": pair_part("own", "new"), "next": pair_part("own", "next_own"), "own": F.lit(PART), "new": F.lit(PART)}
-    # both branches below start from the same exchange of the texts and stay where it dealt them out
-    arrays = edited.select(*PLACE, "own", digests("edited").alias("new"), "next_own")
-    keys = [*PLACE, "kind"]
-    sketches = cells(_versions(arrays, PLACE, pairs, part), keys)
-    peeled = peel(sketches.where(F.col("kind").isin("edited", "next")), keys)
-    counts = peeled.groupBy(*PLACE).agg(
-        F.count(F.when(F.col("cell").isNotNull(), 1)).alias("left_over"),
-        *[F.count(F.when(F.col("cell").isNull() & (F.col("kind") == k), 1)).alias(f"apart_{k}") for k in ("edited", "next")],
+    # everything travels as rows, so that the texts are dealt out once and no join follows
+    quarters = [F.conv(F.substring("sha", 1 + 16 * i, 16), 16, -10).cast("bigint") for i in range(4)]
+    arrays = edited.withColumn("sha", F.sha2(F.col("edited").cast("binary"), 256)).select(
+        *PLACE, "own", digests("edited").alias("new"), "next_own",
+        F.array(F.col("doc_id").cast("bigint"), F.col("next_doc_id").cast("bigint"), length.cast("bigint"), F.size("own").cast("bigint"), F.size("next_own").cast("bigint"), *quarters).alias("facts"),
     )
-    held = F.struct("cell", "n", "k")
-    prints = sketches.where(F.col("kind").isin("own", "new")).groupBy(*PLACE).agg(
-        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, held))).alias(f"cells_{k}") for k in ("own", "new")]
-    )
-    written = {k: F.expr(f"coalesce(array_join(transform(cells_{k}, c -> concat_ws('.', c.cell, c.n, lower(hex(c.k)))), ' '), '')") for k in ("own", "new")}
-    meta = edited.select(
-        *PLACE, "doc_id", length.cast("bigint").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        "own", digests("edited").alias("new"), "next_own",
+    arrays = arrays.withColumn("facts", F.concat("facts", F.array(F.size("new").cast("bigint"))))
+    pairs = {"edited": ("own", "new"), "next": ("own", "next_own"), "own": ("own", ""), "new": ("new", ""), "facts": ("facts", "")}
+    part = {"edited": pair_part("own", "new"), "next": pair_part("own", "next_own"), "own": F.lit(PART), "new": F.lit(PART), "facts": F.lit(0)}
+    keys = [*PLACE, "kind"]
+    peeled = peel(cells(_versions(arrays, PLACE, pairs, part), keys), keys, F.col("kind").isin("edited", "next"))
+    kind, cell = F.col("kind"), F.col("cell")
+    rows = peeled.groupBy(*PLACE).agg(
+        *[F.max(F.when((kind == "facts") & (cell == i), F.col("k"))).alias(f"f{i}") for i in range(10)],
+        F.count(F.when(kind.isin("edited", "next") & cell.isNotNull(), 1)).alias("left_over"),
+        *[F.count(F.when((kind == k) & cell.isNull(), 1)).alias(f"apart_{k}") for k in ("edited", "next")],
+        *[F.array_sort(F.collect_list(F.when(kind == k, F.struct("cell", "n", "k")))).alias(f"cells_{k}") for k in ("own", "new")],
     )
-    rows = meta.join(counts, PLACE, "left").join(prints, PLACE, "left").na.fill(0, ["left_over", "apart_edited", "apart_next"])
-    near = {"near_edited": ("new", "apart_edited"), "near_next": ("next_own", "apart_next")}
+    written = {k: F.expr(f"array_join(transform(cells_{k}, c -> concat_ws('.', c.cell, c.n, lower(hex(c.k)))), ' ')") for k in ("own", "new")}
+    sha = F.concat(*[F.lpad(F.lower(F.hex(F.col(f"f{i}"))), 16, "0") for i in range(5, 9)])
     rows = rows.select(
-        *PLACE, "doc_id", "n_chars", "edited_sha256", written["own"].alias("fingerprint"), written["new"].alias("edited_fingerprint"),
-        *[F.when(F.col("left_over") == 0, likeness("own", right, n)).alias(name) for name, (right, n) in near.items()],
-        *[F.when(F.col("left_over") > 0, F.col(c)).alias(c) for c in ("own", "new", "next_own")],
+        F.col("f0").alias("doc_id"), F.col("f1").alias("next_doc_id"), F.col("f2").alias("n_chars"), sha.alias("edited_sha256"),
+        written["own"].alias("fingerprint"), written["new"].alias("edited_fingerprint"),
+        likeness(F.col("f3"), F.col("f9"), F.col("apart_edited")).alias("near_edited"), likeness(F.col("f3"), F.col("f4"), F.col("apart_next")).alias("near_next"), "left_over",
     )
     rows = stored(rows, "versions")
+    near = ["near_edited", "near_next"]
     result = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *near]
-    stuck = rows.where(F.col("own").isNotNull())
-    again = stuck.select(*PLACE, F.explode(F.array(*[F.struct(F.lit(name).alias("measure"), F.col("own").alias("l"), F.col(right).alias("r")) for name, (right, _) in near.items()])).alias("p"))
-    found = differences(again.select(*PLACE, "p.*"), [*PLACE, "measure"], "l", "r", larger=2)
-    count = F.size("only_left") + F.size("only_right")
-    found = found.groupBy(*PLACE).agg(*[F.max(F.when(F.col("measure") == name, count)).alias(n) for name, (_, n) in near.items()])
-    late = stuck.drop(*near).join(found, PLACE).withColumns({name: likeness("own", right, n) for name, (right, n) in near.items()})
-    return rows.where(F.col("own").isNull()).select(*result).unionByName(late.select(*result))
+    return rows.where("left_over = 0").select(*result).unionByName(_again(texts, rows.where("left_over > 0"), near).select(*result))
+
+
+def _again(texts: DataFrame, stuck: DataFrame, near: list[str]) -> DataFrame:
+    """Likeness of the rows whose sketches got stuck, a few in a thousand, from larger sketches of their texts.
+
+    Only those texts and the ones after them are read; with them go all rows of the same keys, so each row meets the
+    same next text as before.
+    """
+    place = F.lit(-(2**63))
+    wanted = stuck.select(F.coalesce("doc_id", place).alias("_id")).union(stuck.select(F.coalesce("next_doc_id", place))).distinct()
+    few = texts.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), place)).join(wanted, "_id", "left_semi").drop("_id")
+    edited = _edited(with_next(few, "doc_id", ["doc_id", "text", "own"]))
+    arrays = edited.select("doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", digests("edited").alias("new"), "next_own").dropDuplicates(["doc_id", "edited_sha256"])
+    ids = [F.coalesce(F.col("doc_id").cast("bigint"), place).alias("_id"), "edited_sha256"]
+    arrays = stored(arrays.select(*ids, "own", "new", "next_own").join(stuck.select(*ids).distinct(), ["_id", "edited_sha256"], "left_semi"), "stuck")
+    found = None
+    for name, right in zip(near, ("new", "next_own")):
+        apart = differences(arrays, ["_id", "edited_sha256"], "own", right, larger=2)
+        apart = apart.join(arrays, ["_id", "edited_sha256"]).select("_id", "edited_sha256", likeness(F.size("own"), F.size(right), F.size("only_left") + F.size("only_right")).alias(name))
+        found = apart if found is None else found.join(apart, ["_id", "edited_sha256"])
+    return stuck.drop(*near).withColumn("_id", F.coalesce("doc_id", place)).join(found, ["_id", "edited_sha256"])
