@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import ann, bpe, fingerprints, langid, order_minhash, sharding, token_counts, toxicity
+from knownat.llm import ann, backoff_lm, bpe, fingerprints, langid, order_minhash, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -89,3 +89,9 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0), k=5)
+
+
+@query
+def op10_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
+    return backoff_lm.score(docs)
