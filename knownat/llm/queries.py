@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import ann, backoff_lm, bpe, fingerprints, langid, order_minhash, sharding, token_counts, toxicity
+from knownat.llm import ann, backoff_lm, bpe, fingerprints, langid, mixing, order_minhash, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,15 @@ def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
 def op10_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", (remainder(7) == 2).alias("held_out"))
     return backoff_lm.score(docs)
+
+
+#: Target weights of the qualities that `labels` tells apart, in expected tokens.
+QUALITY_TARGETS = {"1": 0.95, "0": 0.05}
+
+
+@query
+def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labelled = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("domain"))
+    rates = mixing.mix(docs, labelled, QUALITY_TARGETS)
+    return rates.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_quality_{name}") for i, name in enumerate(QUALITY_TARGETS)], "rate")
