@@ -4,8 +4,10 @@ A text's word shingles are labelled with their occurrence (first, second ...). E
 ROWS least labelled shingles and hashes them in the order they have in the text, so a match needs the same shingles in
 the same order: texts meet in a bucket with a probability that follows their edit similarity. Texts of a bucket are
 compared with its most central text (the one that meets most others over all buckets), not with each other. A bucket
-whose texts then still lie in several classes gets more such pivots, in growing numbers, until it lies in one class or
-every text of it was a pivot; so no pair of a bucket goes untested unless its texts are in one class already.
+whose texts then still lie in several classes gets PIVOTS more central texts, and after that, if it has up to SMALL texts,
+every text is compared with every other that is not in its class yet. So small buckets are searched completely, and
+the work of a large one grows with its texts and not with their pairs. Two copies of one text that are alike without
+either being like its most central copies share edits, so they also meet in buckets that the other copies are not in.
 
 Candidates are verified by aligning their distinct shingles in text order within a band: a pair is linked if the
 shingles on the best alignment are at least `least` of all shingles of both. For copies whose edits leave the order this is the
@@ -30,8 +32,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 20 sketches of 5 shingles: texts of similarity 0.8 meet in a bucket with 0.9996, of 0.9 with 1 - 1e-8; of 0.3 with 0.05.
 SKETCHES, ROWS = 20, 5
-#: Classes by hash from which each round takes pivots: round r has GROWTH^r of them.
-GROWTH = 8
+#: Pivots of a bucket in the second round (the most central of as many classes by hash), and the texts of a bucket that is
+#: searched completely in the third.
+PIVOTS, SMALL = 8, 64
 #: Shingles hashed by all functions at once; longer texts take one function after the other.
 AT_ONCE = 50_000
 
@@ -169,12 +172,11 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     central = members.groupBy("id").agg(F.sum("members").alias("centre"))
     members = stored(members.join(central, "id").withColumn("label", F.col("id")), "members")
     edges = None
-    turn = 0
-    while True:
-        pool = GROWTH**turn
-        chosen = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(pool))
+    for pool in (1, PIVOTS, None):
+        classed = ["id"] if pool is None else [F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")]
+        members = members if pool else members.where(F.col("members") <= SMALL)
         rank = F.struct("centre", F.xxhash64("id").alias("tie"), "id", "size", "label")
-        pivots = members.groupBy("band", "value", chosen.alias("pick")).agg(F.max(rank).alias("p"))
+        pivots = members.groupBy("band", "value", *classed).agg(F.max(rank).alias("p"))
         pivots = pivots.select("band", "value", F.col("p.id").alias("b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b"))
         pairs = members.join(pivots, ["band", "value"]).where(F.col("label") != F.col("label_b"))
         alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b")
@@ -182,15 +184,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
         found = stored(_links(usable, pairs, least).distinct(), "links")
         edges = found if edges is None else edges.unionByName(found)
         classes = components(edges)
-        # buckets that lie in several classes and hold texts that were no pivot yet go on
-        relabelled = members.drop("label").join(classes, members.id == classes.node, "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-        used = pivots.groupBy("band", "value").agg(F.count(F.lit(1)).alias("pivots"))
-        state = relabelled.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        unfinished = state.where("low < high").join(used, ["band", "value"]).select("band", "value", "pivots")
-        members = stored(relabelled.join(unfinished, ["band", "value"]).where("pivots < members").drop("pivots"), "members")
-        if members.isEmpty():
-            break
-        turn += 1
+        if pool:  # buckets that still lie in several classes go on
+            relabelled = members.drop("label").join(classes, members.id == classes.node, "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+            divided = relabelled.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+            members = stored(relabelled.join(divided.select("band", "value"), ["band", "value"], "left_semi"), "members")
     grouped = kinds.join(classes, kinds.rep == classes.node, "left").select("print", "copies", F.coalesce("label", "rep").alias("class_id"))
     placed = prints.join(grouped, "print").select(F.col("id").alias(key), "class_id", "copies")
     alone = keyed.where(F.col("text").isNull() | F.col("id").isNull()).select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
