@@ -171,6 +171,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     members = buckets.join(shared, ["band", "value"])
     central = members.groupBy("id").agg(F.sum("members").alias("centre"))
     members = stored(members.join(central, "id").withColumn("label", F.col("id")), "members")
+    texts = stored(usable.join(members.select("id").distinct(), "id", "left_semi"), "candidates")
     edges = None
     for pool in (1, PIVOTS, None):
         classed = ["id"] if pool is None else [F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")]
@@ -181,7 +182,7 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
         pairs = members.join(pivots, ["band", "value"]).where(F.col("label") != F.col("label_b"))
         alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b")
         pairs = pairs.where(alike).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        found = stored(_links(usable, pairs, least).distinct(), "links")
+        found = stored(_links(texts, pairs, least).distinct(), "links")
         edges = found if edges is None else edges.unionByName(found)
         classes = components(edges)
         if pool:  # buckets that still lie in several classes go on
