@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, by DataFrame and SQL functions alone.
 
-A text is cut into paragraphs (here: at line ends and after sentence ends) and each distinct paragraph becomes a 64-bit
+A text is cut into paragraphs (here: at line ends, and at the ends of some sentences as their last letter says) and each distinct paragraph becomes a 64-bit
 digest. A sketch has three parts of cells; a digest falls into one cell of each part. A cell holds how many digests fell
 into it, the exclusive or of them and that of their checks. Subtracting the sketches of two versions cell by cell leaves
 only what differs; peeling takes the cells that hold one digest, removes those digests from their other cells, and so on.
@@ -22,12 +22,16 @@ from knownat.llm.store import stored
 #: Cells in each part of the sketch that is kept as a text's fingerprint.
 PART = 8
 #: Least cells in each part of the sketches that are subtracted; more paragraphs have as many as both versions have.
-LEAST_PART = 16
-#: Rounds of peeling in one try. Most digests go in the first two; what is left after the last is sketched anew.
-PEELS = 4
+LEAST_PART = 64
+#: Rounds of peeling in one try, each over one part. Few digests are left after the fourth; where some are after the
+#: last, the pair is sketched anew.
+PEELS = 6
 #: Tries, each with twice the cells of the one before.
 TRIES = 20
-PARAGRAPHS = r"(?<=[.!?])\\s+|\\n+"
+#: Rows whose ids are broadcast at most, when their texts are read again.
+FEW = 200_000
+#: A long line has several paragraphs, as lines of whole documents would make edits look larger than they are.
+PARAGRAPHS = r"(?<=[est][.!?])\\s+|\\n+"
 
 
 def digests(text: str, pattern: str = PARAGRAPHS) -> Column:
@@ -57,26 +61,28 @@ def cells(versions: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def peel(sketches: DataFrame, keys: list[str], only: Column | None = None, rounds: int = PEELS) -> DataFrame:
-    """Peel subtracted sketches (`only` those rows, the others stay as they are): rows of recovered digests (cell null, n its sign, k the digest) and of cells that are left.
+    """Peel subtracted sketches (`only` those rows, the others stay as they are): rows of recovered digests (cell null, n its
+    sign, k the digest) and of cells that are left.
 
-    A cell is pure if it holds one digest, by its count and check, and the digest belongs into the cell. A digest that is
-    pure in several cells is removed once. Every grouping has the keys, so rows that are dealt out by keys stay there.
+    A cell is pure if it holds one digest, by its count and check, and the digest belongs into the cell. Each round takes
+    the pure cells of one part in turn, so that it meets no digest twice, and removes their digests from the other parts.
+    Every grouping has the keys, so rows that are dealt out by keys stay there.
     """
     rows = sketches.where("n <> 0 or k <> 0").withColumn("kept", F.lit(None).cast("bigint"))
     own = _cells(F.col("k"), F.col("part"))
-    pure = (F.lit(True) if only is None else only) & F.col("cell").isNotNull() & (F.abs("n") == 1) & (F.col("c") == _check(F.col("k"))) & F.array_contains(own, F.col("cell"))
     none = F.lit(None).cast("bigint")
 
-    def row(cell: Column, n: Column, k: Column, c: Column, kept: Column, removed: Column) -> Column:
-        return F.struct(*[v.cast("bigint").alias(a) for v, a in ((cell, "cell"), (n, "n"), (k, "k"), (c, "c"), (kept, "kept"), (removed, "removed"))])
-
-    for _ in range(rounds):
-        same = row(F.col("cell"), F.col("n"), F.col("k"), F.col("c"), F.col("kept"), none)
-        found = row(none, F.col("n"), F.col("k"), F.lit(0), F.col("k"), none)
-        taken = [row(own[t], -F.col("n"), F.col("k"), F.col("c"), none, F.col("k")) for t in range(3)]
-        opened = rows.select(*keys, "part", F.explode(F.when(pure, F.array(same, found, *taken)).otherwise(F.array(same))).alias("x")).select(*keys, "part", "x.*")
-        once = opened.groupBy(*keys, "part", "cell", "kept", "removed").agg(*[F.max(c).alias(c) for c in ("n", "k", "c")])
-        rows = once.groupBy(*keys, "part", "cell", "kept").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
+    def row(cell: Column, n: Column, k: Column, c: Column, kept: Column) -> Column:
+        return F.struct(*[v.cast("bigint").alias(a) for v, a in ((cell, "cell"), (n, "n"), (k, "k"), (c, "c"), (kept, "kept"))])
+
+    for turn in range(rounds):
+        part = turn % 3
+        pure = (F.lit(True) if only is None else only) & F.col("cell").isNotNull() & (F.abs("n") == 1) & (F.col("cell") == own[part]) & (F.col("c") == _check(F.col("k")))
+        same = row(F.col("cell"), F.col("n"), F.col("k"), F.col("c"), F.col("kept"))
+        found = row(none, F.col("n"), F.col("k"), F.lit(0), F.col("k"))
+        taken = [row(own[t], -F.col("n"), F.col("k"), F.col("c"), none) for t in range(3) if t != part]
+        opened = rows.select(*keys, "part", F.explode(F.when(F.coalesce(pure, F.lit(False)), F.array(found, *taken)).otherwise(F.array(same))).alias("x")).select(*keys, "part", "x.*")
+        rows = opened.groupBy(*keys, "part", "cell", "kept").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("c").alias("c"))
         rows = rows.where("kept is not null or n <> 0 or k <> 0")
     return rows
 
@@ -93,8 +99,8 @@ def _versions(rows: DataFrame, keys: list[str], pairs: dict[str, tuple[str, str]
 
 
 def pair_part(left: str, right: str) -> Column:
-    """Cells of each part for a pair: as many as both have digests, which the differences can't exceed."""
-    return F.greatest(F.lit(LEAST_PART), F.size(left) + F.size(right))
+    """Cells of each part for a pair: half as many again as both have digests, which the differences can't exceed."""
+    return F.greatest(F.lit(LEAST_PART), (F.size(left) + F.size(right)) * 3 / 2).cast("bigint")
 
 
 def differences(pairs: DataFrame, keys: list[str], left: str, right: str, larger: int = 1) -> DataFrame:
@@ -132,16 +138,18 @@ def likeness(left: Column, right: Column, apart: Column) -> Column:
 
 
 PLACE = ["_coarse", "_fine", "_row"]
+#: Tasks that rows are dealt out to at most; beyond, each gets more rows and may spill.
+MOST_TASKS = 100_000
 
 
-def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1000, cuts: int = 512) -> DataFrame:
+def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 500, cuts: int = 512, per_task: int = 1500) -> DataFrame:
     """Add `next_<column>`: the columns of the row with the next smaller key; after the last row, of the first.
 
     Keys are cut at up to `cuts` quantiles, and each range evenly into buckets of about `per_bucket` rows, or the root of all
     rows if that is more; a bucket is one window. To its end comes the first row of the next bucket that has rows, so rows
     travel once. The table of first rows has no more rows than that root and `cuts`, and is broadcast. Null keys come
     last, equal keys are ordered by the columns. A single row follows itself. The PLACE columns, which are added too, tell rows
-    apart, and rows are dealt out by the first two.
+    apart, and rows are dealt out by the first two, about `per_task` to a task.
     """
     keyed = docs.select(F.coalesce(F.col(key), F.lit(-(2**63))).cast("bigint").alias("_key"), F.col(key).isNull().alias("_null"), *docs.columns)
     found = keyed.agg(F.percentile_approx("_key", [i / cuts for i in range(1, cuts)], 100_000), F.count(F.lit(1))).first()
@@ -177,6 +185,7 @@ def with_next(docs: DataFrame, key: str, columns: list[str], per_bucket: int = 1
     first = Window.partitionBy("_coarse", "_fine").orderBy(*order)
     guests = narrow.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(*cut.columns, F.lit(True).alias("_guest"))
     both = cut.select("*", F.lit(False).alias("_guest")).unionByName(guests)
+    both = both.repartition(min(max(found[1] // per_task, 1), MOST_TASKS), "_coarse", "_fine")
     along = Window.partitionBy("_coarse", "_fine").orderBy("_guest", *order)
     out = both.withColumns({f"next_{c}": F.lead(c).over(along) for c in columns} | {"_row": F.row_number().over(along)}).where(~F.col("_guest"))
     return out.select(*PLACE, *docs.columns, *[f"next_{c}" for c in columns])
@@ -240,6 +249,8 @@ def _again(texts: DataFrame, stuck: DataFrame, near: list[str]) -> DataFrame:
     """
     place = F.lit(-(2**63))
     wanted = stuck.select(F.coalesce("doc_id", place).alias("_id")).union(stuck.select(F.coalesce("next_doc_id", place))).distinct()
+    if stuck.count() <= FEW:  # then the ids take a few MB
+        wanted = F.broadcast(wanted)
     few = texts.withColumn("_id", F.coalesce(F.col("doc_id").cast("bigint"), place)).join(wanted, "_id", "left_semi").drop("_id")
     edited = _edited(with_next(few, "doc_id", ["doc_id", "text", "own"]))
     arrays = edited.select("doc_id", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "own", digests("edited").alias("new"), "next_own").dropDuplicates(["doc_id", "edited_sha256"])

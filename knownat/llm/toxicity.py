@@ -251,7 +251,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
     """Learn from rows whose label is 0 or 1.
 
     `most` bounds the labelled rows used, on average: those whose keys have the smallest hashes. A term must occur in
-    `support` toxic texts, and `odds` times as often among the words of toxic as of clean texts (and in half
+    `support` toxic texts (in an eighth of them, but at least three, if there are few), and `odds` times as often among the words of toxic as of clean texts (and in half
     as many times more texts); the `most_terms` most
     telling are kept. Without labels the lexicon is empty and every text gets the prior's score.
     """
@@ -266,7 +266,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
     often = (F.col("toxic") + 0.5) / (toxic + 1) >= odds * (F.col("clean") + 0.5) / (clean + 1)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     spread = (F.col("texts") + 0.5) / (sizes.get(1, 0) + 1) >= odds / 2 * (F.col("clean_texts") + 0.5) / (sizes.get(0, 0) + 1)
-    top = counted.where((F.col("texts") >= support) & often & spread).orderBy(F.desc("toxic"), "term").limit(20 * most_terms)
+    enough = max(3, min(support, sizes.get(1, 0) // 8))
+    top = counted.where((F.col("texts") >= enough) & often & spread).orderBy(F.desc("toxic"), "term").limit(20 * most_terms)
     terms, weights = choose_terms([tuple(r) for r in top.select("term", "toxic", "clean").collect()], toxic, clean)
     lexicon = compile_lexicon(terms[:most_terms], weights[:most_terms])
 
