@@ -36,11 +36,11 @@ def asof_join(
     The right side becomes validity intervals cut at time-bucket borders, so the
     join is an equi join on (keys, bucket) with a range test: each left row meets
     one bucket of its key, not the key's whole history, and a hot key on the left
-    is spread over buckets and split further by adaptive skew handling.
+    is spread over buckets and split further by adaptive skew handling. The value
+    in force is carried only into buckets in which the left side has rows.
     Adds `{prefix}` + payload columns.
     """
     keys = list(keys)
-    span = left.agg(F.max(_bucket(F.col(left_time), bucket_days)).alias("_last"))
     values = F.struct(*[F.col(c) for c in payload])
     unique = right.where(F.col(right_time).isNotNull()).groupBy(*keys, F.col(right_time).alias("_t")).agg(
         F.max_by(values, F.struct(*tie_break, values) if tie_break else values).alias("_p")
@@ -48,20 +48,15 @@ def asof_join(
     unique = unique.withColumn("_b", _bucket(F.col("_t"), bucket_days))
     inner = Window.partitionBy(*keys, "_b").orderBy("_t")
     inside = unique.select(*keys, "_b", F.col("_t").alias("_from"), F.lead("_t").over(inner).alias("_to"), "_p")
-    per_bucket = unique.groupBy(*keys, "_b").agg(
-        F.min("_t").alias("_first"), F.max_by("_p", "_t").alias("_p")
+    ends = unique.groupBy(*keys, "_b").agg(F.min("_t").alias("_first"), F.max_by("_p", "_t").alias("_p"))
+    wanted = left.where(F.col(left_time).isNotNull()).select(*keys, _bucket(F.col(left_time), bucket_days).alias("_b")).distinct()
+    wanted = wanted.withColumn("_asked", F.lit(1))
+    marks = ends.unionByName(wanted, allowMissingColumns=True).groupBy(*keys, "_b").agg(
+        F.max("_first").alias("_first"), F.first("_p", ignorenulls=True).alias("_p"), F.max("_asked").alias("_asked")
     )
-    along = Window.partitionBy(*keys).orderBy("_b")  # at most one row per bucket of the calendar
-    per_bucket = per_bucket.withColumn("_nb", F.lead("_b").over(along)).withColumn("_nf", F.lead("_first").over(along))
-    per_bucket = per_bucket.join(F.broadcast(span))  # one row
-    until = F.coalesce(F.col("_nb"), F.col("_last"))
-    carried = (
-        per_bucket.where(until > F.col("_b"))
-        .select(*keys, "_p", "_nb", "_nf", F.explode(F.sequence(F.col("_b") + 1, until)).alias("_b"))
-        .select(
-            *keys, "_b", F.lit(None).cast(dict(unique.dtypes)["_t"]).alias("_from"),
-            F.when(F.col("_b") == F.col("_nb"), F.col("_nf")).alias("_to"), "_p",
-        )
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row per bucket of the calendar
+    carried = marks.withColumn("_p", F.last("_p", ignorenulls=True).over(before)).where("_asked = 1 AND _p IS NOT NULL").select(
+        *keys, "_b", F.lit(None).cast(dict(unique.dtypes)["_t"]).alias("_from"), F.col("_first").alias("_to"), "_p"
     )
     spans = inside.unionByName(carried)
     spans = spans.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, "_b"])], "_from", "_to", "_p")

@@ -57,9 +57,11 @@ def submetric_distributions(scores: DataFrame, parts: Sequence[str] = ("value",
     return histogram(rows.where("valid"), "percentile", 10, keys=["metric"]).join(counts, "metric")
 
 
-def rankable_vs_withheld(scores: DataFrame, top: int = 20) -> DataFrame:
-    """Ranked count and the most frequent reasons for withholding."""
+def rankable_vs_withheld(scores: DataFrame, top: int | None = None) -> DataFrame:
+    """Ranked count and the reasons for withholding; with top, only the most frequent."""
     per = scores.groupBy("rankable", F.when(~F.col("rankable"), F.coalesce("withhold_reason", F.lit("(none recorded)"))).alias("reason")).agg(F.count("*").alias("count"))
+    if top is None:
+        return per
     withheld = per.where(~F.col("rankable")).orderBy(F.desc("count"), "reason").limit(top)
     return per.where("rankable").unionByName(withheld)
 

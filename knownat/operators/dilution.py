@@ -13,7 +13,6 @@ from .fundamentals import share_growth
 # Windows, points and limits of the score.
 SHELF_LIFE_DAYS = 3 * 365
 TTM_DAYS = 365
-MAX_CLASSIFICATIONS = 40
 MAX_SCORE = 30.0
 
 
@@ -21,11 +20,11 @@ def shelf_unexpired(filed, as_of: Column) -> Column:
     return F.datediff(as_of, F.col(filed) if isinstance(filed, str) else filed) <= SHELF_LIFE_DAYS
 
 
-def candidate_filings(filings: DataFrame, as_of: Column, key: str = "cik") -> DataFrame:
+def candidate_filings(filings: DataFrame, as_of: Column, key: str = "cik", limit: int | None = None) -> DataFrame:
     """Shelves of three years and takedowns of one, in the order they are read.
 
-    Shelves first, then 424B5, then other takedowns, each newest first. The first
-    40 are classified; the rest are counted on every row of the company.
+    Shelves first, then 424B5, then other takedowns, each newest first. With a
+    `limit` only so many are kept, and the rest are counted on every row of the company.
     """
     form, filed = F.col("form_type"), F.col("filed_date")
     shelf = form.isin(*SHELF_FORMS) & filed.between(F.date_sub(as_of, SHELF_LIFE_DAYS), as_of)
@@ -34,10 +33,12 @@ def candidate_filings(filings: DataFrame, as_of: Column, key: str = "cik") -> Da
     kept = filings.where(shelf | takedown).withColumn("read_group", group)
     order = [F.col("read_group"), F.desc("filed_date"), F.col("accession_no")]
     w = Window.partitionBy(key).orderBy(*order)
-    first = kept.withColumn("read_order", F.row_number().over(w)).where(F.col("read_order") <= MAX_CLASSIFICATIONS)
     totals = kept.groupBy(key).agg(F.count("*").alias("candidates"))
-    skipped = F.greatest(F.lit(0).cast("long"), F.col("candidates") - MAX_CLASSIFICATIONS)
-    return first.join(totals, key).withColumn("skipped_by_cap", skipped)
+    out = kept.withColumn("read_order", F.row_number().over(w)).join(totals, key)
+    if limit is None:
+        return out.withColumn("skipped_by_cap", F.lit(0).cast("long"))
+    skipped = F.greatest(F.lit(0).cast("long"), F.col("candidates") - limit)
+    return out.where(F.col("read_order") <= limit).withColumn("skipped_by_cap", skipped)
 
 
 def evidence(candidates: DataFrame, as_of: Column, text: str = "text") -> DataFrame:

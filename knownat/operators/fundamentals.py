@@ -79,9 +79,6 @@ PRIOR_INPUTS = (
 )
 ANNUAL_DAYS = (330, 400)
 PRIOR_YEAR_DAYS = (300, 430)
-MAX_KNOWLEDGE_STATES = 6
-MAX_PERIODS = 3
-EARLIEST_PERIOD = "2022-06-30"
 
 
 def concept_mapping(spark: SparkSession, extra: dict | None = None) -> DataFrame:
@@ -116,9 +113,13 @@ def annual_ends(mapped: DataFrame, key: str = "cik") -> DataFrame:
     return mapped.where(F.col("annual") & F.col("form_type").startswith("10-K")).select(key, "period_end").distinct()
 
 
-def latest_periods(ends: DataFrame, since: Column, n: int = MAX_PERIODS, key: str = "cik") -> DataFrame:
+def latest_periods(ends: DataFrame, since: Column | None = None, n: int | None = None, key: str = "cik") -> DataFrame:
+    """Fiscal year ends, all unless a first date or a number of newest ends is given."""
+    kept = ends if since is None else ends.where(F.col("period_end") >= since)
+    if n is None:
+        return kept
     w = Window.partitionBy(key).orderBy(F.desc("period_end"))
-    return ends.where(F.col("period_end") >= since).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+    return kept.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
 def prior_period(periods: DataFrame, ends: DataFrame, key: str = "cik") -> DataFrame:
@@ -129,9 +130,11 @@ def prior_period(periods: DataFrame, ends: DataFrame, key: str = "cik") -> DataF
     return joined.groupBy(*periods.columns).agg(F.max("_e").alias("prior_end"))
 
 
-def knowledge_states(mapped: DataFrame, n: int = MAX_KNOWLEDGE_STATES, key: str = "cik") -> DataFrame:
-    """Newest `n` acceptance times per (company, period)."""
+def knowledge_states(mapped: DataFrame, n: int | None = None, key: str = "cik") -> DataFrame:
+    """Acceptance times per (company, period), all or the newest `n`."""
     stamps = mapped.select(key, "period_end", F.col("accepted_at").alias("knowledge_date")).distinct()
+    if n is None:
+        return stamps
     w = Window.partitionBy(key, "period_end").orderBy(F.desc("knowledge_date"))
     return stamps.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
@@ -190,7 +193,7 @@ def instant_as_of(grid: DataFrame, mapped: DataFrame, name: str, as_of: dict[str
 
 
 def derived_fundamentals(
-    facts: DataFrame, securities: DataFrame, bars: DataFrame, since: str = EARLIEST_PERIOD,
+    facts: DataFrame, securities: DataFrame, bars: DataFrame, since: str | None = None,
     params: Params = FROZEN,
 ) -> DataFrame:
     """One row per (security, fiscal period, knowledge state) with every metric.
@@ -201,7 +204,7 @@ def derived_fundamentals(
     mapping = concept_mapping(facts.sparkSession)
     mapped = mapped_facts(facts, mapping)
     ends = annual_ends(mapped)
-    periods = prior_period(latest_periods(ends, F.lit(since).cast("date")), ends)
+    periods = prior_period(latest_periods(ends, None if since is None else F.lit(since).cast("date")), ends)
     grid = periods.join(knowledge_states(mapped), ["cik", "period_end"])
     rows = resolve_inputs(grid, mapped, list(CONCEPTS), list(PRIOR_INPUTS))
     shares = instant_as_of(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.core import first_match
 from .ranking import group_top
 
-# Vocabulary of the event ledger and the size of a bundle.
+# Vocabulary of the event ledger.
 EVENT_TYPES = (
     "binding_commercial_contract", "contract_termination", "lawsuit", "merger_acquisition",
     "financing_or_securities_issuance", "partnership_no_disclosed_commitment", "non_binding_loi_or_mou",
@@ -16,8 +16,6 @@ EVENT_TYPES = (
 )
 TIERS = ("binding", "non_binding_loi", "rumor")
 AMOUNT_TYPES = ("total", "annual", "minimum", "maximum", "estimated")
-MAX_EXHIBITS = 2
-MAX_CHARS = 15000
 
 
 def document_roles(filings: DataFrame, documents: DataFrame, since: Column) -> DataFrame:
@@ -42,15 +40,21 @@ def pending_filings(filings: DataFrame, events: DataFrame) -> DataFrame:
     return filings.join(events.select("accession_no").distinct(), "accession_no", "left_anti")
 
 
-def document_bundles(filings: DataFrame, documents: DataFrame, text: str = "text") -> DataFrame:
-    """Primary documents and the first two exhibits, each at the reference length.
+def document_bundles(
+    filings: DataFrame, documents: DataFrame, text: str = "text", exhibits: int | None = None, chars: int | None = None
+) -> DataFrame:
+    """Primary documents and exhibits of each filing, at full length.
 
-    A filing without a readable document gives one abstain row. The 15,000
-    characters are the operator's defined bundle size, not a shortcut.
+    With `exhibits` only the first so many by name are kept, with `chars` only so
+    much of each text; chars_cut says how much is missing. A filing without a
+    readable document gives one abstain row.
     """
-    primary = documents.where(F.col("role") == "primary")
-    exhibits = group_top(documents.where(F.col("role") == "exhibit"), ["accession_no"], [F.col("document_name")], MAX_EXHIBITS).drop("_rn")
-    kept = primary.unionByName(exhibits).withColumn("bundle_text", F.substring(text, 1, MAX_CHARS))
+    kept = documents
+    if exhibits is not None:
+        first = group_top(documents.where(F.col("role") == "exhibit"), ["accession_no"], [F.col("document_name")], exhibits).drop("_rn")
+        kept = documents.where(F.col("role") == "primary").unionByName(first)
+    bundle = F.col(text) if chars is None else F.substring(text, 1, chars)
+    kept = kept.withColumn("bundle_text", bundle).withColumn("chars_cut", F.length(text) - F.length("bundle_text"))
     out = filings.select("accession_no").join(kept.drop(text), "accession_no", "left")
     return out.withColumn("is_abstain", F.col("document_name").isNull())
 

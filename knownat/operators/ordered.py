@@ -1,8 +1,8 @@
 """Total orders, prefix sums and ranks over unbounded groups.
 
 A plain window over one group sorts that group in one task. Here a group is cut
-into ordered buckets first: bucket bounds are the keys with the smallest hashes
-(a sample that is the same on every evaluation), each bucket is windowed on its
+into ordered buckets first: bucket bounds are the keys with the smallest hash of
+each class of hashes (a sample that is the same on every evaluation), each bucket is windowed on its
 own, and per-bucket totals - at most BUCKETS rows per group - carry the prefix.
 Input keys and values must be reproducible (stored columns, integers, decimals
 or rounded doubles), because the input is read once for totals and once for rows.
@@ -16,16 +16,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 512
-_STEPS = [256, 128, 64, 32, 16, 8, 4, 2, 1]
+_STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
 def _bounds(df: DataFrame, group: Sequence[str], key: Column, buckets: int) -> DataFrame:
-    """Sorted bucket bounds per group: a bounded, repeatable sample of keys."""
-    sample = df.select(*group, key.alias("_key"))
-    order = Window.partitionBy(*group).orderBy(F.xxhash64("_key"), "_key")
-    kept = sample.withColumn("_n", F.row_number().over(order)).where(F.col("_n") < buckets)
+    """Sorted bucket bounds per group: of each class of key hashes the key with the least hash, combined map-side."""
+    hashed = F.xxhash64(key)
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    return kept.groupBy(*names).agg(F.sort_array(F.collect_set("_key")).alias("_bounds"))
+    classes = df.groupBy(*names, F.pmod(hashed, F.lit(buckets)).alias("_class")).agg(F.min_by(key, F.struct(hashed, key)).alias("_key"))
+    return classes.groupBy(*[f"_g{i}" for i in range(len(names))]).agg(F.sort_array(F.collect_set("_key")).alias("_bounds"))
 
 
 def bucketed(df: DataFrame, key: Column, group: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:

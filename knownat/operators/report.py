@@ -108,11 +108,11 @@ def suppression_summary(suppressed: DataFrame, keys: Sequence[str] = ()) -> Data
 
 
 def top_ranked(scores: DataFrame, securities: DataFrame, listings: DataFrame, n: int = 8) -> DataFrame:
-    """Best ranks of the newest score date, at most fifty."""
+    """The n best ranks of the newest score date."""
     newest = scores.agg(F.max("score_date").alias("_d"))
     rows = scores.join(F.broadcast(newest), F.col("score_date") == F.col("_d")).drop("_d")
     rows = rows.where(F.col("rankable") & F.col("composite_score").isNotNull())
-    best = rows.orderBy("rank", "security_id").limit(min(n, 50))
+    best = rows.orderBy("rank", "security_id").limit(n)
     return with_current_symbol(best.join(securities.select("security_id", "name"), "security_id"), listings).orderBy("rank", "security_id")
 
 
@@ -126,7 +126,7 @@ def search(securities: DataFrame, listings: DataFrame, scores: DataFrame, query:
     needle = F.upper(F.lit(query.strip()))
     hit = F.contains(F.upper("symbol"), needle) | F.contains(F.upper("name"), needle)
     exact = F.coalesce(F.upper("symbol") == needle, F.lit(False))
-    return rows.where(hit).orderBy(exact.desc(), F.col("rank").asc_nulls_last(), "name", "security_id").limit(min(n, 50))
+    return rows.where(hit).orderBy(exact.desc(), F.col("rank").asc_nulls_last(), "name", "security_id").limit(n)
 
 
 def ranked_count(scores: DataFrame) -> DataFrame:
@@ -177,13 +177,15 @@ def recent(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def security_rows(tables: dict[str, DataFrame], security_id: int, n: int = 500) -> DataFrame:
-    """(table, total, row as JSON) for every table about one security, n rows each."""
+def security_rows(tables: dict[str, DataFrame], security_id: int, n: int | None = None) -> DataFrame:
+    """(table, total, row as JSON) for every table about one security; with n, so many rows of each."""
     parts = []
     for name, df in tables.items():
         mine = df.where(F.col("security_id") == security_id)
         total = mine.agg(F.count("*").alias("total"))
-        body = mine.select(F.to_json(F.struct(*df.columns)).alias("row")).orderBy("row").limit(n)
+        body = mine.select(F.to_json(F.struct(*df.columns)).alias("row"))
+        if n is not None:
+            body = body.orderBy("row").limit(n)
         parts.append(total.join(body, how="left", on=F.lit(True)).select(F.lit(name).alias("table"), "total", "row"))
     return reduce(DataFrame.unionByName, parts)
 

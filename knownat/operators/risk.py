@@ -180,7 +180,7 @@ def data_problems(
     accounts = f.select(
         "security_id", F.lit("sec_companyfacts").alias("source"),
         F.when(F.col("_m").isNull(), "no derived fundamentals").when(
-            F.size("_m") > 0, _say(F.size("_m").cast("string"), " fields unresolved: ", F.array_join(F.slice(F.array_sort("_m"), 1, 12), ", "))
+            F.size("_m") > 0, _say(F.size("_m").cast("string"), " fields unresolved: ", F.array_join(F.array_sort("_m"), ", "))
         ).alias("detail"),
         F.col("_m").isNull().alias("blocking"),
     )

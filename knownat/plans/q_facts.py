@@ -51,9 +51,9 @@ _PIT = f"""
              CASE WHEN m.wants THEN coalesce((period_end - period_start) BETWEEN 330 AND 400, false) ELSE period_start IS NULL END AS fits
            FROM facts f JOIN map m USING (taxonomy, concept) WHERE accepted_at IS NOT NULL AND value IS NOT NULL),
     ends AS (SELECT DISTINCT cik, period_end FROM mf WHERE annual AND form_type LIKE '10-K%'),
-    per AS (SELECT cik, period_end FROM ends WHERE period_end >= DATE '1996-01-01' QUALIFY row_number() OVER (PARTITION BY cik ORDER BY period_end DESC) <= 3),
+    per AS (SELECT cik, period_end FROM ends ),
     pp AS (SELECT p.cik, p.period_end, max(e.period_end) AS prior_end FROM per p LEFT JOIN ends e ON e.cik = p.cik AND p.period_end - e.period_end BETWEEN 300 AND 430 GROUP BY 1, 2),
-    ks AS (SELECT * FROM (SELECT DISTINCT cik, period_end, accepted_at AS knowledge_date FROM mf) QUALIFY row_number() OVER (PARTITION BY cik, period_end ORDER BY knowledge_date DESC) <= 6),
+    ks AS (SELECT DISTINCT cik, period_end, accepted_at AS knowledge_date FROM mf),
     grid AS (SELECT * FROM pp JOIN ks USING (cik, period_end)),
     pit AS (SELECT g.cik, g.period_end, g.prior_end, g.knowledge_date, 0 AS which, f.input, f.value, f.taxonomy || ':' || f.concept AS concept, f.accession_no
             FROM grid g JOIN mf f ON f.cik = g.cik AND f.period_end = g.period_end AND f.accepted_at <= g.knowledge_date AND f.fits
@@ -74,7 +74,7 @@ def _pit_sql(body: str, extra: str = "") -> str:
 def _grid(t):
     mapped = FU.mapped_facts(A.facts(t), FU.concept_mapping(t.spark))
     ends = FU.annual_ends(mapped)
-    periods = FU.prior_period(FU.latest_periods(ends, A.day("1996-01-01")), ends)
+    periods = FU.prior_period(FU.latest_periods(ends), ends)
     return mapped, periods.join(FU.knowledge_states(mapped), ["cik", "period_end"])
 
 
@@ -151,7 +151,7 @@ _FUND = ", " + ", ".join([
 
 
 def _derive(t):
-    return FU.derived_fundamentals(A.facts(t), A.companies(t), A.company_bars(t), since="1996-01-01")
+    return FU.derived_fundamentals(A.facts(t), A.companies(t), A.company_bars(t))
 
 
 def _fund(t):
@@ -390,13 +390,13 @@ def ticker_map(t):
 @query("form4_capped", "", """
     WITH f AS (SELECT o_custkey AS cik, CASE WHEN o_orderkey % 3 = 0 THEN '4/A' ELSE '4' END AS form_type, CAST(o_orderdate AS DATE) AS filed_date, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS accession_no FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01'),
     n AS (SELECT *, row_number() OVER (PARTITION BY cik, form_type ORDER BY filed_date DESC, accession_no DESC) AS n FROM f)
-    SELECT cik, count(*) FILTER (n <= CASE form_type WHEN '4/A' THEN 2 ELSE 3 END) AS kept, count(*) FILTER (n > CASE form_type WHEN '4/A' THEN 2 ELSE 3 END) AS dropped_by_cap FROM n GROUP BY cik""")
+    SELECT cik, count(*) AS kept, 0 AS dropped_by_cap FROM n GROUP BY cik""")
 def form4_capped(t):
     f = t.orders.select(
         F.col("o_custkey").alias("cik"), F.when(F.col("o_orderkey") % 3 == 0, "4/A").otherwise("4").alias("form_type"), F.col("o_orderdate").cast("date").alias("filed_date"),
         F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("accession_no"),
     )
-    kept, dropped = SF.capped_form4(f, A.day("1996-01-01"), 3, 2)
+    kept, dropped = SF.capped_form4(f, A.day("1996-01-01"))
     return kept.groupBy("cik").agg(F.count("*").alias("kept")).join(dropped, "cik")
 
 
@@ -487,13 +487,13 @@ _CAND = """
          WHERE (form_type IN ('S-3', 'S-1') AND filed_date BETWEEN DATE '2023-06-30' - 1095 AND DATE '2023-06-30') OR (form_type IN ('424B2', '424B5') AND filed_date BETWEEN DATE '2023-06-30' - 365 AND DATE '2023-06-30')),
     cf AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY g, filed_date DESC, accession_no) AS read_order, count(*) OVER (PARTITION BY cik) AS n FROM kf),
     ev AS (SELECT *, CASE WHEN doc_id % 11 = 3 THEN 'variable_convertible' WHEN doc_id % 11 = 0 THEN 'debt_or_structured' WHEN doc_id % 11 = 2 THEN 'atm_programme'
-         WHEN g = 0 AND doc_id % 11 = 1 THEN 'shelf_415' WHEN doc_id % 11 IN (1, 4) THEN 'equity_offering' ELSE 'unknown' END AS outcome FROM cf WHERE read_order <= 40),
+         WHEN g = 0 AND doc_id % 11 = 1 THEN 'shelf_415' WHEN doc_id % 11 IN (1, 4) THEN 'equity_offering' ELSE 'unknown' END AS outcome FROM cf),
     et AS (SELECT *, outcome IN ('shelf_415', 'equity_offering', 'atm_programme', 'variable_convertible') AS scores,
          CASE WHEN outcome = 'shelf_415' THEN 'D1' WHEN outcome IN ('equity_offering', 'atm_programme', 'variable_convertible') THEN CASE WHEN g > 0 THEN 'D2' ELSE 'D3' END END AS tier FROM ev)"""
 
 
 @query("candidate_filings", "filings", _CAND.replace("    , kf", "    , kf", 1) + """
-    SELECT accession_no, cik, CAST(read_order AS BIGINT) AS read_order, n AS candidates FROM cf WHERE read_order <= 40""")
+    SELECT accession_no, cik, CAST(read_order AS BIGINT) AS read_order, n AS candidates FROM cf""")
 def candidate_filings(t):
     f = DIL.candidate_filings(A.filings(t), A.day("2023-06-30"))
     return f.select("accession_no", "cik", F.col("read_order").cast("bigint").alias("read_order"), "candidates")

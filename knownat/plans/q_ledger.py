@@ -257,7 +257,7 @@ _EXIT = _ENTRY + """,
           CASE WHEN open <= stop / r THEN open WHEN open >= target / r THEN open WHEN low <= stop / r THEN stop / r WHEN high >= target / r THEN target / r ELSE close END AS raw FROM pb),
     fx AS (SELECT * FROM ex WHERE reason IS NOT NULL QUALIFY row_number() OVER (PARTITION BY security_id, entry_date, horizon ORDER BY date) = 1),
     res AS (SELECT p.security_id, p.entry_date, p.horizon, p.bps, p.ep, p.sh, p.gone, p.frozen, f.date AS exit_date, f.reason, f.raw, f.r FROM po p LEFT JOIN fx f USING (security_id, entry_date, horizon)),
-    fin AS (SELECT *, reason IS NULL AND gone IS NOT NULL AND gone <= (SELECT max(date) FROM cal WHERE date <= DATE '2001-06-30') AND (frozen IS NULL OR gone <= frozen) AS del FROM res)"""
+    fin AS (SELECT *, reason IS NULL AND gone IS NOT NULL AND gone <= (SELECT max(date) FROM cal WHERE date <= DATE '2001-06-30') AND (frozen IS NULL OR gone <= frozen) AND (SELECT max(date) FROM cal WHERE date <= DATE '2001-06-30') > entry_date AS del FROM res)"""
 
 
 @query("barrier_exit", "", _sql(_ENTRY_TABLES + " securities", _EXIT + """

@@ -20,20 +20,17 @@ class Tables:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.kept: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-_STORED: dict[tuple, DataFrame] = {}
-
-
 def stored(t: Tables, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """A derived table as later jobs read it: written once, not recomputed inside their plans."""
-    key = (t.spark.sparkContext.applicationId, t.folder, name)
-    if key not in _STORED:
-        _STORED[key] = cut_lineage(build())
-    return _STORED[key]
+    """A derived table as later steps of the same query read it: written once, not recomputed inside their plans."""
+    if name not in t.kept:
+        t.kept[name] = cut_lineage(build())
+    return t.kept[name]
 
 
 def sql_with(names: str, body: str) -> str:

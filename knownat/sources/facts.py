@@ -76,13 +76,18 @@ def ticker_map(records: DataFrame, text: str = "payload") -> DataFrame:
     return parsed.groupBy(F.upper("_r.ticker").alias("ticker")).agg(last.alias("_v")).select("ticker", "_v.*")
 
 
-def capped_form4(filings: DataFrame, since, max_originals: int = 60, max_amendments: int = 10) -> tuple[DataFrame, DataFrame]:
-    """(newest form 4 and 4/A filings per company, filings the cap dropped per company)."""
+def capped_form4(filings: DataFrame, since, max_originals: int | None = None, max_amendments: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(form 4 and 4/A filings since a date, filings dropped per company).
+
+    Nothing is dropped unless a limit is given; then the newest of a company stay.
+    """
     f = filings.where(F.col("form_type").isin("4", "4/A") & (F.col("filed_date") >= since))
     w = Window.partitionBy("cik", "form_type").orderBy(F.desc("filed_date"), F.desc("accession_no"))
-    cap = F.when(F.col("form_type") == "4/A", max_amendments).otherwise(max_originals)
-    top = f.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= max(max_originals, max_amendments))
-    kept = top.where(F.col("_n") <= cap).drop("_n")
+    if max_originals is None and max_amendments is None:
+        return f, f.groupBy("cik").agg(F.lit(0).cast("long").alias("dropped_by_cap"))
+    most = [F.lit(n).cast("long") if n is not None else F.lit(2**62) for n in (max_amendments, max_originals)]
+    cap = F.when(F.col("form_type") == "4/A", most[0]).otherwise(most[1])
+    kept = f.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")
     per = f.groupBy("cik", "form_type").agg(F.count("*").alias("_all"))
     over = F.greatest(F.lit(0).cast("long"), F.col("_all") - cap)
     return kept, per.groupBy("cik").agg(F.sum(over).alias("dropped_by_cap"))

@@ -28,7 +28,7 @@ def duck():
 def cell(value):
     if value is None or (isinstance(value, float) and math.isnan(value)):
         return None
-    return value if isinstance(value, (str, bool)) else float(value)
+    return value if isinstance(value, (str, bool)) else float(value) + 0.0
 
 
 def rows(records, columns):
