@@ -35,6 +35,8 @@ SKETCHES, ROWS = 20, 5
 #: Pivots of a bucket in the second round (the most central of as many classes by hash), and the texts of a bucket that is
 #: searched completely in the third.
 PIVOTS, SMALL = 8, 64
+#: Ids of candidates that are broadcast at most.
+FEW = 2_000_000
 #: Shingles hashed by all functions at once; longer texts take one function after the other.
 AT_ONCE = 50_000
 
@@ -171,7 +173,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     members = buckets.join(shared, ["band", "value"])
     central = members.groupBy("id").agg(F.sum("members").alias("centre"))
     members = stored(members.join(central, "id").withColumn("label", F.col("id")), "members")
-    texts = stored(usable.join(members.select("id").distinct(), "id", "left_semi"), "candidates")
+    needed = stored(members.select("id").distinct(), "candidate-ids")
+    if needed.count() <= FEW:  # then the ids take at most 16 MB; beyond, texts are dealt out by id
+        needed = F.broadcast(needed)
+    texts = stored(usable.join(needed, "id", "left_semi"), "candidates")
     edges = None
     for pool in (1, PIVOTS, None):
         classed = ["id"] if pool is None else [F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")]
