@@ -16,25 +16,34 @@ from .risk import severity_rank
 def facts_summary(facts: DataFrame, keys: Sequence[str] = ("cik",)) -> DataFrame:
     """Totals, usable share, distinct concepts and filings, period range per company.
 
-    Distinct parts are collapsed first, so a company with very many facts is
-    combined before it reaches one task.
+    Facts are first combined by filing, so a company with very many facts is small
+    before it reaches one task; its concepts are those of the taxonomy at most.
     """
-    per = facts.groupBy(*keys, "concept", "accession_no").agg(
-        F.count("*").alias("_n"), F.count("accepted_at").alias("_u"), F.min("period_end").alias("_a"), F.max("period_end").alias("_z")
+    per = facts.groupBy(*keys, "accession_no").agg(
+        F.count("*").alias("_n"), F.count("accepted_at").alias("_u"), F.min("period_end").alias("_a"), F.max("period_end").alias("_z"),
+        F.collect_set("concept").alias("_c"),
     )
     out = per.groupBy(*keys).agg(
-        F.sum("_n").alias("total"), F.sum("_u").alias("usable"), F.countDistinct("concept").alias("concepts"),
-        F.countDistinct("accession_no").alias("accessions"), F.min("_a").alias("earliest"), F.max("_z").alias("latest"),
+        F.sum("_n").alias("total"), F.sum("_u").alias("usable"), F.size(F.array_distinct(F.flatten(F.collect_set("_c")))).cast("long").alias("concepts"),
+        F.count("accession_no").alias("accessions"), F.min("_a").alias("earliest"), F.max("_z").alias("latest"),
     )
     return out.withColumn("unusable", F.col("total") - F.col("usable"))
 
 
-def restatements(facts: DataFrame) -> DataFrame:
-    """Facts of one meaning reported with several values by several filings."""
-    per = facts.groupBy("cik", "semantic_hash").agg(
-        F.count("*").alias("n_rows"), F.countDistinct("accession_no").alias("n_accessions"),
-        F.countDistinct("normalized_numeric_value").alias("n_values"), F.min("concept").alias("concept"),
-        F.min("period_end").alias("period_end"),
+#: What two facts of the same meaning agree in.
+MEANING = ("cik", "taxonomy", "concept", "period_start", "period_end")
+
+
+def restatements(facts: DataFrame, meaning: Sequence[str] = MEANING) -> DataFrame:
+    """Facts of one meaning reported with several values by several filings.
+
+    Meanings are compared by their columns, not by a hash made for each fact. A meaning
+    has as many filings as restate one period of one company, so their sets stay small.
+    """
+    filing = F.xxhash64("accession_no")
+    per = facts.groupBy(*meaning).agg(
+        F.count("*").alias("n_rows"), F.size(F.collect_set(filing)).cast("long").alias("n_accessions"),
+        F.size(F.collect_set("normalized_numeric_value")).cast("long").alias("n_values"),
     )
     return per.where((F.col("n_accessions") > 1) & (F.col("n_values") > 1))
 

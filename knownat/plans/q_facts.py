@@ -30,11 +30,7 @@ def facts_summary(t):
     SELECT cik, concept, CAST(period_end AS VARCHAR) AS period_end, count(*) AS n_rows, count(DISTINCT accession_no) AS n_accessions, count(DISTINCT value) AS n_values
     FROM facts GROUP BY cik, taxonomy, concept, period_start, period_end HAVING count(DISTINCT accession_no) > 1 AND count(DISTINCT value) > 1""")
 def restatements(t):
-    f = A.facts(t)
-    none = F.lit(None).cast("string")
-    kind = F.when(F.col("period_start").isNotNull(), "duration").otherwise("instant")
-    f = f.withColumn("semantic_hash", C.semantic_hash("taxonomy", "concept", F.lit("USD"), kind, F.col("period_start").cast("string"), F.col("period_end").cast("string"), none))
-    return REP.restatements(f).select("cik", "concept", "period_end", "n_rows", "n_accessions", "n_values")
+    return REP.restatements(A.facts(t)).select("cik", "concept", "period_end", "n_rows", "n_accessions", "n_values")
 
 
 @query("acceptance_rate", "concepts facts", """
