@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from knownat.llm import words
 
 #: Rows of a block, and rows for each shard of counts.
-BLOCK_ROWS, SHARD_ROWS = 500, 4000
+BLOCK_ROWS, SHARD_ROWS = 1000, 4000
 #: Fixed hashes of the end of a text and of the state before its first word.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 WORD, PAIR = 0, 1
@@ -52,16 +52,19 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return words.mix(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
-def _packed(keys: np.ndarray, kind: int) -> bytes:
-    """The low bytes of keys, one plane after the other."""
-    planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BYTES[kind]]
+COUNT_BYTES = 4
+
+
+def _packed(values: np.ndarray, size: int) -> bytes:
+    """The low bytes of values, one plane after the other, as high bytes of counts and of sorted keys compress well."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size]
     return np.ascontiguousarray(planes.T).tobytes()
 
 
-def _unpacked(data: bytes, kind: int) -> np.ndarray:
-    planes = np.frombuffer(data, np.uint8).reshape(KEY_BYTES[kind], -1)
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
-    out[:, : KEY_BYTES[kind]] = planes.T
+    out[:, :size] = planes.T
     return out.reshape(-1).view("<u8")
 
 
@@ -94,9 +97,9 @@ def _questions(shards: int):
         rows = []
         for kind, keys in ((WORD, now), (PAIR, pair_keys(before, now))):
             unique, place = _distinct(keys, kind)
-            counts = np.bincount(place[learned], minlength=len(unique)).astype("<u4")
+            counts = np.bincount(place[learned], minlength=len(unique))
             for shard, where, low in _cut(unique, kind, shards):
-                rows.append((shard, kind, _packed(low, kind), counts[where].tobytes()))
+                rows.append((shard, kind, _packed(low, KEY_BYTES[kind]), _packed(counts[where], COUNT_BYTES)))
         shard, kinds, asked, brought = zip(*rows) if rows else ((), (), (), ())
         number = block.column("block")[0].as_py()
         return pa.table({"shard": pa.array(shard, pa.int32()), "block": pa.array([number] * len(rows), pa.int32()), "kind": pa.array(kinds, pa.int8()), "keys": pa.array(asked, pa.binary()), "counts": pa.array(brought, pa.binary())})
@@ -108,12 +111,12 @@ def _add_up(table: pa.Table, kind: int) -> tuple[list[int], list[np.ndarray], np
     """Blocks that ask for one kind, their keys, and all distinct keys with their sums."""
     own = table.filter(pa.compute.equal(table.column("kind"), kind)).sort_by("block")
     blocks = own.column("block").to_pylist()
-    keys = [_unpacked(x, kind) for x in own.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in own.column("counts").to_pylist()]
+    keys = [_unpacked(x, KEY_BYTES[kind]) for x in own.column("keys").to_pylist()]
+    counts = [_unpacked(x, COUNT_BYTES) for x in own.column("counts").to_pylist()]
     if not keys:
         return [], [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
     unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return blocks, keys, unique, np.bincount(place, np.concatenate(counts), len(unique)).astype(np.int64)
+    return blocks, keys, unique, np.bincount(place, np.concatenate(counts).astype(float), len(unique)).astype(np.int64)
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -121,7 +124,7 @@ def _answers(table: pa.Table) -> pa.Table:
     shard = table.column("shard")[0].as_py()
     for kind in (WORD, PAIR):
         blocks, keys, unique, sums = _add_up(table, kind)
-        rows += [(b, shard, kind, sums[np.searchsorted(unique, k)].astype("<u4").tobytes()) for b, k in zip(blocks, keys)]
+        rows += [(b, shard, kind, _packed(sums[np.searchsorted(unique, k)], COUNT_BYTES)) for b, k in zip(blocks, keys)]
     block, shards, kinds, counts = zip(*rows)
     return pa.table({"block": pa.array(block, pa.int32()), "shard": pa.array(shards, pa.int32()), "kind": pa.array(kinds, pa.int8()), "counts": pa.array(counts, pa.binary())})
 
@@ -175,7 +178,7 @@ def _scores(shards: int):
             known = dict(zip(own.column("shard").to_pylist(), own.column("counts").to_pylist()))
             found = np.zeros(len(unique), np.int64)
             for shard, where, _ in _cut(unique, kind, shards):
-                found[where] = np.frombuffer(known[shard], "<u4")
+                found[where] = _unpacked(known[shard], COUNT_BYTES)
             counts[kind] = found[place]
         facts = {c: answers.column(c)[0].as_py() for c in ("n", "v", "pairs", "single", "levels")}
         mu = fit_mu(facts["pairs"], facts["single"], np.array(facts["levels"]))
