@@ -52,7 +52,7 @@ def pair_keys(before: np.ndarray, after: np.ndarray) -> np.ndarray:
         return words.mix(before * np.uint64(0x9E3779B97F4A7C15) + after)
 
 
-COUNT_BYTES = 4
+COUNT_BYTES = 6
 
 
 def _packed(values: np.ndarray, size: int) -> bytes:
