@@ -220,12 +220,12 @@ def source_coverage(flagged: DataFrame, names: Sequence[str]) -> DataFrame:
     return out.withColumn("pct", 100.0 * F.col("covered") / F.col("total"))
 
 
-def worst_coverage(flagged: DataFrame, names: Sequence[str], n: int = 20) -> DataFrame:
-    """Securities missing most sources, with the missing ones named."""
+def worst_coverage(flagged: DataFrame, names: Sequence[str], n: int | None = 20) -> DataFrame:
+    """Securities missing most sources, with the missing ones named; all of them without n."""
     have = F.filter(F.array(*[F.when(F.col(f"has_{s}"), F.lit(s)) for s in names]), lambda s: s.isNotNull())
     rows = flagged.select("security_id", F.array_except(F.array(*[F.lit(s) for s in names]), have).alias("missing"))
     rows = rows.where(F.size("missing") > 0).withColumn("sources_present", len(names) - F.size("missing"))
-    return rows.orderBy("sources_present", "security_id").limit(n)
+    return rows if n is None else rows.orderBy("sources_present", "security_id").limit(n)
 
 
 def null_reasons(newest: DataFrame, metrics: Sequence[str]) -> DataFrame:

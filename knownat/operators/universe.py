@@ -51,6 +51,12 @@ def securities_to_evaluate(
     return reduce(DataFrame.union, parts).distinct()
 
 
+def members_present(population: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """How many of a population a snapshot holds: (total, present), one row."""
+    held = snapshot.select("security_id").distinct().withColumn("_held", F.lit(1))
+    return population.join(held, "security_id", "left").agg(F.count("*").alias("total"), F.count("_held").alias("present"))
+
+
 def securities_to_monitor(snapshots: DataFrame, positions: DataFrame, candidates: DataFrame) -> DataFrame:
     return included_latest(snapshots).union(held_securities(positions, candidates)).distinct()
 
