@@ -99,14 +99,15 @@ QUOTE_MARGIN = 320
 
 @F.pandas_udf(StringType())
 def decode_entities(texts: pd.Series) -> pd.Series:
-    """Character references as text; Spark has no built-in for the full table."""
-    return texts.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
+    """Character references as text; Spark has no built-in for the full table. Null stays null."""
+    return texts.map(html.unescape, na_action="ignore")
 
 
 def html_to_text(markup) -> Column:
     """Readable text of a document: tags become spaces, entities are decoded."""
     text = F.regexp_replace(col(markup), r"(?i)&(?:nbsp|#160|#xa0);", " ")
-    text = decode_entities(F.regexp_replace(text, r"<[^>]*>", " "))
+    text = F.regexp_replace(text, r"<[^>]*>", " ")
+    text = F.coalesce(decode_entities(F.when(F.contains(text, F.lit("&")), text)), text)  # others never leave the JVM
     text = F.regexp_replace(text, "[\u200b\u00a0\ufeff]", " ")
     return F.trim(F.regexp_replace(text, SPACES, " "))
 

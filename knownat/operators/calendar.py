@@ -44,12 +44,22 @@ def latest_complete_week(bars: DataFrame, as_of: Column) -> DataFrame:
     return weeks.orderBy(F.desc("final_session")).limit(1)
 
 
+def sessions_upto(cal: DataFrame, dates: DataFrame) -> DataFrame:
+    """(_d, _n): number of the last session at or before each date, NULL before the first; one row per distinct date.
+
+    A forward fill over sessions and dates together: at most one row per day of the calendar.
+    """
+    marks = cal.select(F.col("date").alias("_d"), F.col("session_no").alias("_s"), F.lit(False).alias("_asked")).unionByName(
+        dates.where(F.col("_d").isNotNull()).distinct().select("_d", F.lit(None).cast("int").alias("_s"), F.lit(True).alias("_asked"))
+    )
+    fill = F.max("_s").over(Window.orderBy("_d").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return marks.withColumn("_n", fill).where("_asked").select("_d", "_n")
+
+
 def sessions_back(bars: DataFrame, ends: DataFrame, count: int, end: str = "end") -> DataFrame:
     """The session `count` sessions before the last one at or before `end`; NULL if too few."""
     cal = sessions(bars)
-    edge = ends.select(end).distinct().join(cal, F.col("date") <= F.col(end), "left").groupBy(end).agg(
-        F.max("session_no").alias("_n")
-    )
+    edge = sessions_upto(cal, ends.select(F.col(end).alias("_d"))).select(F.col("_d").alias(end), "_n")
     back = cal.select(F.col("session_no").alias("_k"), F.col("date").alias("back_session"))
     return edge.join(back, F.col("_k") == F.col("_n") - count, "left").select(end, "back_session")
 
@@ -58,9 +68,7 @@ def sessions_between(bars: DataFrame, spans: DataFrame, start: str = "start", en
     """Sessions after `start` up to and including `end`, per span, by index difference."""
     cal = sessions(bars)
     bounds = spans.select(F.explode(F.array(start, end)).alias("_d")).distinct()
-    upto = bounds.join(F.broadcast(cal), F.col("date") <= F.col("_d"), "left").groupBy("_d").agg(
-        F.coalesce(F.max("session_no"), F.lit(0)).alias("_n")
-    )
+    upto = sessions_upto(cal, bounds).select("_d", F.coalesce("_n", F.lit(0)).alias("_n"))
     a = upto.select(F.col("_d").alias(start), F.col("_n").alias("_a"))
     b = upto.select(F.col("_d").alias(end), F.col("_n").alias("_b"))
     return spans.join(a, start).join(b, end).withColumn(

@@ -291,15 +291,16 @@ def going_concern_matches(documents: DataFrame, key: str = "accession_no", text:
     hits = documents.where(body.rlike(T.DOUBT))
     pieces = F.split(body, T.DOUBT)
     anchors = F.regexp_extract_all(body, F.lit(T.DOUBT), F.lit(0))
-    spans = F.transform(
-        anchors,
-        lambda a, i: F.struct(
-            (
-                F.aggregate(F.slice(pieces, 1, i + 1), F.lit(0), lambda acc, p: acc + F.length(p))
-                + F.aggregate(F.slice(anchors, 1, i), F.lit(0), lambda acc, p: acc + F.length(p))
-            ).alias("start"),
-            F.length(a).alias("len"),
+    lengths = F.arrays_zip(F.transform(pieces, lambda p: F.length(p)).alias("before"), F.transform(anchors, lambda a: F.length(a)).alias("len"))
+    none = F.array().cast("array<struct<start:int,len:int>>")
+    spans = F.aggregate(  # one pass that carries the position
+        F.filter(lengths, lambda x: x["len"].isNotNull()),
+        F.struct(F.lit(0).alias("at"), none.alias("found")),
+        lambda s, x: F.struct(
+            (s["at"] + x["before"] + x["len"]).alias("at"),
+            F.array_append(s["found"], F.struct((s["at"] + x["before"]).alias("start"), x["len"].alias("len"))).alias("found"),
         ),
+        lambda s: s["found"],
     )
     rows = hits.select(key, body.alias("_t"), F.posexplode(spans).alias("anchor_no", "_a"))
     start, stop = F.col("_a.start"), F.col("_a.start") + F.col("_a.len")

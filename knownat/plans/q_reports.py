@@ -204,7 +204,11 @@ def pending_documents(t):
     return N.pending_filings(t.documents.select(F.col("doc_id").alias("accession_no")), t.labels.select(F.col("doc_id").alias("accession_no"))).select(F.col("accession_no").alias("doc_id"))
 
 
-@query("html_text")
+@query("html_text", "", r"""
+    SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(
+        regexp_replace(regexp_replace(html, '(?i)&(?:nbsp|#160|#xa0);', ' ', 'g'), '<[^>]*>', ' ', 'g'),
+        '&copy;', chr(169)), '&middot;', chr(183)), '&quot;', chr(34)), '&amp;?', '&', 'g'), '[\x{200b}\x{a0}\x{feff}]', ' ', 'g'),
+        '[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) AS text FROM pages""")
 def html_text(t):
     return t.pages.select("page_id", T.html_to_text("html").alias("text"))
 
