@@ -469,8 +469,8 @@ def insert_if_absent(t):
 
 
 @query("filing_class", "filings", r"""
-    SELECT accession_no, CASE WHEN doc_id % 11 = 3 THEN 'variable_convertible' WHEN doc_id % 11 = 0 THEN 'debt_or_structured' WHEN doc_id % 11 = 2 THEN 'atm_programme'
-        WHEN form_type IN ('S-3', 'S-1') AND doc_id % 11 = 1 THEN 'shelf_415' WHEN form_type IN ('S-3', 'S-1', '424B5', '424B2') AND doc_id % 11 IN (1, 4) THEN 'equity_offering' ELSE 'unknown' END AS outcome
+    SELECT accession_no, CASE WHEN contains(text, 'floating conversion terms') THEN 'variable_convertible' WHEN contains(text, 'senior notes due 2030') THEN 'debt_or_structured' WHEN contains(text, 'an at-the-market offering') THEN 'atm_programme'
+        WHEN form_type IN ('S-3', 'S-1') AND contains(text, 'under Rule 415') THEN 'shelf_415' WHEN form_type IN ('S-3', 'S-1', '424B5', '424B2') AND (contains(text, 'under Rule 415') OR contains(text, 'resale of ordinary shares')) THEN 'equity_offering' ELSE 'unknown' END AS outcome
     FROM filings""")
 def filing_class(t):
     from ..functions.text import classify_filing
@@ -482,8 +482,8 @@ _CAND = """
     , kf AS (SELECT *, CASE WHEN form_type IN ('S-3', 'S-1') THEN 0 WHEN form_type = '424B5' THEN 1 ELSE 2 END AS g FROM filings
          WHERE (form_type IN ('S-3', 'S-1') AND filed_date BETWEEN DATE '2023-06-30' - 1095 AND DATE '2023-06-30') OR (form_type IN ('424B2', '424B5') AND filed_date BETWEEN DATE '2023-06-30' - 365 AND DATE '2023-06-30')),
     cf AS (SELECT *, row_number() OVER (PARTITION BY cik ORDER BY g, filed_date DESC, accession_no) AS read_order, count(*) OVER (PARTITION BY cik) AS n FROM kf),
-    ev AS (SELECT *, CASE WHEN doc_id % 11 = 3 THEN 'variable_convertible' WHEN doc_id % 11 = 0 THEN 'debt_or_structured' WHEN doc_id % 11 = 2 THEN 'atm_programme'
-         WHEN g = 0 AND doc_id % 11 = 1 THEN 'shelf_415' WHEN doc_id % 11 IN (1, 4) THEN 'equity_offering' ELSE 'unknown' END AS outcome FROM cf),
+    ev AS (SELECT *, CASE WHEN contains(text, 'floating conversion terms') THEN 'variable_convertible' WHEN contains(text, 'senior notes due 2030') THEN 'debt_or_structured' WHEN contains(text, 'an at-the-market offering') THEN 'atm_programme'
+         WHEN g = 0 AND contains(text, 'under Rule 415') THEN 'shelf_415' WHEN (contains(text, 'under Rule 415') OR contains(text, 'resale of ordinary shares')) THEN 'equity_offering' ELSE 'unknown' END AS outcome FROM cf),
     et AS (SELECT *, outcome IN ('shelf_415', 'equity_offering', 'atm_programme', 'variable_convertible') AS scores,
          CASE WHEN outcome = 'shelf_415' THEN 'D1' WHEN outcome IN ('equity_offering', 'atm_programme', 'variable_convertible') THEN CASE WHEN g > 0 THEN 'D2' ELSE 'D3' END END AS tier FROM ev)"""
 
@@ -534,8 +534,8 @@ def overdue_issuer(t):
 
 
 @query("going_concern", "filings", """
-    SELECT accession_no, doc_id % 11 IN (6, 8) AS detected, doc_id % 11 = 8 AS alleviated, CASE doc_id % 11 WHEN 7 THEN 'denial' WHEN 9 THEN 'definition' END AS rejected_reason,
-           CASE doc_id % 11 WHEN 6 THEN strpos(text, 'substantial doubt') - 1 WHEN 8 THEN greatest(0, strpos(text, 'substantial doubt') - 241) END AS "offset" FROM filings""")
+    SELECT accession_no, contains(text, 'These conditions raise substantial doubt') OR contains(text, 'substantial doubt was alleviated') AS detected, contains(text, 'substantial doubt was alleviated') AS alleviated, CASE WHEN contains(text, 'did not raise substantial doubt') THEN 'denial' WHEN contains(text, 'whether there is substantial doubt') THEN 'definition' END AS rejected_reason,
+           CASE WHEN contains(text, 'These conditions raise substantial doubt') THEN strpos(text, 'substantial doubt') - 1 WHEN contains(text, 'substantial doubt was alleviated') THEN greatest(0, strpos(text, 'substantial doubt') - 241) END AS "offset" FROM filings""")
 def going_concern(t):
     return RK.going_concern(A.filings(t)).select("accession_no", "detected", "alleviated", "rejected_reason", F.col("offset").cast("bigint").alias("offset"))
 
