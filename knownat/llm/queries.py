@@ -85,6 +85,18 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return order_minhash.near_classes(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+#: All pairs that share a shingle of five words, and the least doc_id that can be reached over links and equal texts.
+ORACLES["op4_order_minhash"] = r"""
+    WITH RECURSIVE w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+    s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) <= 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+    c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE shared >= 0.8 * (x.n + y.n - shared)
+          UNION SELECT x.doc_id, y.doc_id FROM w x JOIN w y ON x.text = y.text),
+    r(a, b) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b)
+    SELECT r.a AS doc_id, min(r.b) AS class_id, max(k.copies) AS copies FROM r JOIN (SELECT doc_id, count(*) OVER (PARTITION BY text) AS copies FROM w) k ON k.doc_id = r.a GROUP BY 1"""
+
+
 @query
 def op6_nearest(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
