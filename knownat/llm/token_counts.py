@@ -33,14 +33,19 @@ class CountTree:
         self.merger = merger
         self.leaves = [[s] for s in slices] or [[]]
         self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.sizes, self.tokens = [0] * (2 * self.width), [0] * (2 * self.width)
-        self.sizes[self.width : self.width + len(slices)] = map(len, slices)
-        self.tokens[self.width : self.width + len(slices)] = [len(merger.ids(s)) for s in slices]
-        for i in range(self.width - 1, 0, -1):
-            self.sizes[i] = self.sizes[2 * i] + self.sizes[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.sizes = self._sums([len(s) for s in slices])
+        self.tokens = self._sums([len(merger.ids(s)) for s in slices])
+        self.whole = b"".join(slices)
         self.encoded = 0  # bytes encoded for edits so far
 
+    def _sums(self, leaves: list[int]) -> list[int]:
+        """The tree over some leaves, level by level; node i has the children 2i and 2i + 1."""
+        levels = [np.zeros(self.width, np.int64)]
+        levels[0][: len(leaves)] = leaves
+        while len(levels[-1]) > 1:
+            levels.append(levels[-1].reshape(-1, 2).sum(1))
+        return [0, *np.concatenate(levels[::-1]).tolist()]
+
     @property
     def size(self) -> int:
         return self.sizes[1]
@@ -50,7 +55,7 @@ class CountTree:
         return self.tokens[1]
 
     def text(self) -> bytes:
-        return b"".join(s for leaf in self.leaves for s in leaf)
+        return self.whole
 
     def _leaf(self, at: int) -> tuple[int, int]:
         """The leaf that holds byte `at` (the last with text, at the end) and the byte where it starts."""
@@ -78,6 +83,7 @@ class CountTree:
         removed = min(max(removed, 0), self.size - at)
         if not removed and not added:
             return
+        self.whole = self.whole[:at] + added + self.whole[at + removed :]
         first, start = self._leaf(max(at - LOOK_AROUND, 0))
         last, last_start = self._leaf(at + removed + 2 * LOOK_AROUND)
         end = last_start + self.sizes[last + self.width]

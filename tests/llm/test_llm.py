@@ -98,6 +98,7 @@ def test_count_tree_follows_edits(ranks, encoding):
             at, removed, new = source.randrange(70), source.choice([0, 0, 1, 3, 30]), sample(i * 7 + step, 8)
             text = text[: min(at, len(text))] + new + text[min(at, len(text)) + removed :]
             token_counts.apply(tree, at, removed, new)
+            assert b"".join(s for leaf in tree.leaves for s in leaf) == tree.text()
             assert tree.text().decode() == text and tree.count == len(encoding.encode_ordinary(text))
 
 
