@@ -4,10 +4,10 @@ A text's word shingles are labelled with their occurrence (first, second ...). E
 ROWS least labelled shingles and hashes them in the order they have in the text, so a match needs the same shingles in
 the same order: texts meet in a bucket with a probability that follows their edit similarity. Texts of a bucket are
 compared with its most central text (the one that meets most others over all buckets), not with each other. A bucket
-whose texts then still lie in several classes gets PIVOTS more central texts, and after that, if it has up to SMALL texts,
-every text is compared with every other that is not in its class yet. So small buckets are searched completely, and
-the work of a large one grows with its texts and not with their pairs. Two copies of one text that are alike without
-either being like its most central copies share edits, so they also meet in buckets that the other copies are not in.
+whose texts then still lie in several classes gets PIVOTS more central texts, and after that every text is compared with
+every other that is not in its class yet, however large the bucket is. So each pair of a bucket is tested unless its texts
+are in one class already. The pairs of the last round grow with the square of a bucket that stays divided; most of them
+are ruled out by the parities of their shingles (`possible`, which never rules out a link) before any text is read.
 
 Candidates are verified by aligning their distinct shingles in text order within a band: a pair is linked if the
 shingles on the best alignment are at least `least` of all shingles of both. For copies whose edits leave the order this is the
@@ -32,9 +32,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: 20 sketches of 5 shingles: texts of similarity 0.8 meet in a bucket with 0.9996, of 0.9 with 1 - 1e-8; of 0.3 with 0.05.
 SKETCHES, ROWS = 20, 5
-#: Pivots of a bucket in the second round (the most central of as many classes by hash), and the texts of a bucket that is
-#: searched completely in the third.
-PIVOTS, SMALL = 8, 64
+#: Pivots of a bucket in the second round (the most central of as many classes by hash); in the third every text is one.
+PIVOTS = 8
 #: Ids of candidates that are broadcast at most.
 FEW = 2_000_000
 #: Shingles hashed by all functions at once; longer texts take one function after the other.
@@ -119,6 +118,51 @@ def aligned(left: np.ndarray, right: np.ndarray, least: float = SIMILARITY) -> f
     return length / (total - length)
 
 
+def parities(values: np.ndarray) -> bytes:
+    """Bit i tells whether an odd number of the distinct values end in i; twice as many bits as values, a power of two."""
+    bits = 1 << max(6, (2 * len(values) - 1).bit_length())
+    return np.packbits(np.bincount((values & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
+
+
+def possible(left: bytes, right: bytes, total: int, least: float = SIMILARITY) -> bool:
+    """Whether sets with these parities, of `total` values in all, can be alike enough: each value that only one of
+    them holds turns one bit over, so there are at least as many such values as bits that differ."""
+    x, y = int.from_bytes(left, "little"), int.from_bytes(right, "little")
+    small, large = sorted((8 * len(left), 8 * len(right)))
+    x, y = (y, x) if len(left) > len(right) else (x, y)
+    while large > small:
+        large //= 2
+        y = (y >> large) ^ (y & ((1 << large) - 1))
+    return (x ^ y).bit_count() <= (1 - least) / (1 + least) * total + 1e-6
+
+
+def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words.slices(batch, "text"):
+            values, first = shingles(words.split(part.column("text")))
+            sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
+            made = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column("id"), *made], ["id", "n", "bits"])
+
+
+def _possible(least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")]
+            good = [possible(x, y, n + m, least) for x, y, n, m in zip(*columns)]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
+def _ruled_out(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) without those that the parities of their shingles rule out."""
+    bits = stored(texts.select("id", "text").mapInArrow(_parities, "id bigint, n int, bits binary").dropDuplicates(["id"]), "parities")
+    for side in "ab":
+        pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(least), "a bigint, b bigint")
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in words.slices(batch, "text"):
@@ -180,13 +224,15 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     edges = None
     for pool in (1, PIVOTS, None):
         classed = ["id"] if pool is None else [F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")]
-        members = members if pool else members.where(F.col("members") <= SMALL)
         rank = F.struct("centre", F.xxhash64("id").alias("tie"), "id", "size", "label")
         pivots = members.groupBy("band", "value", *classed).agg(F.max(rank).alias("p"))
         pivots = pivots.select("band", "value", F.col("p.id").alias("b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b"))
         pairs = members.join(pivots, ["band", "value"]).where(F.col("label") != F.col("label_b"))
         alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b")
+        alike = alike if pool else alike & (F.col("id") < F.col("b"))  # every text is a pivot: each pair from one side
         pairs = pairs.where(alike).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        if not pool:
+            pairs = _ruled_out(texts.join(members.select("id").distinct(), "id", "left_semi"), pairs, least)
         found = stored(_links(texts, pairs, least).distinct(), "links")
         edges = found if edges is None else edges.unionByName(found)
         classes = components(edges)

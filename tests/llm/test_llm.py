@@ -368,3 +368,25 @@ def test_words():
     assert [bytes(found.data[a:b]).decode() for a, b in zip(found.starts, found.ends)] == ["a", "bc", "d", "x", "yy"]
     assert found.word_offsets.tolist() == [0, 3, 3, 3, 4, 5] and len(set(words.hashes(found).tolist())) == 5
     assert (words.hashes(words.split(pa.array(["x", "yy"]))) == words.hashes(found)[3:]).all()
+
+
+def test_large_divided_buckets_are_searched_completely(spark):
+    """A pair that shares no more than hundreds of texts share, in large buckets only, and is like none of the others."""
+    core = " ".join(f"core{i}" for i in range(104))
+    texts = {i: core + "".join(f" own{i}x{k}" for k in range(12 if i in (150, 250) else 14)) for i in range(300)}
+    got = order_minhash.near_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == {i: 150 if i == 250 else i for i in texts}
+
+
+def test_parities_never_rule_out_a_link():
+    source = np.random.default_rng(16)
+    dropped = 0
+    for _ in range(300):
+        shared, left, right = (source.integers(0, 2**64, source.integers(1, n), np.uint64) for n in (400, 60, 60))
+        left, right = np.unique(np.concatenate([shared, left])), np.unique(np.concatenate([shared, right]))
+        both = len(np.intersect1d(left, right))
+        alike = both / (len(left) + len(right) - both)
+        able = order_minhash.possible(order_minhash.parities(left), order_minhash.parities(right), len(left) + len(right))
+        assert able or alike < 0.8
+        dropped += not able
+    assert dropped > 50
