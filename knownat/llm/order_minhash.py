@@ -2,7 +2,9 @@
 
 A text's word shingles are labelled with their occurrence (first, second ...). Each of SKETCHES hash functions picks the
 ROWS least labelled shingles and hashes them in the order they have in the text, so a match needs the same shingles in
-the same order: texts meet in a bucket with a probability that follows their edit similarity. Texts of a bucket are
+the same order: texts meet in a bucket with a probability that follows their edit similarity. A text that repeats shingles
+is sketched once more by its distinct ones, which are what is verified. Texts of few distinct shingles, whose sketches rarely
+agree, also have a bucket for each of their rarest ones, so that any two of them that are alike enough meet. Texts of a bucket are
 compared with its most central text (the one that meets most others over all buckets), not with each other. A bucket
 whose texts then still lie in several classes gets PIVOTS more central texts, and after that every text is compared with
 every other that is not in its class yet, however large the bucket is. So each pair of a bucket is tested unless its texts
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownat.llm import words
@@ -30,8 +32,10 @@ from knownat.llm.store import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: 20 sketches of 5 shingles: texts of similarity 0.8 meet in a bucket with 0.9996, of 0.9 with 1 - 1e-8; of 0.3 with 0.05.
+#: 20 sketches of 5 shingles: long texts of similarity 0.8 meet in a bucket with 0.9996, of 0.9 with 1 - 1e-8; of 0.3 with 0.05.
 SKETCHES, ROWS = 20, 5
+#: A text of up to so many distinct shingles meets every text that is alike enough. The least chance beyond is 0.9986.
+SHORT = 13
 #: Pivots of a bucket in the second round (the most central of as many classes by hash); in the third every text is one.
 PIVOTS = 8
 #: Ids of candidates that are broadcast at most.
@@ -92,6 +96,11 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.sort(first)]
 
 
+def prefix(size: Column, least: float) -> Column:
+    """So many of a text's distinct shingles, in one order of all shingles, hold one of any text that is alike enough."""
+    return size - F.ceil(size * least - 1e-6) + 1
+
+
 def aligned(left: np.ndarray, right: np.ndarray, least: float = SIMILARITY) -> float:
     """Shingles on the best alignment of two sequences of distinct shingles, as a share of all shingles of both.
 
@@ -163,19 +172,26 @@ def _ruled_out(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(least), "a bigint, b bigint")
 
 
-def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in words.slices(batch, "text"):
-            values, first = shingles(words.split(part.column("text")))
-            size, made = [], []
-            for a, b in zip(first[:-1], first[1:]):
-                if b > a:
-                    size.append(len(np.unique(values[a:b])))
-                    made.append(sketch(values[a:b]).view(np.int64))
-                else:
-                    size.append(0)
-                    made.append(np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(size, pa.int32()), pa.array(made, pa.list_(pa.int64()))], ["id", "size", "sketches"])
+def _signed(few: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in words.slices(batch, "text"):
+                values, first = shingles(words.split(part.column("text")))
+                size, bands, made, all_of_few = [], [], [], []
+                for a, b in zip(first[:-1], first[1:]):
+                    own = distinct(values[a:b])
+                    size.append(len(own))
+                    bands.append(np.arange(SKETCHES if b > a else 0, dtype=np.int32))
+                    made.append(sketch(values[a:b]).view(np.int64) if b > a else np.zeros(0, np.int64))
+                    if len(own) < b - a:
+                        once = sketch(own).view(np.int64)
+                        new = np.flatnonzero(once != made[-1])
+                        bands[-1], made[-1] = np.append(bands[-1], new.astype(np.int32)), np.append(made[-1], once[new])
+                    all_of_few.append(own.view(np.int64) if len(own) <= few else np.zeros(0, np.int64))
+                arrays = [pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int32())), *[pa.array(x, pa.list_(pa.int64())) for x in (made, all_of_few)]]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *arrays], ["id", "size", "bands", "sketches", "few"])
+
+    return run
 
 
 def _verified(least: float):
@@ -210,9 +226,14 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     usable = keyed.where(F.col("text").isNotNull() & F.col("id").isNotNull())
     prints = usable.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("print"))
     kinds = stored(prints.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "kinds")
-    signed = usable.mapInArrow(_signed, "id bigint, size int, sketches array<bigint>").where("size > 0")
-    signed = signed.join(kinds.select("rep"), signed.id == F.col("rep"), "left_semi")
-    buckets = stored(signed.select("id", "size", F.posexplode("sketches").alias("band", "value")), "sketches")
+    signed = usable.mapInArrow(_signed(int(SHORT / least + 1e-6)), "id bigint, size int, bands array<int>, sketches array<bigint>, few array<bigint>").where("size > 0")
+    signed = stored(signed.join(kinds.select("rep"), signed.id == F.col("rep"), "left_semi"), "sketches")
+    buckets = signed.select("id", "size", F.inline(F.arrays_zip("bands", "sketches")).alias("band", "value"))
+    few = signed.select("id", "size", F.explode("few").alias("value"))
+    rarest = Window.partitionBy("id").orderBy("texts", "value")  # of at most SHORT / least rows
+    few = few.join(few.groupBy("value").agg(F.count(F.lit(1)).alias("texts")), "value").withColumn("place", F.row_number().over(rarest))
+    few = few.where(F.col("place") <= prefix(F.col("size"), least)).select("id", "size", F.lit(-1).alias("band"), "value")
+    buckets = stored(buckets.unionByName(few), "buckets")
     shared = buckets.groupBy("band", "value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = buckets.join(shared, ["band", "value"])
     central = members.groupBy("id").agg(F.sum("members").alias("centre"))

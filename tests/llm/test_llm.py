@@ -390,3 +390,16 @@ def test_parities_never_rule_out_a_link():
         assert able or alike < 0.8
         dropped += not able
     assert dropped > 50
+
+
+def test_near_classes_of_few_and_of_repeated_shingles(spark):
+    source, texts = random.Random(17), {}
+    for i in range(40):  # 4 to 13 shingles against one more or one less
+        own = [f"t{i}x{source.randrange(10**6)}" for _ in range(8 + i % 10)]
+        texts[2 * i], texts[2 * i + 1] = " ".join(own), " ".join([f"more{i}", *own] if i % 2 else [*own, f"more{i}"])
+    for i in range(10):  # a line of five words once, or sixty times
+        own, line = " ".join(f"body{i}x{k}" for k in range(104)), " ".join(f"line{i}x{k}" for k in range(5))
+        texts[100 + 2 * i], texts[101 + 2 * i] = f"{own} {line}", f"{own} " + " ".join([line] * 60)
+    got = order_minhash.near_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
+    want = brute_classes(texts)
+    assert {r["doc_id"]: r["class_id"] for r in got} == want and all(want[i] == i - i % 2 for i in texts)
