@@ -228,22 +228,28 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *counts], ["term", "texts", "toxic", "clean", "clean_texts"])
 
 
-def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> tuple[list[str], list[float]]:
-    """Of (term, occurrences in toxic texts, in clean texts) those that tell most, with their log odds, given the words of
-    either kind of text. Of terms that begin with each other only the most telling stays."""
+def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int, most: int | None = None) -> tuple[list[str], list[float]]:
+    """Of (term, occurrences in toxic texts, in clean texts) the `most` that tell most, with their log odds, given the words
+    of either kind of text. Of terms that begin with each other only the most telling stays, but for words of FUZZY_WORD
+    letters or more: these stand beside their stem and do not count towards `most`, as a stem is never misspelled."""
     weight = {t: float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1))) for t, a, b in rows}
     telling = {t: a * weight[t] - (a + b) * np.log((1 + np.exp(weight[t])) / 2) * 0.5 for t, a, b in rows}
     chosen: list[str] = []
     stems, within = set(), set()
-    for term in sorted(weight, key=lambda t: (-telling[t], t)):
+    order = sorted(weight, key=lambda t: (-telling[t], t))
+    for term in order:
         bare = term.rstrip("*")
         starts = {bare[:k] for k in STEMS if len(bare) >= k}
         if starts & stems or (term.endswith("*") and bare in within):
             continue
+        if len(chosen) == most:
+            break
         chosen.append(term)
         within |= starts
         if term.endswith("*"):
             stems.add(bare)
+    held = set(chosen)
+    chosen += [t for t in order if len(t) >= FUZZY_WORD and t[-1] != "*" and t not in held and any(t[:k] in stems for k in STEMS)]
     return chosen, [weight[t] for t in chosen]
 
 
@@ -253,7 +259,7 @@ def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
     `most` bounds the labelled rows used, on average: those whose keys have the smallest hashes. A term must occur in
     `support` toxic texts (in an eighth of them, but at least three, if there are few), and `odds` times as often among the words of toxic as of clean texts (and in half
     as many times more texts); the `most_terms` most
-    telling are kept. Without labels the lexicon is empty and every text gets the prior's score.
+    telling are kept, and the words beside their stems. Without labels the lexicon is empty and every text gets the prior's score.
     """
     known = docs.where(F.col(label).isin(0, 1) & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"), F.col(key).alias("key"))
     rows = docs.where(F.col(label).isin(0, 1)).count()
@@ -268,8 +274,8 @@ def fit(docs: DataFrame, text: str = "text", label: str = "toxic", key: str = "d
     spread = (F.col("texts") + 0.5) / (sizes.get(1, 0) + 1) >= odds / 2 * (F.col("clean_texts") + 0.5) / (sizes.get(0, 0) + 1)
     enough = max(3, min(support, sizes.get(1, 0) // 8))
     top = counted.where((F.col("texts") >= enough) & often & spread).orderBy(F.desc("toxic"), "term").limit(20 * most_terms)
-    terms, weights = choose_terms([tuple(r) for r in top.select("term", "toxic", "clean").collect()], toxic, clean)
-    lexicon = compile_lexicon(terms[:most_terms], weights[:most_terms])
+    terms, weights = choose_terms([tuple(r) for r in top.select("term", "toxic", "clean").collect()], toxic, clean, most_terms)
+    lexicon = compile_lexicon(terms, weights)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -403,3 +403,18 @@ def test_near_classes_of_few_and_of_repeated_shingles(spark):
     got = order_minhash.near_classes(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")).collect()
     want = brute_classes(texts)
     assert {r["doc_id"]: r["class_id"] for r in got} == want and all(want[i] == i - i % 2 for i in texts)
+
+
+def test_held_out_misspellings_of_learned_words(spark):
+    """Words whose stems are learned are still found if misspelled before the stem's end."""
+    source = random.Random(18)
+    filler = [f"word{i}" for i in range(300)]
+    text = lambda *more: " ".join(source.sample(filler, 30) + list(more))
+    rows = [(i, text(*(["idiot", "idiots", "worthless"] if i % 2 else [])), i % 2) for i in range(200)]
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id bigint, text string, toxic int"))
+    assert any(t.endswith("*") for t in model.lexicon.terms)
+    tried = ["idjot", "1diot", "idi0t", "wrthless", "w0rthless", "idiot", "worthless"]
+    hit, kinds, _ = toxicity.run(model.lexicon, toxicity.letters(pa.array([" ".join(tried)])))
+    assert hit.tolist() == list(range(len(tried))) and set(kinds[:5]) <= {toxicity.NEAR_LONG, toxicity.NEAR_SHORT}
+    flagged = toxicity.score(spark.createDataFrame([(0, text("idjot", "w0rthless", "1diot")), (1, text())], "doc_id bigint, text string"), model).orderBy("doc_id").collect()
+    assert flagged[0]["score"] >= 0.3 > flagged[1]["score"]
