@@ -1,6 +1,6 @@
 """Document fingerprints as invertible Bloom lookup sketches, by DataFrame and SQL functions alone.
 
-A text is cut into paragraphs (here: at line ends, and at the ends of some sentences as their last letter says) and each distinct paragraph becomes a 64-bit
+A text is cut into paragraphs (here: at line ends and at every sentence end, in any script) and each distinct paragraph becomes a 64-bit
 digest. A sketch has three parts of cells; a digest falls into one cell of each part. A cell holds how many digests fell
 into it, the exclusive or of them and that of their checks. Subtracting the sketches of two versions cell by cell leaves
 only what differs; peeling takes the cells that hold one digest, removes those digests from their other cells, and so on.
@@ -31,7 +31,7 @@ TRIES = 20
 #: Rows whose ids are broadcast at most, when their texts are read again.
 FEW = 200_000
 #: A long line has several paragraphs, as lines of whole documents would make edits look larger than they are.
-PARAGRAPHS = r"(?<=[est][.!?])\\s+|\\n+"
+PARAGRAPHS = r'(?<=[.!?؟۔][\"”»)]?)\\s+|(?<=[。！？])|\\n+'
 
 
 def digests(text: str, pattern: str = PARAGRAPHS) -> Column:
