@@ -521,7 +521,7 @@ def dilution_flags(t):
     ev = DIL.evidence(DIL.candidate_filings(A.filings(t), A.day("2023-06-30")), A.day("2023-06-30"))
     names = ev.select("cik").distinct().withColumn("security_id", F.xxhash64("cik"))
     out = RK.dilution_flags(names, ev).join(names, "security_id")
-    return out.where(F.col("flag.flag_code") != "stale_or_incomplete_data").select("cik", "flag.flag_code", "flag.severity")
+    return out.select("cik", "flag.flag_code", "flag.severity")
 
 
 @query("overdue_issuer", "filings", """

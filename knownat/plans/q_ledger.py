@@ -138,6 +138,19 @@ def suppression_summary(t):
     return out.where(~F.col("reason").isin("open_position", "book_capacity", "selection_cap", "cohort_cap"))
 
 
+@query("suppression_summary_all", "", _sql("scores", _SURV + """
+    , h AS (SELECT * FROM (VALUES (20), (60)) v(horizon_days)),
+    late AS (SELECT s.security_id, h.horizon_days, CASE WHEN (h.horizon_days = 20 AND open20) OR (h.horizon_days = 60 AND open60) THEN 'open_position' WHEN s.security_id IN (SELECT security_id FROM pick) THEN NULL
+        WHEN open20 AND open60 THEN NULL WHEN s.k > (SELECT full_at FROM lim) THEN 'selection_cap' ELSE 'cohort_cap' END AS reason FROM s, h),
+    every AS (SELECT security_id, reason FROM f, h WHERE reason IS NOT NULL UNION ALL SELECT security_id, reason FROM late WHERE reason IS NOT NULL)
+    SELECT reason, count(DISTINCT security_id) AS securities, count(*) AS rows FROM every GROUP BY reason"""))
+def suppression_summary_all(t):
+    """All reasons; `suppression_summary` leaves out those that come after eligibility and cooldown."""
+    from ..operators import report as REP
+
+    return REP.suppression_summary(_select(t)[1])
+
+
 @query("select_tight_books")
 def select_tight_books(t):
     return _select(t, {20: 1, 60: 2})[1].groupBy("horizon_days", "reason").agg(F.count("*").alias("n"))
@@ -278,7 +291,21 @@ def position_pnl(t):
     return r.select("security_id", "entry_date", "horizon_days", "gross_pnl", "dividends_received")
 
 
-@query("books", "", _sql(_ENTRY_TABLES + " securities", _EXIT + """
+_CLOSED = _EXIT + """,
+    closed AS (SELECT * REPLACE (CASE WHEN reason IS NOT NULL THEN exit_date ELSE gone + 180 END AS exit_date) FROM fin WHERE reason IS NOT NULL OR (del AND DATE '2001-06-30' - gone >= 180))"""
+
+
+@query("position_pnl_all", "", _sql(_ENTRY_TABLES + " securities", _CLOSED + """
+    SELECT security_id, CAST(entry_date AS VARCHAR) AS entry_date, horizon AS horizon_days, round(CASE WHEN reason IS NOT NULL THEN sh * r * (raw * (1 - bps * 1e-4) - ep / r) ELSE -sh * ep END, 5) AS gross_pnl,
+      round(coalesce((SELECT sum(a.cash_amount * sh * coalesce((SELECT product(s.ratio) FROM splits s WHERE s.security_id = closed.security_id AND s.ex_date > closed.entry_date AND s.ex_date <= a.ex_date), 1.0)) FROM actions a
+        WHERE a.security_id = closed.security_id AND a.action_type = 'dividend' AND a.ex_date > closed.entry_date AND a.ex_date <= closed.exit_date), 0), 5) AS dividends_received FROM closed"""), places=5)
+def position_pnl_all(t):
+    """Every closed position; `position_pnl` leaves out those closed at zero after a delisting."""
+    r = _resolved(t).where(F.col("status") == "closed")
+    return r.select("security_id", "entry_date", "horizon_days", "gross_pnl", "dividends_received")
+
+
+@query("books", "",_sql(_ENTRY_TABLES + " securities", _EXIT + """
     SELECT horizon AS horizon_days, count(*) FILTER (reason IS NULL AND NOT del) AS open_position_count FROM fin GROUP BY 1"""))
 def books(t):
     return L.books(_resolved(t), (20, 60)).select("horizon_days", "open_position_count")
@@ -300,7 +327,19 @@ def benchmark_pair(t):
     return out.join(r.select("position_id", "security_id"), "position_id").select("security_id", "entry_date", "horizon_days", F.col("net_pnl").alias("benchmark_pnl"))
 
 
-@query("wilson", "trades", """
+@query("benchmark_pair_all", "", _sql(_ENTRY_TABLES + " securities bench", _CLOSED + """,
+    ba AS (SELECT date, CASE WHEN count(*) OVER w = 20 THEN avg(close * volume) OVER w END AS adv FROM bench WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)),
+    bp AS (SELECT f.security_id, f.entry_date, f.horizon, b.open, CASE WHEN a.adv > 50000000 THEN 5.0 WHEN a.adv >= 500000 THEN 15.0 ELSE 5.0 END AS sl, c.close
+        FROM closed f JOIN bench b ON b.date = f.entry_date ASOF LEFT JOIN ba a ON a.date < f.entry_date ASOF LEFT JOIN bench c ON c.date <= f.exit_date)
+    SELECT security_id, CAST(entry_date AS VARCHAR) AS entry_date, horizon AS horizon_days, round(1000 / (open * (1 + sl * 1e-4)) * (close * (1 - sl * 1e-4) - open * (1 + sl * 1e-4)), 6) AS benchmark_pnl FROM bp"""))
+def benchmark_pair_all(t):
+    """Every closed position; `benchmark_pair` leaves out those closed at zero after a delisting."""
+    r = _resolved(t).where(F.col("status") == "closed")
+    out = L.benchmark_positions(r, A.benchmark(A.bars(t)), _params())
+    return out.join(r.select("position_id", "security_id"), "position_id").select("security_id", "entry_date", "horizon_days", F.col("net_pnl").alias("benchmark_pnl"))
+
+
+@query("wilson", "trades","""
     , s AS (SELECT horizon_days, count(*) AS n, count(*) FILTER (net_pnl > 0) AS wins FROM trades GROUP BY 1), q AS (SELECT *, wins / n AS p, 1.959963985 * 1.959963985 AS z2 FROM s)
     SELECT horizon_days, n, wins, round((p + z2 / (2 * n) - 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 6) AS wilson_lower,
       round((p + z2 / (2 * n) + 1.959963985 * sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n), 6) AS wilson_upper FROM q""")
