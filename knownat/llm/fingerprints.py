@@ -201,6 +201,9 @@ def _edited(placed: DataFrame) -> DataFrame:
 def compare_edits(docs: DataFrame) -> DataFrame:
     """Fingerprints of each whole text and of its edited text, and the likeness to the edited and to the next text.
 
+    The fingerprint columns are sketches of 3 x PART cells for any length of text. The likeness is not taken from them but
+    from separate sketches of both versions, sized by their digests; fingerprints alone don't give back more differences
+    than their few cells hold.
     The edit replaces the last third of the code points by the first as many of the next document in descending doc_id.
     A null text is empty; equal texts have equal fingerprints; texts without a paragraph are alike (1). Repeated
     rows each get a row. Other columns are not read.
