@@ -7,11 +7,14 @@ failure arcs together get the share of bigrams seen once, the Good-Turing estima
 
 Counts grow with the corpus, so they stay dealt out in shards. Texts are dealt out in blocks; each block asks every shard
 for the counts of its distinct words and bigrams, and at the same time brings its own training counts. Shards add up
-what all blocks brought and answer in the order of the question. A block then holds all arcs its texts can take: each text
-is read once from left to right, and the state and the sum of log-probabilities are carried along.
+what all blocks brought and answer in the order of the question. A block then holds all arcs its texts can take: the
+log-probabilities of all its words are looked up at once and added up by text.
 
 Keys are parts of 64-bit hashes: within a shard 56 bits for words and 48 for bigrams. As shards grow in number with the
 corpus and not in size, the chance that two keys of a shard agree stays below one in 10^8 for a bigram.
+
+The automaton is of order 2, so the state is the previous word; `walk` evaluates it in closed form over arrays, and no states
+or arcs are built. Contexts longer than one word are left out.
 """
 
 from __future__ import annotations
