@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from knownat.llm import ann, backoff_lm, bpe, fingerprints, langid, mixing, order_minhash, sharding, token_counts, toxicity
+from knownat.llm import ann, backoff_lm, bpe, fingerprints, hard_negatives, langid, mixing, near_vectors, order_minhash, runs, sharding, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,67 @@ def op7_soft_mixing(spark: SparkSession, folder: str) -> DataFrame:
     labelled = table(spark, folder, "labels").select("doc_id", F.col("quality").alias("domain"))
     rates = mixing.mix(docs, labelled, QUALITY_TARGETS)
     return rates.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_quality_{name}") for i, name in enumerate(QUALITY_TARGETS)], "rate")
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding", label.alias("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, positives=5, negatives=5, least=80, most=100, scale=256.0)
+
+
+#: Rows with a label and finite components only.
+_VECTORS = """v AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)"""
+
+ORACLES["op11_hard_negatives"] = f"""
+    WITH {_VECTORS},
+    w AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM v),
+    s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+          FROM w a JOIN w b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+    p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+    n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.id) AS place
+          FROM p JOIN s ON s.anchor_id = p.anchor_id WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+    SELECT anchor_id, positive_id, place::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE place <= 5"""
+
+
+@query
+def op12_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, folder, "embeddings").select("vec_id", "embedding", "label"), least=0.93)
+
+
+ORACLES["op12_near_vectors"] = f"""
+    WITH RECURSIVE {_VECTORS},
+    w AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM v WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM w a JOIN w b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+    c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+    n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+    SELECT c.a AS vec_id, coalesce(n_links, 0) AS n_links, component_id, c.a = component_id AS kept FROM c LEFT JOIN n ON n.a = c.a"""
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): every tenth text, by the crc32 of doc_id as text, repeats some of its words from one word on."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    blank = F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")
+    rows = docs.select("doc_id", "text", (h % 10).alias("pick"), F.floor(h / 10).alias("g"), F.when(h % 10 == 0, F.filter(F.split(blank, " "), lambda w: w != "")).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    rows = rows.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    edited = F.expr("array_join(transform(sequence(0L, n - 1L), i -> w[int(if(i < a, i, a + (i - a) % p))]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, edited).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = runs.find_runs(repeated(table(spark, folder, "documents").select("doc_id", "text")))
+    # greatest length / period without rounding: the lengths times each other's periods
+    better = F.expr("""array_sort(runs, (x, y) -> case when x.length * y.period > y.length * x.period then -1 when x.length * y.period < y.length * x.period then 1
+        when x.start < y.start then -1 when x.start > y.start then 1 when x.period < y.period then -1 when x.period > y.period then 1 else 0 end)""")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    rows = found.withColumn("best", F.get(better, F.lit(0)))
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
