@@ -188,7 +188,8 @@ def near_vectors(vectors: DataFrame, least: float = COSINE, key: str = "vec_id",
     spread = kinds.select("node", "label", "size", "copies", "v", "codes", F.posexplode("codes").alias("table", "code"))
     place = ["label", "size", "table", "code"]
     large = spread.groupBy(*place).agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > bucket)
-    large = large.select(*place, F.ceil(F.col("members") / (bucket // 2)).cast("int").alias("blocks"))  # two blocks are one group
+    # two blocks are one group; written, so that its size is known and vectors are not shuffled to join it
+    large = stored(large.select(*place, F.ceil(F.col("members") / (bucket // 2)).cast("int").alias("blocks")), "large")
     dealt = spread.join(large, place, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     # a member of block b is in the cell of every pair (b, other); the cells (b, b) have pairs within a block
