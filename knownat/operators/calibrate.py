@@ -46,15 +46,18 @@ def component_distributions(scores: DataFrame) -> DataFrame:
 
 
 def submetric_distributions(scores: DataFrame, parts: Sequence[str] = ("value", "quality", "momentum")) -> DataFrame:
-    """Valid count, total and percentile histogram per stored submetric."""
-    ranked = scores.where("rankable")
-    every = F.concat(*[
-        F.transform(F.col(f"{p}_submetrics"), lambda s, p=p: F.struct(F.concat(F.lit(f"{p}."), s["metric"]).alias("metric"), s["value_used"].alias("percentile"), s["valid"].alias("valid")))
-        for p in parts
-    ])
-    rows = ranked.select(F.explode(every).alias("_s")).select("_s.*")
+    """Valid count, total and percentile histogram per stored submetric; one without a valid row has empty buckets."""
+
+    def named(part: str):
+        return lambda s: F.struct(F.concat(F.lit(f"{part}."), s["metric"]).alias("metric"), s["value_used"].alias("percentile"), s["valid"].alias("valid"))
+
+    every = F.concat(*[F.transform(F.col(f"{p}_submetrics"), named(p)) for p in parts])
+    rows = scores.where("rankable").select(F.explode(every).alias("_s")).select("_s.*")
     counts = rows.groupBy("metric").agg(F.count("*").alias("total"), F.count_if("valid").alias("valid_count"))
-    return histogram(rows.where("valid"), "percentile", 10, keys=["metric"]).join(counts, "metric")
+    filled = histogram(rows.where("valid"), "percentile", 10, keys=["metric"])
+    empty = counts.where("valid_count = 0").select("metric", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bucket"))
+    empty = empty.select("metric", "bucket", (F.col("bucket") * 10.0).alias("bucket_start"), ((F.col("bucket") + 1) * 10.0).alias("bucket_end"), F.lit(0).cast("bigint").alias("count"))
+    return filled.unionByName(empty).join(counts, "metric")
 
 
 def rankable_vs_withheld(scores: DataFrame, top: int | None = None) -> DataFrame:

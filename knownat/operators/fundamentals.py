@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..config import FROZEN, Params
 from ..functions import metrics as M
 from ..functions.core import canonical_text
+from ..session import cut_lineage
 from .asof import asof_join, latest_per_key
 from .bars import _ledger, split_events
 
@@ -81,15 +82,21 @@ ANNUAL_DAYS = (330, 400)
 PRIOR_YEAR_DAYS = (300, 430)
 
 
+#: Inputs outside the metrics, for the risk flags.
+EXTRA = {"retained_earnings": RETAINED_EARNINGS}
+#: A number for each (input, priority), and back.
+SLOTS = {(name, rank): i for i, (name, rank) in enumerate((n, r) for n, c in {**CONCEPTS, **EXTRA}.items() for r in range(1, len(c) + 1))}
+
+
 def concept_mapping(spark: SparkSession, extra: dict | None = None) -> DataFrame:
     """The mapping dimension: some fifty rows, broadcast wherever it is used."""
     rows = [
-        (name, *concept.split(":"), rank, name in DURATION_INPUTS)
+        (name, *concept.split(":"), rank, name in DURATION_INPUTS, SLOTS[name, rank])
         for name, concepts in {**CONCEPTS, **(extra or {})}.items()
         for rank, concept in enumerate(concepts, 1)
     ]
     return spark.createDataFrame(
-        rows, "input string, taxonomy string, concept string, priority int, wants_duration boolean"
+        rows, "input string, taxonomy string, concept string, priority int, wants_duration boolean, slot int"
     )
 
 
@@ -108,9 +115,24 @@ def mapped_facts(facts: DataFrame, mapping: DataFrame) -> DataFrame:
     return out.withColumns({"annual": F.coalesce(annual, F.lit(False)), "fits": fits})
 
 
-def annual_ends(mapped: DataFrame, key: str = "cik") -> DataFrame:
+def stated_values(mapped: DataFrame, key: str = "cik") -> DataFrame:
+    """One row per (key, period, acceptance, filing): the fitting value of each (input, priority) as a column `_v{slot}`,
+    whether the filing reports a fiscal year's end in an annual form, and whether any input of the metrics is in it.
+
+    A filing states a score of facts at once, so this is far shorter than the facts, and everything below is taken from
+    it. It is one hash aggregation of numbers, combined map-side. If a filing states a concept twice, the larger value counts.
+    """
+    value = F.when(F.col("fits"), F.col("normalized_numeric_value").cast("double"))
+    return mapped.groupBy(key, "period_end", "accepted_at", "accession_no").agg(
+        F.max(F.col("annual") & F.col("form_type").startswith("10-K")).alias("annual_end"),
+        F.max(~F.col("input").isin(*EXTRA)).alias("in_metrics"),
+        *[F.max(F.when(F.col("slot") == i, value)).alias(f"_v{i}") for i in SLOTS.values()],
+    )
+
+
+def annual_ends(stated: DataFrame, key: str = "cik") -> DataFrame:
     """Distinct fiscal year ends reported by annual filings."""
-    return mapped.where(F.col("annual") & F.col("form_type").startswith("10-K")).select(key, "period_end").distinct()
+    return stated.where("annual_end").select(key, "period_end").distinct()
 
 
 def latest_periods(ends: DataFrame, since: Column | None = None, n: int | None = None, key: str = "cik") -> DataFrame:
@@ -130,66 +152,91 @@ def prior_period(periods: DataFrame, ends: DataFrame, key: str = "cik") -> DataF
     return joined.groupBy(*periods.columns).agg(F.max("_e").alias("prior_end"))
 
 
-def knowledge_states(mapped: DataFrame, n: int | None = None, key: str = "cik") -> DataFrame:
+def knowledge_states(stated: DataFrame, n: int | None = None, key: str = "cik") -> DataFrame:
     """Acceptance times per (company, period), all or the newest `n`."""
-    stamps = mapped.select(key, "period_end", F.col("accepted_at").alias("knowledge_date")).distinct()
+    stamps = stated.where("in_metrics").select(key, "period_end", F.col("accepted_at").alias("knowledge_date")).distinct()
     if n is None:
         return stamps
     w = Window.partitionBy(key, "period_end").orderBy(F.desc("knowledge_date"))
     return stamps.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
 
 
-def _input_struct() -> Column:
-    return F.struct(
-        F.col("normalized_numeric_value").cast("double").alias("value"),
-        F.concat_ws(":", "taxonomy", "concept").alias("concept"),
-        F.col("accession_no").alias("accession"),
-    )
+def _first_stated(name: str, usable: str = "{0}") -> str:
+    """SQL of (rank, at, filing, value) of the first concept of an input that a filing states; NULL if it states none."""
+    ranks = [(r, usable.format(f"_v{i}")) for (n, r), i in SLOTS.items() if n == name]
+    value = f"coalesce({', '.join(v for _, v in ranks)})"
+    rank = "CASE " + " ".join(f"WHEN {v} IS NOT NULL THEN {-r}" for r, v in ranks) + " END"
+    return f"CASE WHEN {value} IS NOT NULL THEN named_struct('rank', {rank}, 'at', _at, 'filing', _filing, 'value', {value}) END"
+
+
+def _input(best: str, name: str, alias: str) -> str:
+    """SQL of the struct (value, concept, accession) of a carried best value."""
+    concepts = ", ".join(f"'{c}'" for c in {**CONCEPTS, **EXTRA}[name])
+    struct = f"named_struct('value', {best}.value, 'concept', element_at(array({concepts}), -{best}.rank), 'accession', {best}.filing)"
+    return f"CASE WHEN {best} IS NOT NULL THEN {struct} END AS {alias}"
 
 
 def resolve_inputs(
-    grid: DataFrame, mapped: DataFrame, inputs: list[str], prior_inputs: list[str] = (), key: str = "cik"
+    grid: DataFrame, stated: DataFrame, inputs: list[str], prior_inputs: list[str] = (), key: str = "cik"
 ) -> DataFrame:
     """Input structs as known at each (key, period_end, knowledge_date[, prior_end]).
 
     First concept by priority with any usable fact wins, then the newest
-    acceptance. One join and one aggregation give all inputs, this year's and
-    the prior year's.
+    acceptance. Filings and the moments asked for are put in one order of time per
+    (key, period), and the best value so far of every input is carried forward, so
+    each filing is read once whatever the number of states.
     """
-    has_prior = "prior_end" in grid.columns
+    has_prior = "prior_end" in grid.columns and len(prior_inputs) > 0
+    names = list(dict.fromkeys([*inputs, *prior_inputs]))
     targets = F.array("period_end", "prior_end") if has_prior else F.array("period_end")
-    wanted = grid.select(*grid.columns, F.posexplode(targets).alias("_which", "_target")).where(F.col("_target").isNotNull())
-    facts = mapped.where(F.col("fits") & F.col("input").isin(*{*inputs, *prior_inputs})).select(
-        F.col(key).alias("_k"), F.col("period_end").alias("_end"), "accepted_at", "input",
-        F.struct(-F.col("priority"), "accepted_at", "accession_no").alias("_order"), _input_struct().alias("_in"),
-    )
-    joined = wanted.join(
-        facts,
-        (wanted[key] == facts["_k"]) & (wanted["_target"] == facts["_end"]) & (facts["accepted_at"] <= wanted["knowledge_date"]),
-        "left",
-    )
+    wanted = grid.select(F.col(key).alias("_k"), F.col("knowledge_date").alias("_at"), F.struct(*grid.columns).alias("_state"), F.posexplode(targets).alias("_which", "_target"))
+    filings = stated.select(F.col(key).alias("_k"), F.col("period_end").alias("_target"), F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *[f"_v{i}" for (n, _), i in SLOTS.items() if n in names])
+    filings = filings.selectExpr("_k", "_target", "_at", *[f"{_first_stated(n)} AS {n}" for n in names])
+    mixed = filings.unionByName(wanted.where(F.col("_target").isNotNull()), allowMissingColumns=True)
+    # a fact accepted at the very moment is known then: filings, which have no `_which`, come before states
+    so_far = "(PARTITION BY _k, _target ORDER BY _at, _which NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    filled = mixed.selectExpr("_which", "_state", *[f"max({n}) OVER {so_far} AS {n}" for n in names]).where("_which >= 0")
+    rows = filled.where("_which = 0").selectExpr("_state.*", *[_input(n, n, n) for n in inputs])
+    if not has_prior:
+        return rows
+    keys = [key, "period_end", "knowledge_date"]
+    prior = filled.where("_which = 1").selectExpr(*[f"_state.{c} AS _{c}" for c in keys], *[_input(n, n, f"prior_{n}") for n in prior_inputs])
+    joined = rows.join(prior, [F.col(c) == F.col(f"_{c}") for c in keys], "left")
+    return joined.drop(*[f"_{c}" for c in keys])
 
-    def pick(name: str, which: int) -> Column:
-        mine = (F.col("input") == name) & (F.col("_which") == which)
-        return F.max_by("_in", F.when(mine, F.col("_order")))
 
-    aggs = [pick(n, 0).alias(n) for n in inputs] + [pick(n, 1).alias(f"prior_{n}") for n in prior_inputs]
-    return joined.groupBy(*grid.columns).agg(*aggs)
+#: Days are numbered from 1900 in so many bits; dates lie before 2079.
+DAY_BITS, DAY_ZERO = 16, 25567
 
 
-def instant_as_of(grid: DataFrame, mapped: DataFrame, name: str, as_of: dict[str, Column], key: str = "cik") -> DataFrame:
-    """Latest positive balance dated at or before each as-of column, as known then."""
-    facts = mapped.where((F.col("input") == name) & F.col("period_start").isNull() & (F.col("normalized_numeric_value") > 0)).select(
-        F.col(key).alias("_k"), F.col("period_end").alias("_end"), "accepted_at",
-        F.struct(-F.col("priority"), "period_end", "accepted_at", "accession_no").alias("_order"),
-        _input_struct().alias("_in"),
-    )
+def instant_as_of(grid: DataFrame, stated: DataFrame, name: str, as_of: dict[str, Column], key: str = "cik") -> DataFrame:
+    """Latest positive balance dated at or before each as-of column, as known then.
+
+    Both the fact's date and its acceptance are bounded from above. Dates are cut
+    into dyadic spans: a fact is entered in the span of each length that holds its
+    date, and the days up to a question's date are at most one span of each length.
+    In every span facts and questions are put in one order of time and the best fact
+    so far is carried forward; a question takes the best of its spans.
+    """
     keys = [key, "period_end", "knowledge_date"]
-    joined = grid.join(
-        facts, (grid[key] == facts["_k"]) & (facts["accepted_at"] <= grid["knowledge_date"]), "left"
+    day = lambda c: F.unix_date(c) + DAY_ZERO
+    facts = stated.select(F.col(key).alias("_k"), "period_end", F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *[f"_v{i}" for (n, _), i in SLOTS.items() if n == name])
+    facts = facts.withColumn("_one", F.expr(_first_stated(name, "if({0} > 0, {0}, NULL)"))).where(F.col("_one").isNotNull()).select(
+        "_k", "_at", day(F.col("period_end")).alias("_day"), F.struct("_one.rank", F.col("period_end").alias("end"), "_one.at", "_one.filing", "_one.value").alias("_fact"),
+    )
+    levels = F.explode(F.sequence(F.lit(0), F.lit(DAY_BITS - 1))).alias("_level")
+    entered = facts.select("_k", "_at", "_fact", "_day", levels).select("_k", "_level", F.expr("shiftright(_day, _level)").alias("_span"), "_at", "_fact")
+    asks = F.array(*[F.struct(F.lit(i).alias("out"), (day(at) + 1).alias("end")) for i, at in enumerate(as_of.values())])
+    asked = grid.select(F.col(key).alias("_k"), F.col("knowledge_date").alias("_at"), "period_end", F.explode(asks).alias("_ask"))
+    asked = asked.select("_k", "_at", "period_end", F.col("_ask.out").alias("_out"), F.col("_ask.end").alias("_end"), levels)
+    # the days before `_end`: a span of 2^level days for each bit that is set in it
+    asked = asked.where("getbit(_end, _level) = 1").select("_k", "_level", F.expr("shiftright(_end, _level) - 1").alias("_span"), "_at", "period_end", "_out")
+    so_far = Window.partitionBy("_k", "_level", "_span").orderBy("_at", F.col("_out").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = entered.unionByName(asked, allowMissingColumns=True).withColumn("_best", F.max("_fact").over(so_far))
+    picked = filled.where("_out IS NOT NULL AND _best IS NOT NULL").groupBy(F.col("_k").alias(key), "period_end", F.col("_at").alias("knowledge_date")).agg(
+        *[F.max(F.when(F.col("_out") == i, F.col("_best"))).alias(out) for i, out in enumerate(as_of)]
     )
-    aggs = [F.max_by("_in", F.when(F.col("_end") <= at, F.col("_order"))).alias(out) for out, at in as_of.items()]
-    return joined.groupBy(*keys).agg(*aggs)
+    return grid.select(*keys).distinct().join(picked.selectExpr(*keys, *[_input(c, name, c) for c in as_of]), keys, "left")
 
 
 def derived_fundamentals(
@@ -201,14 +248,13 @@ def derived_fundamentals(
     `securities`: security_id, cik, sic_code, class_count. Metric columns are
     structs (value, concept, accession, reason).
     """
-    mapping = concept_mapping(facts.sparkSession)
-    mapped = mapped_facts(facts, mapping)
-    ends = annual_ends(mapped)
+    stated = cut_lineage(stated_values(mapped_facts(facts, concept_mapping(facts.sparkSession))))
+    ends = annual_ends(stated)
     periods = prior_period(latest_periods(ends, None if since is None else F.lit(since).cast("date")), ends)
-    grid = periods.join(knowledge_states(mapped), ["cik", "period_end"])
-    rows = resolve_inputs(grid, mapped, list(CONCEPTS), list(PRIOR_INPUTS))
+    grid = periods.join(knowledge_states(stated), ["cik", "period_end"])
+    rows = resolve_inputs(grid, stated, list(CONCEPTS), list(PRIOR_INPUTS))
     shares = instant_as_of(
-        grid, mapped, "shares_outstanding",
+        grid, stated, "shares_outstanding",
         {
             "_shares": F.col("knowledge_date").cast("date"),
             "_shares_at_period": F.col("period_end"),

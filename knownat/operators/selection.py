@@ -213,8 +213,12 @@ def select(
     limits = {
         "_full": F.when(F.size(chosen) >= params.max_candidates_per_selection, F.element_at(F.transform(chosen, lambda x: x["_k"]), -1)),
     }
+    def free_for(h: int):
+        """Rows that can still use book h. A bound argument, not a default one: Spark takes a second parameter for the position."""
+        return lambda x: ~F.array_contains(x["open_horizons"], F.lit(h))
+
     for h in horizons:
-        used = F.transform(F.filter(chosen, lambda x, h=h: ~F.array_contains(x["open_horizons"], F.lit(h))), lambda x: x["_k"])
+        used = F.transform(F.filter(chosen, free_for(h)), lambda x: x["_k"])
         # with capacity c the book is gone after the c-th selected row that could use it
         limits[f"_gone_{h}"] = (
             F.when(F.size(used) >= capacity[h], F.get(used, F.lit(int(capacity[h]) - 1))) if capacity[h] > 0 else F.lit(None).cast(_KEY)

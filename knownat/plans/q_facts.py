@@ -68,10 +68,10 @@ def _pit_sql(body: str, extra: str = "") -> str:
 
 
 def _grid(t):
-    mapped = FU.mapped_facts(A.facts(t), FU.concept_mapping(t.spark))
-    ends = FU.annual_ends(mapped)
+    stated = stored(t, "stated_values", lambda: FU.stated_values(FU.mapped_facts(A.facts(t), FU.concept_mapping(t.spark, FU.EXTRA))))
+    ends = FU.annual_ends(stated)
     periods = FU.prior_period(FU.latest_periods(ends), ends)
-    return mapped, periods.join(FU.knowledge_states(mapped), ["cik", "period_end"])
+    return stated, periods.join(FU.knowledge_states(stated), ["cik", "period_end"])
 
 
 @query("knowledge_grid", "", _pit_sql("""
@@ -84,8 +84,8 @@ def knowledge_grid(t):
     SELECT cik, CAST(period_end AS VARCHAR) AS period_end, strftime(knowledge_date, '%Y-%m-%d %H:%M:%S') AS knowledge_date, input, round(value, 8) AS value, concept, accession_no AS accession
     FROM pit WHERE which = 0"""), places=8)
 def asof_pit_fact(t):
-    mapped, grid = _grid(t)
-    rows = FU.resolve_inputs(grid, mapped, list(FU.CONCEPTS))
+    stated, grid = _grid(t)
+    rows = FU.resolve_inputs(grid, stated, list(FU.CONCEPTS))
     long = rows.select("cik", "period_end", "knowledge_date", F.explode(F.array(*[F.struct(F.lit(n).alias("input"), F.col(n).alias("v")) for n in FU.CONCEPTS])).alias("_x"))
     return long.where(F.col("_x.v").isNotNull()).select(
         "cik", "period_end", "knowledge_date", "_x.input", F.col("_x.v.value").alias("value"), F.col("_x.v.concept").alias("concept"), F.col("_x.v.accession").alias("accession")
@@ -97,8 +97,8 @@ def asof_pit_fact(t):
     FROM grid g LEFT JOIN mf f ON f.cik = g.cik AND f.input = 'shares_outstanding' AND f.period_start IS NULL AND f.value > 0 AND f.period_end <= CAST(g.knowledge_date AS DATE) AND f.accepted_at <= g.knowledge_date
     QUALIFY row_number() OVER (PARTITION BY g.cik, g.period_end, g.knowledge_date ORDER BY f.priority, f.period_end DESC, f.accepted_at DESC, f.accession_no DESC) = 1"""), places=4)
 def asof_instant(t):
-    mapped, grid = _grid(t)
-    out = FU.instant_as_of(grid, mapped, "shares_outstanding", {"_s": F.col("knowledge_date").cast("date")})
+    stated, grid = _grid(t)
+    out = FU.instant_as_of(grid, stated, "shares_outstanding", {"_s": F.col("knowledge_date").cast("date")})
     return out.select("cik", "period_end", "knowledge_date", F.col("_s.value").alias("shares"), F.col("_s.accession").alias("accession"))
 
 
@@ -242,11 +242,9 @@ _ALT = f"""
 
 
 def _altman_inputs(t):
-    mapping = FU.concept_mapping(t.spark, {"retained_earnings": FU.RETAINED_EARNINGS})
-    mapped_all = FU.mapped_facts(A.facts(t), mapping)
-    _, grid = _grid(t)
+    stated, grid = _grid(t)
     names = ["current_assets", "current_liabilities", "retained_earnings", "operating_income", "pretax_income", "interest_expense", "stockholders_equity", "assets", "liabilities"]
-    rows = FU.resolve_inputs(grid, mapped_all, [*names, "cfo", "capex"])
+    rows = FU.resolve_inputs(grid, stated, [*names, "cfo", "capex"])
     # like the fundamentals rows, only states with at least one resolved input exist
     return rows, [F.col(f"{n}.value").alias("equity" if n == "stockholders_equity" else n) for n in names]
 
@@ -254,8 +252,8 @@ def _altman_inputs(t):
 @query("altman", "", _pit_sql(", " + _WIDE + _ALT))
 def altman(t):
     rows, cols = _altman_inputs(t)
-    mapped, grid = _grid(t)
-    seen = FU.resolve_inputs(grid, mapped, list(FU.CONCEPTS), list(FU.PRIOR_INPUTS))
+    stated, grid = _grid(t)
+    seen = FU.resolve_inputs(grid, stated, list(FU.CONCEPTS), list(FU.PRIOR_INPUTS))
     any_input = F.coalesce(*[F.col(f"{n}.value") for n in FU.CONCEPTS], *[F.col(f"prior_{n}.value") for n in FU.PRIOR_INPUTS])
     keys = ["cik", "period_end", "knowledge_date"]
     present = seen.where(any_input.isNotNull()).select(*keys)
@@ -267,8 +265,8 @@ def altman(t):
         CASE WHEN cfo IS NULL THEN 'unknown' WHEN cfo >= 0 THEN 'none' ELSE 'high' END AS ocf, CASE WHEN cfo IS NULL OR capex IS NULL THEN 'unknown' WHEN cfo - abs(capex) >= 0 THEN 'none' WHEN cfo >= 0 THEN 'medium' ELSE 'high' END AS fcf
     FROM wide"""))
 def cash_flow_flags(t):
-    mapped, grid = _grid(t)
-    rows = FU.resolve_inputs(grid, mapped, list(FU.CONCEPTS), list(FU.PRIOR_INPUTS))
+    stated, grid = _grid(t)
+    rows = FU.resolve_inputs(grid, stated, list(FU.CONCEPTS), list(FU.PRIOR_INPUTS))
     any_input = F.coalesce(*[F.col(f"{n}.value") for n in FU.CONCEPTS], *[F.col(f"prior_{n}.value") for n in FU.PRIOR_INPUTS])
     return rows.where(any_input.isNotNull()).select(
         "cik", "period_end", "knowledge_date", RK.negative_operating_cash_flow(F.col("cfo"))["severity"].alias("ocf"),

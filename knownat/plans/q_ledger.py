@@ -151,9 +151,21 @@ def suppression_summary_all(t):
     return REP.suppression_summary(_select(t)[1])
 
 
-@query("select_tight_books")
+@query("select_tight_books", "", _sql("scores", _SURV + """,
+    greedy AS (WITH RECURSIVE w AS (
+        SELECT CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS security_id, 1 AS r20, 2 AS r60, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS b20, CAST(NULL AS VARCHAR) AS b60, CAST(NULL AS VARCHAR) AS verdict
+        UNION ALL
+        SELECT k, security_id, CASE WHEN verdict = 'selected' AND b20 IS NULL THEN r20 - 1 ELSE r20 END, CASE WHEN verdict = 'selected' AND b60 IS NULL THEN r60 - 1 ELSE r60 END,
+          CASE WHEN verdict = 'selected' THEN list_append(taken, cohort_id) ELSE taken END, b20, b60, verdict
+        FROM (SELECT *, CASE WHEN b20 IS NOT NULL AND b60 IS NOT NULL THEN 'blocked' WHEN len(taken) >= 5 THEN 'selection_cap'
+                WHEN len(list_filter(taken, lambda c: c = cohort_id)) >= 2 THEN 'cohort_cap' ELSE 'selected' END AS verdict
+              FROM (SELECT s.k, s.security_id, s.cohort_id, w.r20, w.r60, w.taken, CASE WHEN s.open20 THEN 'open_position' WHEN w.r20 <= 0 THEN 'book_capacity' END AS b20,
+                      CASE WHEN s.open60 THEN 'open_position' WHEN w.r60 <= 0 THEN 'book_capacity' END AS b60 FROM w JOIN s ON s.k = w.k + 1)))
+      SELECT * FROM w WHERE k > 0),
+    late AS (SELECT security_id, h AS horizon_days, coalesce(CASE WHEN h = 20 THEN b20 ELSE b60 END, CASE WHEN verdict IN ('selection_cap', 'cohort_cap') THEN verdict END) AS reason FROM greedy, (VALUES (20), (60)) v(h))
+    SELECT security_id, h AS horizon_days, reason FROM f, (VALUES (20), (60)) v(h) WHERE reason IS NOT NULL UNION ALL SELECT security_id, horizon_days, reason FROM late WHERE reason IS NOT NULL"""))
 def select_tight_books(t):
-    return _select(t, {20: 1, 60: 2})[1].groupBy("horizon_days", "reason").agg(F.count("*").alias("n"))
+    return _select(t, {20: 1, 60: 2})[1].select("security_id", "horizon_days", "reason")
 
 
 @query("threshold_sweep", "", _sql("scores", """

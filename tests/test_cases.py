@@ -115,6 +115,50 @@ def test_selection_matches_greedy_scan(spark, capacity):
     assert sorted((r.security_id, r.horizon_days, r.reason) for r in dropped.collect()) == log
 
 
+@pytest.mark.parametrize("capacity", [{20: 1, 60: 10}, {20: 2, 60: 1}, {20: 3, 60: 3}])
+def test_selection_with_tight_books_over_many_seeds(spark, capacity):
+    rows = []
+    for seed in range(250):
+        rng = random.Random(seed)
+        rows += [
+            dict(seed=seed, security_id=i, symbol=str(i), cohort_id=rng.choice("ABCD"), composite=float(rng.randint(56, 60)), quality=float(rng.randint(0, 2)), inputs_complete=rng.randint(0, 1),
+                 open_horizons=rng.choice([[], [20], [60], [20, 60]]))
+            for i in range(12)
+        ]
+    df = spark.createDataFrame(
+        [(r["seed"], r["security_id"], r["cohort_id"], r["composite"], r["quality"], r["inputs_complete"], r["open_horizons"]) for r in rows],
+        "seed int, security_id bigint, cohort_id string, composite double, quality double, inputs_complete int, open_horizons array<int>",
+    ).withColumns({
+        "rankable": F.lit(True), "model_applicable": F.lit(True), "dilution_score": F.lit(0.0), "dilution_disqualified": F.lit(False), "high_going_concern": F.lit(False),
+        "high_dilution_flags": F.array().cast("array<string>"), "last_exit_session": F.lit(None).cast("date"), "last_gap_cancel_session": F.lit(None).cast("date"), "rank": F.lit(None).cast("bigint"),
+    })
+    none = F.lit(None).cast("date")
+    picked, dropped = SEL.select(df, capacity, none, none, group=("seed",))
+    chosen, log = {}, {}
+    for r in picked.orderBy("seed", "position").collect():
+        chosen.setdefault(r.seed, []).append(r.security_id)
+    for r in dropped.collect():
+        log.setdefault(r.seed, []).append((r.security_id, r.horizon_days, r.reason))
+    for seed in range(250):
+        want, reasons = greedy([r for r in rows if r["seed"] == seed], sorted(capacity), 5, 2, capacity)
+        assert (chosen.get(seed, []), sorted(log.get(seed, []))) == (want, reasons), seed
+
+
+def test_submetric_distributions_keep_every_metric(spark):
+    from knownat.operators.calibrate import submetric_distributions
+
+    part = "array<struct<metric string, value_used double, valid boolean>>"
+    df = spark.createDataFrame(
+        [(True, [("pe", 15.0, True), ("pb", None, False)], [], []), (True, [("pe", 95.0, True), ("pb", None, False)], [("roic", 100.0, True)], []), (False, [("pe", 1.0, True)], [], [])],
+        f"rankable boolean, value_submetrics {part}, quality_submetrics {part}, momentum_submetrics {part}",
+    )
+    got = {(r.metric, r.bucket): r for r in submetric_distributions(df).collect()}
+    assert {m for m, _ in got} == {"value.pe", "value.pb", "quality.roic"} and len(got) == 30
+    assert [got["value.pe", b]["count"] for b in range(10)] == [0, 1, 0, 0, 0, 0, 0, 0, 0, 1]
+    assert all(got["value.pb", b]["count"] == 0 for b in range(10)) and (got["value.pb", 0].total, got["value.pb", 0].valid_count) == (2, 0)
+    assert got["quality.roic", 9]["count"] == 1 and got["value.pe", 0].bucket_end == 10.0
+
+
 def test_week_is_complete_only_when_proved(spark):
     bars = spark.createDataFrame([(date(2026, 1, d),) for d in (5, 6, 7, 8, 9, 12, 13, 14)], "date date")
     weeks = {r.iso_week: r.complete for r in CAL.trading_weeks(bars, F.lit("2026-01-20").cast("date")).collect()}
