@@ -6,10 +6,11 @@ the same order: texts meet in a bucket with a probability that follows their edi
 is sketched once more by its distinct ones, which are what is verified. Texts of few distinct shingles, whose sketches rarely
 agree, also have a bucket for each of their rarest ones, so that any two of them that are alike enough meet. Texts of a bucket are
 compared with its most central text (the one that meets most others over all buckets), not with each other. A bucket
-whose texts then still lie in several classes gets PIVOTS more central texts, and after that every text is compared with
-every other that is not in its class yet, however large the bucket is. So each pair of a bucket is tested unless its texts
-are in one class already. The pairs of the last round grow with the square of a bucket that stays divided; most of them
-are ruled out by the parities of their shingles (`possible`, which never rules out a link) before any text is read.
+whose texts then still lie in several classes gets PIVOTS more central texts. All texts of buckets that are divided even
+then are joined by their rarest shingles: with all shingles in one order, rarest first, two texts that are alike enough
+share one of the first size - ceil(least * size) + 1 of each (`rare_pairs`). So each pair of a bucket that can be a link is
+tested unless its texts are in one class already, however large the bucket is, and a passage that many texts share, which is
+never rare, makes no pairs.
 
 Candidates are verified by aligning their distinct shingles in text order within a band: a pair is linked if the
 shingles on the best alignment are at least `least` of all shingles of both. For copies whose edits leave the order this is the
@@ -36,10 +37,8 @@ SIMILARITY = 0.8
 SKETCHES, ROWS = 20, 5
 #: A text of up to so many distinct shingles meets every text that is alike enough. The least chance beyond is 0.9986.
 SHORT = 13
-#: Pivots of a bucket in the second round (the most central of as many classes by hash); in the third every text is one.
+#: Pivots of a bucket in the second round: the most central of as many classes by hash.
 PIVOTS = 8
-#: Ids of candidates that are broadcast at most.
-FEW = 2_000_000
 #: Shingles hashed by all functions at once; longer texts take one function after the other.
 AT_ONCE = 50_000
 
@@ -145,31 +144,48 @@ def possible(left: bytes, right: bytes, total: int, least: float = SIMILARITY) -
     return (x ^ y).bit_count() <= (1 - least) / (1 + least) * total + 1e-6
 
 
-def _parities(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in words.slices(batch, "text"):
-            values, first = shingles(words.split(part.column("text")))
-            sets = [np.unique(values[a:b]) for a, b in zip(first[:-1], first[1:])]
-            made = [pa.array([len(x) for x in sets], pa.int32()), pa.array([parities(x) for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *made], ["id", "n", "bits"])
-
-
 def _possible(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "n_a", "n_b")]
+            columns = [batch.column(c).to_pylist() for c in ("bits_a", "bits_b", "size_a", "size_b")]
             good = [possible(x, y, n + m, least) for x, y, n, m in zip(*columns)]
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return run
 
 
-def _ruled_out(texts: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) without those that the parities of their shingles rule out."""
-    bits = stored(texts.select("id", "text").mapInArrow(_parities, "id bigint, n int, bits binary").dropDuplicates(["id"]), "parities")
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in words.slices(batch, "text"):
+            values, first = shingles(words.split(part.column("text")))
+            sets = [np.unique(values[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
+            bits = pa.array([parities(x.view(np.uint64)) for x in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("label"), pa.array(sets, pa.list_(pa.int64())), bits], ["id", "label", "values", "bits"])
+
+
+def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of texts (id, label, text) with different labels that may share `least` of their distinct shingles.
+
+    Of two such texts the first common shingle, rarest first, has a place in both that leaves enough shingles behind it.
+    Pairs that the parities of their shingles rule out (`possible`) are left out before texts are read.
+    """
+    sets = texts.mapInArrow(_shingled, "id bigint, label bigint, values array<bigint>, bits binary").where("size(values) > 0")
+    sets = stored(sets.select("id", "label", F.size("values").alias("size"), "values", "bits"), "shingles")
+    every = sets.select("id", "label", "size", F.explode("values").alias("value"))
+    spread = every.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
+    rarest = Window.partitionBy("id").orderBy("texts", "value")  # one text's distinct shingles
+    placed = every.join(spread, "value").withColumn("place", F.row_number().over(rarest))
+    placed = placed.where((F.col("place") <= prefix(F.col("size"), least)) & (F.col("low") < F.col("high")))
+    placed = stored(placed.select("id", "label", "size", "value", "place"), "rarest")
+    other = placed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "place")])
+    alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-6
+    behind = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
+    enough = behind >= least / (1 + least) * (F.col("size") + F.col("size_b")) - 1e-6
+    pairs = placed.join(other, "value").where((F.col("id") < F.col("id_b")) & (F.col("label") != F.col("label_b")) & alike & enough)
+    pairs = pairs.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
     for side in "ab":
-        pairs = pairs.join(bits.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("bits").alias(f"bits_{side}")), side)
-    return pairs.select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(_possible(least), "a bigint, b bigint")
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("size").alias(f"size_{side}"), F.col("bits").alias(f"bits_{side}")), side)
+    return pairs.mapInArrow(_possible(least), "a bigint, b bigint")
 
 
 def _signed(few: int):
@@ -189,7 +205,7 @@ def _signed(few: int):
                         bands[-1], made[-1] = np.append(bands[-1], new.astype(np.int32)), np.append(made[-1], once[new])
                     all_of_few.append(own.view(np.int64) if len(own) <= few else np.zeros(0, np.int64))
                 arrays = [pa.array(size, pa.int32()), pa.array(bands, pa.list_(pa.int32())), *[pa.array(x, pa.list_(pa.int64())) for x in (made, all_of_few)]]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *arrays], ["id", "size", "bands", "sketches", "few"])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("print"), *arrays], ["id", "print", "size", "bands", "sketches", "few"])
 
     return run
 
@@ -219,15 +235,20 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     """Rows (doc_id, class_id, copies): the least key of a row's class, and how many rows have the very same text.
 
     Classes hold equal texts and texts linked through pairs of `least` similarity. Keys must be whole numbers; rows of one
-    key and text count once each. A null text is alike to nothing and in a class of its own, as is a null key. A text
-    without words is alike only to the very same text.
+    key and text count once each, and a key with several texts has a row for each, classed by that text alone. A null text is
+    alike to nothing and in a class of its own, as is a null key. A text without words is alike only to the very same text.
+    Other columns are not read. An empty table gives none.
     """
     keyed = docs.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     usable = keyed.where(F.col("text").isNotNull() & F.col("id").isNotNull())
-    prints = usable.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("print"))
-    kinds = stored(prints.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "kinds")
-    signed = usable.mapInArrow(_signed(int(SHORT / least + 1e-6)), "id bigint, size int, bands array<int>, sketches array<bigint>, few array<bigint>").where("size > 0")
-    signed = stored(signed.join(kinds.select("rep"), signed.id == F.col("rep"), "left_semi"), "sketches")
+    printed = usable.withColumn("print", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
+    prints = printed.select("id", "print")
+    # a text is a node of its own, whatever keys it has
+    kinds = prints.groupBy("print").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("copies")).withColumn("node", F.monotonically_increasing_id())
+    kinds = stored(kinds, "kinds")
+    signed = printed.mapInArrow(_signed(int(SHORT / least + 1e-6)), "id bigint, print binary, size int, bands array<int>, sketches array<bigint>, few array<bigint>").where("size > 0")
+    first = signed.join(kinds.select("print", "low", "node"), "print").where("id = low")
+    signed = stored(first.select(F.col("node").alias("id"), "size", "bands", "sketches", "few"), "sketches")
     buckets = signed.select("id", "size", F.inline(F.arrays_zip("bands", "sketches")).alias("band", "value"))
     few = signed.select("id", "size", F.explode("few").alias("value"))
     rarest = Window.partitionBy("id").orderBy("texts", "value")  # of at most SHORT / least rows
@@ -238,30 +259,32 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     members = buckets.join(shared, ["band", "value"])
     central = members.groupBy("id").agg(F.sum("members").alias("centre"))
     members = stored(members.join(central, "id").withColumn("label", F.col("id")), "members")
-    needed = stored(members.select("id").distinct(), "candidate-ids")
-    if needed.count() <= FEW:  # then the ids take at most 16 MB; beyond, texts are dealt out by id
-        needed = F.broadcast(needed)
-    texts = stored(usable.join(needed, "id", "left_semi"), "candidates")
+    needed = members.select("id").distinct().join(kinds.select(F.col("node").alias("id"), "print", "low"), "id")
+    needed = stored(needed.withColumnRenamed("low", "key"), "candidate-texts")
+    candidates = printed.withColumnRenamed("id", "key").join(needed, ["print", "key"]).dropDuplicates(["id"])
+    texts = stored(candidates.select("id", "text"), "candidates")
     edges = None
-    for pool in (1, PIVOTS, None):
-        classed = ["id"] if pool is None else [F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")]
+    for pool in (1, PIVOTS):
+        classed = F.pmod(F.xxhash64("id", F.lit(pool)), F.lit(pool)).alias("pick")
         rank = F.struct("centre", F.xxhash64("id").alias("tie"), "id", "size", "label")
-        pivots = members.groupBy("band", "value", *classed).agg(F.max(rank).alias("p"))
+        pivots = members.groupBy("band", "value", classed).agg(F.max(rank).alias("p"))
         pivots = pivots.select("band", "value", F.col("p.id").alias("b"), F.col("p.size").alias("size_b"), F.col("p.label").alias("label_b"))
         pairs = members.join(pivots, ["band", "value"]).where(F.col("label") != F.col("label_b"))
-        alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b")
-        alike = alike if pool else alike & (F.col("id") < F.col("b"))  # every text is a pivot: each pair from one side
-        pairs = pairs.where(alike).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
-        if not pool:
-            pairs = _ruled_out(texts.join(members.select("id").distinct(), "id", "left_semi"), pairs, least)
-        found = stored(_links(texts, pairs, least).distinct(), "links")
+        pairs = pairs.where(F.least("size", "size_b") >= least * F.greatest("size", "size_b"))
+        found = stored(_links(texts, pairs.select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct(), least).distinct(), "links")
         edges = found if edges is None else edges.unionByName(found)
         classes = components(edges)
-        if pool:  # buckets that still lie in several classes go on
-            relabelled = members.drop("label").join(classes, members.id == classes.node, "left").withColumn("label", F.coalesce("label", "id")).drop("node")
-            divided = relabelled.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-            members = stored(relabelled.join(divided.select("band", "value"), ["band", "value"], "left_semi"), "members")
-    grouped = kinds.join(classes, kinds.rep == classes.node, "left").select("print", "copies", F.coalesce("label", "rep").alias("class_id"))
+        # buckets that still lie in several classes go on
+        relabelled = members.drop("label").join(classes, members.id == classes.node, "left").withColumn("label", F.coalesce("label", "id")).drop("node")
+        divided = relabelled.groupBy("band", "value").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+        members = stored(relabelled.join(divided.select("band", "value"), ["band", "value"], "left_semi"), "members")
+    left = texts.join(members.select("id", "label").distinct(), "id")
+    edges = edges.unionByName(stored(_links(texts, rare_pairs(left, least), least), "links"))
+    classes = components(edges)
+    joined = kinds.join(classes, kinds.node == classes.node, "left").select("print", "copies", "low", F.coalesce(classes.label, kinds.node).alias("class"))
+    grouped = stored(joined, "classes")
+    least_key = grouped.groupBy("class").agg(F.min("low").alias("class_id"))
+    grouped = grouped.join(least_key, "class").select("print", "class_id", "copies")
     placed = prints.join(grouped, "print").select(F.col("id").alias(key), "class_id", "copies")
     alone = keyed.where(F.col("text").isNull() | F.col("id").isNull()).select(F.col("id").alias(key), F.col("id").alias("class_id"), F.lit(1).cast("bigint").alias("copies"))
     return placed.unionByName(alone)
