@@ -39,6 +39,8 @@ SKETCHES, ROWS = 20, 5
 SHORT = 13
 #: Pivots of a bucket in the second round: the most central of as many classes by hash.
 PIVOTS = 8
+#: Bytes that hashes and numbers of candidates may take as a broadcast table, and bytes of one.
+BROADCAST_BYTES, NEEDED_BYTES = 64 << 20, 128
 #: Shingles hashed by all functions at once; longer texts take one function after the other.
 AT_ONCE = 50_000
 
@@ -171,12 +173,15 @@ def rare_pairs(texts: DataFrame, least: float) -> DataFrame:
     """
     sets = texts.mapInArrow(_shingled, "id bigint, label bigint, values array<bigint>, bits binary").where("size(values) > 0")
     sets = stored(sets.select("id", "label", F.size("values").alias("size"), "values", "bits"), "shingles")
-    every = sets.select("id", "label", "size", F.explode("values").alias("value"))
-    spread = every.groupBy("value").agg(F.count(F.lit(1)).alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
-    rarest = Window.partitionBy("id").orderBy("texts", "value")  # one text's distinct shingles
-    placed = every.join(spread, "value").withColumn("place", F.row_number().over(rarest))
-    placed = placed.where((F.col("place") <= prefix(F.col("size"), least)) & (F.col("low") < F.col("high")))
-    placed = stored(placed.select("id", "label", "size", "value", "place"), "rarest")
+    every = sets.select("id", F.explode("values").alias("value"))
+    # a shingle of one text only takes a place, and needs no number: it is named by that text alone
+    spread = every.groupBy("value").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    common = every.join(spread, "value")
+    rarest = Window.partitionBy("id").orderBy("texts", "value")  # one text's distinct shingles that others have as well
+    of = sets.select("id", "label", "size")
+    ranked = common.withColumn("rank", F.row_number().over(rarest)).withColumn("shared", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    placed = ranked.join(of, "id").withColumn("place", F.col("size") - F.col("shared") + F.col("rank"))
+    placed = stored(placed.where(F.col("place") <= prefix(F.col("size"), least)).select("id", "label", "size", "value", "place"), "rarest")
     other = placed.select("value", *[F.col(c).alias(f"{c}_b") for c in ("id", "label", "size", "place")])
     alike = F.least("size", "size_b") >= least * F.greatest("size", "size_b") - 1e-6
     behind = 1 + F.least(F.col("size") - F.col("place"), F.col("size_b") - F.col("place_b"))
@@ -261,7 +266,10 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", least
     members = stored(members.join(central, "id").withColumn("label", F.col("id")), "members")
     needed = members.select("id").distinct().join(kinds.select(F.col("node").alias("id"), "print", "low"), "id")
     needed = stored(needed.withColumnRenamed("low", "key"), "candidate-texts")
-    candidates = printed.withColumnRenamed("id", "key").join(needed, ["print", "key"]).dropDuplicates(["id"])
+    if needed.count() * NEEDED_BYTES <= BROADCAST_BYTES:  # beyond, texts are dealt out by their hash
+        needed = F.broadcast(needed)
+    # repeated rows go by the columns of the join, which texts are dealt out by already
+    candidates = printed.withColumnRenamed("id", "key").join(needed, ["print", "key"]).dropDuplicates(["print", "key"])
     texts = stored(candidates.select("id", "text"), "candidates")
     edges = None
     for pool in (1, PIVOTS):
