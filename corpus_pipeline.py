@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from knownat.llm import bpe, langid, mixing, order_minhash, toxicity
 from knownat.llm.store import stored
 
-#: A document is toxic from this score on.
-TOXIC = 0.5
+#: A document is toxic from this score on, as in op5_toxicity.
+TOXIC = 0.3
 #: Target weights of the qualities in `labels`, in expected tokens.
 QUALITY_TARGETS = {"1": 0.95, "0": 0.05}
 
@@ -24,19 +24,25 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _rows(docs: DataFrame, *more: str) -> DataFrame:
+    """Whole rows as one struct beside the columns that a stage needs, so that other columns can have any name."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), *more)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Reject documents whose toxicity score reaches TOXIC. Learns from all labelled documents; null texts stay."""
-    labels = _labels(spark, sf_dir).select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")).where("_toxic is not null").dropDuplicates(["_id"])
+    """Reject documents whose toxicity score reaches TOXIC. Learns from all labelled documents; null texts stay. Of several
+    labels of one document the larger counts."""
+    labels = _labels(spark, sf_dir).where("toxic is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
     known = docs.select("doc_id", "text").join(labels, F.col("doc_id") == F.col("_id"))
     model = toxicity.fit(known, label="_toxic")
-    scored = toxicity.score(docs, model, output="_score")
-    return scored.where(F.col("_score") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(_rows(docs, "text"), model, output="score")
+    return scored.where(F.col("score") < TOXIC).select("_row.*")
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Reject documents without a letter, or whose language the codewords can't tell. Learns from the given lang values."""
     model = langid.fit(docs.select("doc_id", "text", "lang"))
-    named = langid.identify(docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text")), model, text="_text")
+    named = langid.identify(_rows(docs, "text"), model)
     return named.where((F.col("lang_pred") != langid.UNKNOWN) & ~F.col("ambiguous")).select("_row.*")
 
 
@@ -45,17 +51,18 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     with a null text or doc_id are in no group and stay."""
     classes = order_minhash.near_classes(docs.select("doc_id", "text"))
     kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_id")).distinct()
-    whole = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    alone = docs.where(F.col("doc_id").isNull() | F.col("text").isNull())
+    rows = _rows(docs, "doc_id", "text")
+    whole = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).drop("text")
+    alone = rows.where(F.col("doc_id").isNull() | F.col("text").isNull()).drop("text")
     single = whole.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return single.unionByName(alone)
+    return single.unionByName(alone).select("_row.*")
 
 
 def mix_qualities(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents with the rates, as shares of the largest, that bring qualities to QUALITY_TARGETS."""
     labelled = _labels(spark, sf_dir).select("doc_id", F.col("quality").alias("domain"))
     rates = stored(mixing.mix(docs.select("doc_id", "text"), labelled, QUALITY_TARGETS), "rates")
-    return mixing.thin(docs, rates)
+    return mixing.thin(_rows(docs, "doc_id"), rates).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,6 +8,10 @@ from knownat.llm import queries
 from tests_llm_odd import DOCS, ODD
 
 
+#: Names that stages use inside.
+CLASHING = ("_id", "_score", "_rate", "_row", "_toxic", "_text", "class_id", "lang_pred", "ambiguous", "rate")
+
+
 def planted(spark, folder):
     """Clean, toxic, copied and letterless documents, with labels for some."""
     clean = [f"w{i} " + " ".join(f"word{(i * 31 + k * 7) % 997}" for k in range(60)) for i in range(60)]
@@ -46,6 +50,6 @@ def test_odd_and_empty_tables(spark, tmp_path):
         docs.write.parquet(f"{folder}/documents.parquet")
         marks.write.parquet(f"{folder}/labels.parquet")
         for name, stage in pipeline.STAGES:
-            rows = stage(spark, docs.selectExpr("*", "1 AS score", "'x' AS ids"), folder)
+            rows = stage(spark, docs.selectExpr("*", "1 AS score", "'x' AS ids", *[f"2 AS {c}" for c in CLASHING]), folder)
             assert rows.count() <= docs.count()
-            assert name == "byte_bpe" or rows.columns == [*docs.columns, "score", "ids"]
+            assert name == "byte_bpe" or rows.columns == [*docs.columns, "score", "ids", *CLASHING]
