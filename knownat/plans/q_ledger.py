@@ -232,8 +232,13 @@ def _params():
     return replace(FROZEN, adv_mid_liquidity=500_000.0)
 
 
+def _bars(t):
+    """Bars as the steps of a ledger query share them: entries, extremes and exits read one table."""
+    return stored(t, "bars", lambda: A.bars(t))
+
+
 def _candidates(t):
-    sig = MOM.average_true_range(A.bars(t), 14)
+    sig = MOM.average_true_range(_bars(t), 14)
     return sig.select(
         F.concat_ws("-", "security_id", "date").alias("candidate_id"), "security_id", F.col("date").alias("price_data_cutoff"),
         F.col("close").alias("signal_close"), F.round("atr", 6).alias("atr_value"), F.lit(1.0).alias("gap_limit_atr"),
@@ -241,7 +246,7 @@ def _candidates(t):
 
 
 def _decisions(t):
-    return L.entry_decisions(_candidates(t), A.bars(t), A.actions(t), A.day("2001-06-30"), _params())
+    return L.entry_decisions(_candidates(t), _bars(t), A.actions(t), A.day("2001-06-30"), _params())
 
 
 @query("gap_entry", "", _sql(_ENTRY_TABLES, _ENTRY + """
@@ -259,7 +264,7 @@ def cancellation_rate(t):
 
 def _positions(t):
     def build():
-        d = _decisions(t)
+        d = stored(t, "decisions", lambda: _decisions(t))  # read twice: entries and horizons
         h = d.where(F.col("outcome") == "filled").select("candidate_id", F.explode(F.array(F.lit(20), F.lit(60))).alias("horizon_days"))
         return L.open_positions(d, h, _params())
 
@@ -267,7 +272,7 @@ def _positions(t):
 
 
 def _resolved(t):
-    return L.resolve_positions(_positions(t), A.bars(t), A.actions(t), A.securities(t), A.day("2001-06-30"))
+    return L.resolve_positions(_positions(t), _bars(t), A.actions(t), A.securities(t), A.day("2001-06-30"))
 
 
 _EXIT = _ENTRY + """,
@@ -335,7 +340,7 @@ def position_events(t):
     SELECT security_id, CAST(entry_date AS VARCHAR) AS entry_date, horizon AS horizon_days, round(1000 / (open * (1 + sl * 1e-4)) * (close * (1 - sl * 1e-4) - open * (1 + sl * 1e-4)), 6) AS benchmark_pnl FROM bp"""))
 def benchmark_pair(t):
     r = _resolved(t).where((F.col("status") == "closed") & (F.col("exit_reason") != "delisting_zero_after_180d"))
-    out = L.benchmark_positions(r, A.benchmark(A.bars(t)), _params())
+    out = L.benchmark_positions(r, A.benchmark(_bars(t)), _params())
     return out.join(r.select("position_id", "security_id"), "position_id").select("security_id", "entry_date", "horizon_days", F.col("net_pnl").alias("benchmark_pnl"))
 
 
@@ -347,7 +352,7 @@ def benchmark_pair(t):
 def benchmark_pair_all(t):
     """Every closed position; `benchmark_pair` leaves out those closed at zero after a delisting."""
     r = _resolved(t).where(F.col("status") == "closed")
-    out = L.benchmark_positions(r, A.benchmark(A.bars(t)), _params())
+    out = L.benchmark_positions(r, A.benchmark(_bars(t)), _params())
     return out.join(r.select("position_id", "security_id"), "position_id").select("security_id", "entry_date", "horizon_days", F.col("net_pnl").alias("benchmark_pnl"))
 
 
