@@ -16,24 +16,47 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 512
+SALTS = 32
 _STEPS = [512, 256, 128, 64, 32, 16, 8, 4, 2, 1]
 
 
+def _class(key: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _salt(of_class: Column, buckets: int) -> Column:
+    return F.floor(of_class * SALTS / buckets).cast("int")
+
+
 def _bounds(df: DataFrame, group: Sequence[str], key: Column, buckets: int) -> DataFrame:
-    """Sorted bucket bounds per group: of each class of key hashes the key with the least hash, combined map-side."""
+    """Sorted bucket bounds per group: of each class of key hashes the key with the least hash, combined map-side.
+
+    A group's bounds stand once for each salt that its keys have.
+    """
     hashed = F.xxhash64(key)
     names = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-    classes = df.groupBy(*names, F.pmod(hashed, F.lit(buckets)).alias("_class")).agg(F.min_by(key, F.struct(hashed, key)).alias("_key"))
-    return classes.groupBy(*[f"_g{i}" for i in range(len(names))]).agg(F.sort_array(F.collect_set("_key")).alias("_bounds"))
+    classes = df.groupBy(*names, _class(key, buckets).alias("_class")).agg(F.min_by(key, F.struct(hashed, key)).alias("_key"))
+    bounds = F.sort_array(F.collect_set("_key")).alias("_bounds")
+    if not group:
+        return classes.agg(bounds)
+    salts = F.collect_set(_salt(F.col("_class"), buckets)).alias("_salts")
+    per = classes.groupBy(*[f"_g{i}" for i in range(len(names))]).agg(bounds, salts)
+    return per.withColumn("_gsalt", F.explode("_salts")).drop("_salts")
 
 
 def bucketed(df: DataFrame, key: Column, group: Sequence[str] = (), buckets: int = BUCKETS) -> DataFrame:
-    """Add `_bucket`, the number of bounds at or below the row's key."""
+    """Add `_bucket`, the number of bounds at or below the row's key.
+
+    Rows meet their bounds on (group, salt): a handful of large groups is spread over
+    SALTS tasks each, and as the result is not partitioned by the group alone, a window over
+    (group, bucket) shuffles by both instead of sorting a whole group in one task.
+    """
     bounds = _bounds(df, group, key, buckets)
     keyed = df.withColumn("_key", key)
     if group:
-        on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-        joined = keyed.join(bounds, on, "left").select(*keyed.columns, "_bounds")
+        on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col("_salt") == F.col("_gsalt")]
+        salted = keyed.withColumn("_salt", _salt(_class(F.col("_key"), buckets), buckets))
+        joined = salted.join(bounds, on, "left").select(*keyed.columns, "_bounds")
     else:
         joined = keyed.join(F.broadcast(bounds))  # one row of at most `buckets` keys
     steps = F.array(*[F.lit(s) for s in _STEPS])

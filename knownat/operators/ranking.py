@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import FROZEN, Params
 from ..functions.core import col
+from ..session import cut_lineage
 from .ordered import running_sum
 
 # Metrics where a small number is good.
@@ -20,30 +21,30 @@ def midrank(df: DataFrame, value: str, group: Sequence[str] = (), prefix: str =
 
     Adds `{prefix}pct` and `{prefix}n`. NULL values stay unranked and outside the
     population; n < 2 gives NULL. Rows are first counted per distinct value, so a
-    value shared by many rows is one row in the ordering step.
+    value shared by many rows is one row in the ordering step. The counts are
+    stored: `df` is read twice, to count and to attach.
     """
-    return _attach(df, _midrank_table(df, value, group, prefix), value, group, prefix)
+    placed = _places(_counts(df, value, group), list(group))
+    table = placed.select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_value"),
+        F.col("_n").alias(f"{prefix}n"), F.col("_pct").alias(f"{prefix}pct"),
+    )
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col(value) == F.col("_value")]
+    return df.join(table, on, "left").select(*df.columns, f"{prefix}n", f"{prefix}pct")
 
 
-def _midrank_table(df: DataFrame, value: str, group: Sequence[str], prefix: str) -> DataFrame:
-    """Percentile and population per distinct (group, value)."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_equal"))
-    placed = running_sum(counts, F.col(value), "_equal", group, name="_upto", total="_population")
-    below = F.col("_upto") - F.col("_equal")
-    return placed.select(
-        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
-        F.col(value).alias("_value"),
-        F.col("_population").alias(f"{prefix}n"),
-        F.when(
-            F.col("_population") > 1,
-            F.lit(100.0) * (below + (F.col("_equal") - 1) / F.lit(2.0)) / (F.col("_population") - 1),
-        ).alias(f"{prefix}pct"),
-    )
+def _counts(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
+    """Rows per distinct (group, value) as `_equal`, stored because the ordering reads them more than once."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_value")).agg(F.count("*").alias("_equal"))
+    return cut_lineage(counts)
 
 
-def _attach(df: DataFrame, table: DataFrame, value: str, group: Sequence[str], prefix: str) -> DataFrame:
-    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)] + [F.col(value) == F.col("_value")]
-    return df.join(table, on, "left").select(*df.columns, f"{prefix}n", f"{prefix}pct")
+def _places(counts: DataFrame, group: list[str]) -> DataFrame:
+    """Population `_n` and percentile `_pct` per distinct (group, _value)."""
+    placed = running_sum(counts, F.col("_value"), "_equal", group, name="_upto", total="_n")
+    below = F.col("_upto") - F.col("_equal")
+    pct = F.lit(100.0) * (below + (F.col("_equal") - 1) / F.lit(2.0)) / (F.col("_n") - 1)
+    return placed.select(*group, "_value", "_n", F.when(F.col("_n") > 1, pct).alias("_pct"))
 
 
 def oriented(pct, metric) -> Column:
@@ -64,13 +65,27 @@ def blended_percentiles(
 ) -> DataFrame:
     """Long metric rows with market, cohort and blended percentiles.
 
-    Adds market_pct, market_n, cohort_pct, cohort_n, blend_w and percentile.
+    Adds market_pct, market_n, cohort_pct, cohort_n, blend_w and percentile. One table of counts
+    per (population, metric, cohort, value) serves both: GROUPING SETS add the market's
+    counts, one pass places both levels, and the input is read twice in all.
     """
     wide, narrow = [*population, metric], [*population, metric, cohort]
-    # both tables come from the input itself, so neither ranking is computed inside the other
-    market = _midrank_table(df, value, wide, "market_")
-    peers = _midrank_table(df, value, narrow, "cohort_")
-    out = _attach(_attach(df, market, value, wide, "market_"), peers, value, narrow, "cohort_")
+    counts = _counts(df, value, narrow)
+    both = counts.groupingSets([[*narrow, "_value"], [*wide, "_value"]], *narrow, "_value").agg(
+        F.sum("_equal").alias("_equal"), F.grouping(cohort).alias("_market")  # tells the market's rows from a NULL cohort
+    )
+    placed = _places(cut_lineage(both), [*narrow, "_market"])
+    peers = placed.where("_market = 0").select(
+        *[F.col(g).alias(f"_g{i}") for i, g in enumerate(narrow)], "_value", F.col("_n").alias("cohort_n"), F.col("_pct").alias("cohort_pct")
+    )
+    market = placed.where("_market = 1").select(
+        *[F.col(g).alias(f"_m{i}") for i, g in enumerate(wide)], F.col("_value").alias("_mvalue"), F.col("_n").alias("market_n"), F.col("_pct").alias("market_pct")
+    )
+    # the two levels meet on distinct values, so the rows themselves are joined once
+    same = [F.col(f"_g{i}").eqNullSafe(F.col(f"_m{i}")) for i in range(len(wide))] + [F.col("_value") == F.col("_mvalue")]
+    table = peers.join(market, same)
+    on = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(narrow)] + [F.col(value) == F.col("_value")]
+    out = df.join(table, on, "left").select(*df.columns, "market_n", "market_pct", "cohort_n", "cohort_pct")
     out = out.withColumn("market_pct", oriented("market_pct", metric))
     out = out.withColumn("cohort_pct", oriented("cohort_pct", metric))
     out = out.withColumn("blend_w", blend_weight("cohort_n", params))

@@ -1,6 +1,7 @@
 """Hand-computed cases: ties, NULLs, splits, cooldowns, tight books, delisting."""
 
 import random
+import re
 from datetime import date, timedelta
 
 import pytest
@@ -243,3 +244,52 @@ def test_sinks(spark):
 def test_acceptance_time_and_hours(spark):
     df = spark.createDataFrame([("2026-03-02T21:30:05.000Z",), ("2026-03-02",), ("2026-03-02 21:30:05",)], "t string")
     assert [str(r[0]) for r in df.select(F.date_format(C.acceptance_time("t"), "HH:mm:ss")).collect()] == ["21:30:05", "None", "21:30:05"]
+
+
+def test_blended_percentiles_by_counting(spark):
+    """Market and cohort places, ties, a NULL cohort, NULL values and single rows against plain counting."""
+    from knownat.operators.ranking import blended_percentiles
+
+    rng = random.Random(5)
+    rows = [(i, rng.choice(["pe", "roic"]), rng.choice(["A", "B", None]), rng.choice([None, *map(float, range(40))])) for i in range(600)]
+    rows.append((600, "alone", "A", 1.0))
+    df = spark.createDataFrame(rows, "id int, metric string, cohort_id string, value double")
+
+    def place(values, v):
+        if v is None:
+            return None
+        n = len(values)
+        return None if n < 2 else 100.0 * (sum(x < v for x in values) + (sum(x == v for x in values) - 1) / 2) / (n - 1)
+
+    got = {r.id: r for r in blended_percentiles(df).collect()}
+    assert len(got) == len(rows)
+    for i, metric, cohort, v in rows:
+        market = [x for _, m, _, x in rows if m == metric and x is not None]
+        peers = [x for _, m, c, x in rows if m == metric and c == cohort and x is not None]
+        for name, values in (("market", market), ("cohort", peers)):
+            want = place(values, v)
+            if want is not None and metric == "pe":
+                want = 100.0 - want
+            assert got[i][f"{name}_pct"] == (None if want is None else pytest.approx(want, abs=1e-9))
+            assert got[i][f"{name}_n"] == (None if v is None else len(values))
+
+
+def test_percentiles_read_their_input_twice_and_large_groups_are_spread(spark, tmp_path):
+    from knownat.operators.ranking import blended_percentiles
+
+    rows = spark.range(5000).selectExpr("id", "'pe' AS metric", "string(id % 3) AS cohort_id", "double(id * 7919 % 4999) AS value")
+    rows.write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))  # columns that the optimizer can't fold
+    plan = blended_percentiles(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1  # counting was the other
+    assert O.bucketed(rows, F.col("value"), ["metric"]).select("_bucket").distinct().count() > 200
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = O.running_sum(rows, F.col("value"), "id", ["metric"])
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"hashpartitioning\(metric#\d+, _bucket#\d+", plan)  # the window sorts a bucket a task, not a metric a task
+        assert placed.agg(F.max("running")).first()[0] == 5000 * 4999 // 2
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
