@@ -169,11 +169,20 @@ def insider_selling_flags(coverage: DataFrame, sales: DataFrame) -> DataFrame:
     return out.select("security_id", made.alias("flag"))
 
 
-def data_problems(
-    securities: DataFrame, fundamentals: DataFrame, bars: DataFrame, health: DataFrame, as_of: Column,
-    params: Params = FROZEN,
-) -> DataFrame:
-    """Problem rows (security_id, source, detail, blocking) for the completeness flag."""
+def failing_sources(health: DataFrame, as_of: Column, params: Params = FROZEN) -> DataFrame:
+    """One row: the texts of all failing or stale sources, and whether any of them blocks."""
+    budget = F.create_map(*[F.lit(x) for k, v in params.freshness_sla.items() for x in (k, float(v))])
+    age = F.datediff(as_of, F.col("last_success").cast("date")) * 24.0
+    failing = F.col("last_error").isNotNull() & (F.col("consecutive_failures") > 0)
+    detail = F.when(failing, _say(F.col("consecutive_failures").cast("string"), " consecutive failures")).when(
+        age > F.try_element_at(budget, "source_name"), _say("last success ", F.col("last_success").cast("string"))
+    )
+    found = health.select(_say(F.coalesce("source_name", F.lit("unnamed source")), ": ", detail).alias("_said"), failing.alias("_failing"))
+    return found.agg(F.collect_list("_said").alias("shared"), F.coalesce(F.bool_or("_failing"), F.lit(False)).alias("shared_blocking"))
+
+
+def data_problems(securities: DataFrame, fundamentals: DataFrame, bars: DataFrame, as_of: Column) -> DataFrame:
+    """Problem rows (security_id, source, detail, blocking) of each security's own data."""
     f = securities.select("security_id").join(
         fundamentals.select("security_id", F.map_keys("missing").alias("_m")), "security_id", "left"
     )
@@ -194,29 +203,27 @@ def data_problems(
         ).alias("detail"),
         F.col("_last").isNull().alias("blocking"),
     )
-    budget = F.create_map(*[F.lit(x) for k, v in params.freshness_sla.items() for x in (k, float(v))])
-    age = F.datediff(as_of, F.col("last_success").cast("date")) * 24.0
-    failing = F.col("last_error").isNotNull() & (F.col("consecutive_failures") > 0)
-    sources = health.select(
-        F.col("source_name").alias("source"),
-        F.when(failing, _say(F.col("consecutive_failures").cast("string"), " consecutive failures")).when(
-            age > F.try_element_at(budget, "source_name"), _say("last success ", F.col("last_success").cast("string"))
-        ).alias("detail"),
-        failing.alias("blocking"),
-    ).where(F.col("detail").isNotNull())
-    shared = securities.select("security_id").join(F.broadcast(sources))  # one row per named source
-    every = accounts.unionByName(prices).unionByName(shared)
-    return every.where(F.col("detail").isNotNull())
+    return accounts.unionByName(prices).where(F.col("detail").isNotNull())
 
 
-def completeness_flags(securities: DataFrame, problems: DataFrame, accession: DataFrame | None = None) -> DataFrame:
-    """All problems of a security in one flag; any blocking problem makes it high."""
+def completeness_flags(securities: DataFrame, problems: DataFrame, sources: DataFrame | None = None, accession: DataFrame | None = None) -> DataFrame:
+    """All problems of a security in one flag; any blocking problem makes it high.
+
+    `sources`, the one row of `failing_sources`, concerns every security: its texts are added
+    to each flag and never become a row per (security, source).
+    """
     code = "stale_or_incomplete_data"
     per = problems.groupBy("security_id").agg(
-        F.array_join(F.sort_array(F.collect_list(_say(F.col("source"), ": ", F.col("detail")))), "; ").alias("_text"),
-        F.bool_or("blocking").alias("_block"),
+        F.collect_list(_say(F.col("source"), ": ", F.col("detail"))).alias("_own"), F.bool_or("blocking").alias("_own_block"),
     )
     out = securities.select("security_id").join(per, "security_id", "left")
+    none = F.array().cast("array<string>")
+    if sources is not None:
+        out = out.join(F.broadcast(sources))  # one row
+        texts, block = F.concat(F.coalesce("_own", none), "shared"), F.coalesce("_own_block", F.lit(False)) | F.col("shared_blocking")
+    else:
+        texts, block = F.coalesce("_own", none), F.coalesce("_own_block", F.lit(False))
+    out = out.withColumns({"_text": F.when(F.size(texts) > 0, F.array_join(F.sort_array(texts), "; ")), "_block": block})
     if accession is not None:
         out = out.join(accession.select("security_id", F.col("accession").alias("_acc")), "security_id", "left")
         source = F.coalesce(F.col("_acc"), F.lit("none"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from ..operators import bars as B, dilution as DIL, ledger as L, report as REP, selection as SEL, universe as U, verify as V
+from ..session import shared_folder
 from ..sources import sinks as S
 from . import adapters as A
 from .registry import query
@@ -251,3 +254,25 @@ def missing_sources(t):
 
     rows = REP.worst_coverage(_flagged(t), ("prices", "form4", "xbrl"), None)
     return rows.select("security_id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("facts_appended", "concepts facts", """
+    , k AS (SELECT cik, taxonomy, concept, period_end, accession_no, period_start, value, CASE WHEN form_type = '10-Q' THEN 'first' ELSE 'second' END AS run_id FROM facts)
+    SELECT run_id, taxonomy, concept, count(*) AS facts, count(DISTINCT cik) AS companies, round(sum(value), 2) AS total FROM k GROUP BY ALL""", places=2)
+def facts_appended(t):
+    """Facts written by three runs: one that commits, one that dies after its rows, and the same again, twice.
+
+    Each fact is read back once, under the run that committed it.
+    """
+    spark = t.orders.sparkSession
+    path = f"{shared_folder(spark)}/facts-{uuid4().hex}"
+    facts, keys = A.facts(t), ["cik", "taxonomy", "concept", "period_end", "accession_no"]
+    S.append_run(facts.where("form_type = '10-Q'"), path, "first", keys)
+    S.stage_run(facts.where("form_type <> '10-K'"), path, "second")  # rows without a marker: the job was killed here
+    S.append_run(facts, path, "second", keys)
+    S.append_run(facts, path, "second", keys)
+    rows = S.read_appended(spark, path, facts.schema)
+    return rows.groupBy("run_id", "taxonomy", "concept").agg(
+        F.count("*").alias("facts"), F.countDistinct("cik").alias("companies"),
+        F.round(F.sum("normalized_numeric_value"), 2).alias("total"),
+    )

@@ -1,15 +1,19 @@
 """Write semantics as frames: what to append, what the merged table is.
 
 Merged tables are written to a new location and swapped in by the caller, so a
-lost executor or job never leaves a half-overwritten table behind.
+lost executor or job never leaves a half-overwritten table behind. Appended tables
+(`append_run`) are folders of runs, each of which counts from its commit marker on.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from urllib.parse import quote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -58,5 +62,64 @@ def replace_partitions(df: DataFrame, path: str, partitions: Sequence[str]) -> N
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partitions).parquet(path)
 
 
-def append_facts(facts: DataFrame, path: str) -> None:
-    facts.write.mode("append").partitionBy("taxonomy").parquet(path)
+def _folder(run_id: str) -> str:
+    return "run-" + quote(run_id, safe="")
+
+
+def _present(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+
+def _clear(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """One row per committed run: run_id and the rows it wrote."""
+    if not _present(spark, f"{path}/commits"):
+        return spark.createDataFrame([], "run_id string, rows_written bigint")
+    return spark.read.schema("run_id string, rows_written bigint").parquet(f"{path}/commits/*")
+
+
+def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of committed runs with their run_id; what a killed run left behind is not seen."""
+    whole = StructType([*schema.fields, StructField("run_id", StringType())])
+    if not _present(spark, f"{path}/rows"):
+        return spark.createDataFrame([], whole)
+    return spark.read.schema(whole).parquet(f"{path}/rows/*").join(read_commits(spark, path).select("run_id"), "run_id", "left_semi")
+
+
+def stage_run(df: DataFrame, path: str, run_id: str) -> int:
+    """Write one run's rows to its own folder, over whatever an earlier try left there; returns the rows."""
+    seen = Observation()
+    rows = df.withColumn("run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows.write.mode("overwrite").parquet(f"{path}/rows/{_folder(run_id)}")
+    return seen.get["n"]
+
+
+def commit_run(spark: SparkSession, path: str, run_id: str, rows: int) -> None:
+    marker = spark.createDataFrame([(run_id, rows)], "run_id string, rows_written bigint")
+    marker.coalesce(1).write.mode("overwrite").parquet(f"{path}/commits/{_folder(run_id)}")
+
+
+def append_run(df: DataFrame, path: str, run_id: str, keys: Sequence[str]) -> int:
+    """Append the rows whose key no committed run holds; repeatable at every point.
+
+    A run's rows are staged in a folder of their own and count once its marker is written,
+    which is the last step. Killed before that, the run is done again from the start; run again
+    after it, nothing is written. Keys may be NULL and are then equal to one another. Runs of
+    one table must not overlap in time. The caller's column `run_id`, if any, is not stored.
+    Returns the rows written by this call.
+    """
+    spark = df.sparkSession
+    if not read_commits(spark, path).where(F.col("run_id") == run_id).isEmpty():
+        return 0
+    _clear(spark, f"{path}/rows/{_folder(run_id)}")  # of a killed try: its files must not be listed by the read below
+    rows = df.drop("run_id")
+    held = read_appended(spark, path, rows.schema).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    written = stage_run(rows.dropDuplicates(list(keys)).join(held, same, "left_anti"), path, run_id)
+    commit_run(spark, path, run_id, written)
+    return written

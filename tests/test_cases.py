@@ -293,3 +293,23 @@ def test_percentiles_read_their_input_twice_and_large_groups_are_spread(spark, t
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_killed_run_done_again_leaves_each_row_once(spark, tmp_path):
+    path, schema = str(tmp_path / "facts"), "id int, v string"
+    make = lambda *rows: spark.createDataFrame(list(rows), schema)
+    read = lambda: sorted((r.id, r.v, r.run_id) for r in sinks.read_appended(spark, path, make().schema).collect())
+    assert read() == []
+    sinks.stage_run(make((1, "half")), path, "day/1")  # killed before its marker
+    assert read() == []
+    assert sinks.append_run(make((1, "a"), (2, "b"), (2, "b"), (None, "n")), path, "day/1", ["id"]) == 3
+    done = [(1, "a", "day/1"), (2, "b", "day/1")]
+    key = lambda rows: sorted(rows, key=repr)
+    sure = lambda: key((r.id, r.v, r.run_id) for r in sinks.read_appended(spark, path, make().schema).collect())
+    assert sure() == key([*done, (None, "n", "day/1")])
+    assert sinks.append_run(make((7, "late")), path, "day/1", ["id"]) == 0  # committed: nothing is written again
+    sinks.stage_run(make((1, "again"), (9, "x")), path, "day/2")
+    assert sinks.append_run(make((1, "again"), (3, "c"), (None, "other")), path, "day/2", ["id"]) == 1
+    assert sinks.append_run(make(), path, "empty", ["id"]) == 0
+    assert sure() == key([*done, (None, "n", "day/1"), (3, "c", "day/2")])
+    assert {r.run_id: r.rows_written for r in sinks.read_commits(spark, path).collect()} == {"day/1": 3, "day/2": 1, "empty": 0}
