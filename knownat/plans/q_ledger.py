@@ -333,6 +333,31 @@ def position_events(t):
     return L.position_events(_resolved(t), A.actions(t)).groupBy("action_type").agg(F.count("*").alias("n"), F.sum("cash_accrued").alias("cash"))
 
 
+@query("position_events_all", "", _sql(_ENTRY_TABLES + " securities", _EXIT + """,
+    he AS (SELECT *, CASE WHEN reason IS NOT NULL THEN exit_date WHEN del AND DATE '2001-06-30' - gone >= 180 THEN gone + 180 END AS ended FROM fin),
+    ev AS (SELECT h.*, a.ex_date, a.action_type, a.cash_amount, coalesce((SELECT product(s.ratio) FROM splits s WHERE s.security_id = h.security_id AND s.ex_date > h.entry_date AND s.ex_date <= a.ex_date), 1.0) AS r1,
+             coalesce((SELECT product(s.ratio) FROM splits s WHERE s.security_id = h.security_id AND s.ex_date > h.entry_date AND s.ex_date < a.ex_date), 1.0) AS r0
+           FROM he h JOIN actions a ON a.security_id = h.security_id AND a.ex_date > h.entry_date AND (h.ended IS NULL OR a.ex_date <= h.ended))
+    SELECT security_id, CAST(entry_date AS VARCHAR) AS entry_date, horizon AS horizon_days, CAST(ex_date AS VARCHAR) AS ex_date, action_type, round(CASE WHEN action_type = 'dividend' THEN cash_amount * sh * r1 ELSE 0.0 END, 5) AS cash_accrued,
+      round(sh * r0, 5) AS shares_before, round(sh * r1, 5) AS shares_after, action_type IN ('split', 'dividend') AS entitled FROM ev"""), places=5)
+def position_events_all(t):
+    """Every action met by every position; `position_events` counts them by kind."""
+    r = stored(t, "resolved", lambda: _resolved(t))
+    out = L.position_events(r, A.actions(t)).join(r.select("position_id", "security_id", "entry_date", "horizon_days"), "position_id")
+    return out.select("security_id", "entry_date", "horizon_days", "ex_date", "action_type", "cash_accrued", "shares_before", "shares_after", "entitled")
+
+
+@query("books_nav", "", _sql(_ENTRY_TABLES + " securities", _CLOSED + """,
+    pn AS (SELECT horizon, CASE WHEN reason IS NOT NULL THEN sh * r * (raw * (1 - bps * 1e-4) - ep / r) ELSE -sh * ep END
+      + coalesce((SELECT sum(a.cash_amount * sh * coalesce((SELECT product(s.ratio) FROM splits s WHERE s.security_id = closed.security_id AND s.ex_date > closed.entry_date AND s.ex_date <= a.ex_date), 1.0)) FROM actions a
+        WHERE a.security_id = closed.security_id AND a.action_type = 'dividend' AND a.ex_date > closed.entry_date AND a.ex_date <= closed.exit_date), 0) AS net FROM closed),
+    op AS (SELECT horizon, count(*) FILTER (reason IS NULL AND NOT (del AND DATE '2001-06-30' - gone >= 180) AND NOT del) AS n FROM fin GROUP BY 1)
+    SELECT horizon AS horizon_days, n AS open_position_count, CAST(100 - n AS BIGINT) AS capacity, round(100000.0 + coalesce((SELECT sum(net) FROM pn WHERE pn.horizon = op.horizon), 0), 2) AS current_nav FROM op"""), places=2)
+def books_nav(t):
+    """Open count, room left and NAV of each book; `books` compares the count only."""
+    return L.books(_resolved(t), (20, 60)).select("horizon_days", "open_position_count", "capacity", "current_nav")
+
+
 @query("benchmark_pair", "", _sql(_ENTRY_TABLES + " securities bench", _EXIT + """,
     ba AS (SELECT date, CASE WHEN count(*) OVER w = 20 THEN avg(close * volume) OVER w END AS adv FROM bench WINDOW w AS (ORDER BY date ROWS 19 PRECEDING)),
     bp AS (SELECT f.security_id, f.entry_date, f.horizon, f.exit_date, b.open, CASE WHEN a.adv > 50000000 THEN 5.0 WHEN a.adv >= 500000 THEN 15.0 ELSE 5.0 END AS sl, c.close

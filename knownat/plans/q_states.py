@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+from ..functions import core as C, text as T
 from ..operators import bars as B, dilution as DIL, ledger as L, report as REP, selection as SEL, universe as U, verify as V
 from ..session import shared_folder
 from ..sources import sinks as S
@@ -276,3 +277,28 @@ def facts_appended(t):
         F.count("*").alias("facts"), F.countDistinct("cik").alias("companies"),
         F.round(F.sum("normalized_numeric_value"), 2).alias("total"),
     )
+
+
+@query("money_texts", "", """
+    SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN format('{:,.2f}', v / 1e9) || 'B' WHEN abs(v) >= 1e6 THEN format('{:,.2f}', v / 1e6) || 'M' WHEN abs(v) >= 1e3 THEN format('{:,.2f}', v / 1e3) || 'K' ELSE format('{:,.0f}', v) END AS said
+    FROM (SELECT o_orderkey, (o_totalprice - 200000) * CASE o_orderkey % 4 WHEN 0 THEN 0.001 WHEN 1 THEN 1.0 WHEN 2 THEN 100.0 ELSE 100000.0 END AS v FROM orders)""")
+def money_texts(t):
+    scale = A.by_mod("o_orderkey", 4, 0.001, 1.0, 100.0, otherwise=100000.0)
+    return t.orders.select("o_orderkey", C.money_text((F.col("o_totalprice") - 200000) * scale).alias("said"))
+
+
+@query("industry_labels", "", """
+    SELECT c_custkey, CASE WHEN sic = '6798' THEN 'REIT' WHEN sic LIKE '602%' OR sic IN ('6035', '6036') THEN 'Bank' END AS label FROM (SELECT c_custkey, CAST(6000 + c_custkey % 900 AS VARCHAR) AS sic FROM customer)""")
+def industry_labels(t):
+    sic = (6000 + F.col("c_custkey") % 900).cast("string")
+    return t.customer.select("c_custkey", T.industry_label(sic).alias("label"))
+
+
+@query("rating_shares", "", """
+    WITH c AS (SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS a, count(*) FILTER (o_orderpriority = '2-HIGH') AS b, count(*) FILTER (o_orderpriority = '5-LOW') AS c FROM orders GROUP BY 1)
+    SELECT o_custkey, round(a / nullif(a + b + c, 0), 6) AS strong_buy, round(b / nullif(a + b + c, 0), 6) AS buy, round(c / nullif(a + b + c, 0), 6) AS sell FROM c""")
+def rating_shares(t):
+    count = lambda p: F.count_if(F.col("o_orderpriority") == p)
+    per = t.orders.groupBy("o_custkey").agg(count("1-URGENT").alias("_a"), count("2-HIGH").alias("_b"), count("5-LOW").alias("_c"))
+    shares = T.rating_shares("_a", "_b", "_c")
+    return per.select("o_custkey", shares[0].alias("strong_buy"), shares[1].alias("buy"), shares[2].alias("sell"))
