@@ -66,9 +66,10 @@ def _folder(run_id: str) -> str:
     return "run-" + quote(run_id, safe="")
 
 
-def _present(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+def _present(spark: SparkSession, pattern: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target)
+    return found is not None and len(found) > 0
 
 
 def _clear(spark: SparkSession, path: str) -> None:
@@ -78,7 +79,7 @@ def _clear(spark: SparkSession, path: str) -> None:
 
 def read_commits(spark: SparkSession, path: str) -> DataFrame:
     """One row per committed run: run_id and the rows it wrote."""
-    if not _present(spark, f"{path}/commits"):
+    if not _present(spark, f"{path}/commits/*"):
         return spark.createDataFrame([], "run_id string, rows_written bigint")
     return spark.read.schema("run_id string, rows_written bigint").parquet(f"{path}/commits/*")
 
@@ -86,7 +87,7 @@ def read_commits(spark: SparkSession, path: str) -> DataFrame:
 def read_appended(spark: SparkSession, path: str, schema) -> DataFrame:
     """Rows of committed runs with their run_id; what a killed run left behind is not seen."""
     whole = StructType([*schema.fields, StructField("run_id", StringType())])
-    if not _present(spark, f"{path}/rows"):
+    if not _present(spark, f"{path}/rows/*"):
         return spark.createDataFrame([], whole)
     return spark.read.schema(whole).parquet(f"{path}/rows/*").join(read_commits(spark, path).select("run_id"), "run_id", "left_semi")
 
