@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import FROZEN, Params
 from ..functions.core import first_match, hours_between, row_hash, session_close_utc, short_id
-from .dilution import latest_signal
-from .fundamentals import fundamentals_at
 from .ranking import group_top
 
 # Risk flags that bar a candidate, ledger columns under the hash.
@@ -94,41 +94,69 @@ def position_state(positions: DataFrame, cancelled: DataFrame, candidates: DataF
     return p.join(c, "security_id", "full_outer")
 
 
-def load_rows(
+def with_security(df: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Positions or cancellations with the security of their candidate."""
+    return df.join(candidates.select("candidate_id", "security_id"), "candidate_id")
+
+
+def screened_rows(
     universe: DataFrame, scores: DataFrame, flags: DataFrame, signals: DataFrame, fundamentals: DataFrame,
-    state: DataFrame, session: Column, cutoff: Column,
-) -> tuple[DataFrame, DataFrame]:
-    """(screened rows, unscreened rows with what is missing) for one session."""
-    s = scores.where(F.col("score_date") == session).select(
-        "security_id", F.col("composite_score").alias("composite"), F.col("rank"), F.col("quality_score").alias("quality"),
-        F.col("rankable"), F.col("cohort_id").alias("_cohort"),
-    )
-    f = flags.where(F.col("as_of_date") == session).groupBy("security_id").agg(
-        F.collect_set(F.when(F.col("severity") == "high", F.col("flag_code"))).alias("_high")
+    positions: DataFrame, cancelled: DataFrame, session: Column, cutoff: Column,
+) -> DataFrame:
+    """One row per security of the universe as the selection rule sees it at a session, with what is `missing` of its screening.
+
+    The sources are cut to their columns, tagged by where they stand in one common row, stacked, and folded in a single shuffle by
+    security: the score of the session, all its flags, the newest signal on or before it, the newest fundamental period known at
+    the cutoff in its newest state, the last exit and gap cancellation up to it, and the open horizons. The fold combines
+    map-side, so a security with any number of rows is one row per task. `positions` and `cancelled` carry security_id.
+
+    A security without a signal, or without any flag row at the session, was never screened: `missing` names the sources, and
+    `screened` is false; nothing is taken as clean. Source rows without a security_id, or of a security outside the universe,
+    are left out. Repeated rows change nothing; of several scores, or signals of one date, the greatest row counts, in the order
+    of the columns. Empty sources give unscreened rows, an empty universe none.
+    """
+    c = F.col
+    high = F.when(c("severity") == "high", c("flag_code"))
+    gone = F.when((c("status") == "closed") & (c("exit_date") <= session), c("exit_date"))
+    paused = c("cancelled_at").cast("date")
+    parts = (
+        universe.select("security_id", F.struct("symbol").alias("_u")),
+        scores.where(c("score_date") == session).select(
+            "security_id", F.struct(c("composite_score").alias("composite"), "rank", c("quality_score").alias("quality"), "rankable", c("cohort_id").alias("cohort")).alias("_s")
+        ),
+        flags.where(c("as_of_date") == session).select("security_id", F.lit(True).alias("_flagged"), high.alias("_high")),
+        signals.where(c("as_of_date") <= session).select("security_id", F.struct("as_of_date", "dilution_score", "is_disqualified").alias("_d")),
+        fundamentals.where(c("knowledge_date") <= cutoff).select(
+            "security_id", F.struct("period_end", "knowledge_date", "model_applicable", "inputs_complete").alias("_a")
+        ),
+        positions.select("security_id", gone.alias("_exit"), F.when(c("status") == "open", c("horizon_days")).alias("_open")),
+        cancelled.where(paused <= session).select("security_id", paused.alias("_pause")),
     )
-    d = latest_signal(signals, session).select("security_id", "dilution_score", F.col("is_disqualified").alias("_dq"))
-    a = fundamentals_at(fundamentals, cutoff).select("security_id", "model_applicable", "inputs_complete")
-    rows = universe.select("security_id", "symbol")
-    for side in (s, f, d, a, state):
-        rows = rows.join(side, "security_id", "left")
-    no = lambda c: F.coalesce(F.col(c), F.lit(False))
-    screened = F.col("_high").isNotNull() & F.col("dilution_score").isNotNull()
+    stacked = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [p.where("security_id IS NOT NULL") for p in parts])
+    newest = [F.max(n).alias(n) for n in ("_u", "_s", "_flagged", "_d", "_a", "_exit", "_pause")]
+    folded = stacked.groupBy("security_id").agg(*newest, F.collect_set("_high").alias("_high"), F.collect_set("_open").alias("_open"))
+    no = lambda x: F.coalesce(c(x), F.lit(False))
     missing = F.filter(
-        F.array(F.when(F.col("dilution_score").isNull(), F.lit("dilution_signals")), F.when(F.col("_high").isNull(), F.lit("risk_flags"))),
+        F.array(F.when(c("_d").isNull(), F.lit("dilution_signals")), F.when(c("_flagged").isNull(), F.lit("risk_flags"))),
         lambda m: m.isNotNull(),
     )
-    full = rows.where(screened).select(
-        "security_id", F.coalesce("symbol", F.col("security_id").cast("string")).alias("symbol"),
-        F.coalesce("_cohort", F.lit("SIC-UNKNOWN")).alias("cohort_id"), no("rankable").alias("rankable"),
-        no("model_applicable").alias("model_applicable"), "composite", "rank", "quality",
-        no("inputs_complete").cast("int").alias("inputs_complete"), "dilution_score", no("_dq").alias("dilution_disqualified"),
+    return folded.where(c("_u").isNotNull()).select(
+        "security_id", F.coalesce("_u.symbol", c("security_id").cast("string")).alias("symbol"),
+        F.coalesce("_s.cohort", F.lit("SIC-UNKNOWN")).alias("cohort_id"), no("_s.rankable").alias("rankable"),
+        no("_a.model_applicable").alias("model_applicable"), "_s.composite", "_s.rank", "_s.quality",
+        F.coalesce(c("_a.inputs_complete").cast("int"), F.lit(0)).alias("inputs_complete"),
+        "_d.dilution_score", no("_d.is_disqualified").alias("dilution_disqualified"),
         F.array_contains("_high", "going_concern").alias("high_going_concern"),
         F.array_sort(F.array_intersect("_high", F.array(*[F.lit(b) for b in BARRING_FLAGS]))).alias("high_dilution_flags"),
-        "last_exit_session", "last_gap_cancel_session",
-        F.coalesce("open_horizons", F.array().cast("array<int>")).alias("open_horizons"),
+        c("_exit").alias("last_exit_session"), c("_pause").alias("last_gap_cancel_session"),
+        F.array_sort("_open").cast("array<int>").alias("open_horizons"), missing.alias("missing"), (F.size(missing) == 0).alias("screened"),
     )
-    rest = rows.where(~screened).select("security_id", "symbol", "composite", "rank", missing.alias("missing"))
-    return full, rest
+
+
+def load_rows(screened: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows the rule may judge, rows whose screening is missing) of `screened_rows`."""
+    judged = screened.where("screened").drop("missing", "screened")
+    return judged, screened.where("NOT screened").select("security_id", "symbol", "composite", "rank", "missing")
 
 
 def eligibility_failure(threshold: Column | None, params: Params = FROZEN) -> Column:
