@@ -13,17 +13,36 @@ from ..operators.universe import EXCHANGE_CODES, assign_ids
 FOOTER = "File Creation Time"
 
 
+def _directory_lines(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """Lines of all files under `path` as cells, each beside its own file's header; blank lines, headers and footers are left out.
+
+    A file's header is the line that holds all wanted names as cells, wherever a split of the file begins. There is one
+    row of headers per file, so the join is a broadcast by size unless there are very many files.
+    """
+    lines = spark.read.text(path).select("value", F.split("value", r"\|").alias("_v"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.where((F.trim("value") != "") & ~F.col("value").startswith(FOOTER))
+    names = F.array(*[F.lit(c) for c in columns])
+    is_head = F.size(F.array_except(names, F.transform("_v", F.trim))) == 0
+    heads = lines.where(is_head).groupBy(F.col("file").alias("_f")).agg(F.min(F.transform("_v", F.trim)).alias("_h"))
+    return lines.where(~is_head).join(heads, F.col("file") == F.col("_f"), "left")
+
+
 def read_directory(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """Pipe-delimited file by header; footer and rows of another width are dropped.
+    """Pipe-delimited files, each by its own header, in whatever order its columns are; `file` tells where a row is from.
 
-    `columns` maps header names to ours.
+    `columns` maps header names to ours. Lines of another width than their header, and all lines of a file without a
+    header, are not among the rows but in `directory_rejects`. No file gives no rows.
     """
-    lines = spark.read.text(path).where((F.trim("value") != "") & ~F.col("value").startswith(FOOTER))
-    head = lines.where(F.col("value").startswith(next(iter(columns)) + "|")).limit(1).select(F.split("value", r"\|").alias("_h"))
-    rows = lines.select(F.split("value", r"\|").alias("_v")).join(F.broadcast(head))  # one header row
-    rows = rows.where((F.size("_v") == F.size("_h")) & (F.col("_v") != F.col("_h")))
+    rows = _directory_lines(spark, path, columns).where(F.size("_v") == F.size("_h"))
     cell = lambda name: F.trim(F.get("_v", F.array_position("_h", name).cast("int") - 1))
-    return rows.select(*[cell(name).alias(ours) for name, ours in columns.items()])
+    return rows.select(*[cell(name).alias(ours) for name, ours in columns.items()], "file")
+
+
+def directory_rejects(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """(file, line, reason) of every line that `read_directory` leaves out."""
+    lines = _directory_lines(spark, path, columns)
+    reason = first_match((F.col("_h").isNull(), "file without a header"), (F.size("_v") != F.size("_h"), "another width than the header"))
+    return lines.withColumn("reason", reason).where("reason IS NOT NULL").select("file", F.col("value").alias("line"), "reason")
 
 
 def read_nasdaq(spark: SparkSession, path: str) -> DataFrame:
@@ -48,14 +67,41 @@ def merge_directories(nasdaq: DataFrame, other: DataFrame) -> DataFrame:
     return both.groupBy(F.upper("symbol").alias("symbol")).agg(F.min_by(rest, "_p").alias("_r")).select("symbol", "_r.*")
 
 
-def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest JSON with its list of securities as rows."""
-    schema = (
-        "manifest_version string, securities array<struct<symbol:string,category:string,inclusion_reason:string,"
-        "delisted_date:date,cik:string,name:string,valid_from:date>>"
+MANIFEST = (
+    "manifest_version string, securities array<struct<symbol:string,category:string,inclusion_reason:string,"
+    "delisted_date:date,cik:string,name:string,valid_from:date>>, _corrupt_record string"
+)
+
+
+def _manifest_entries(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of all manifests with the reason why one can't be used; a manifest that fails as a whole is one row."""
+    m = spark.read.schema(MANIFEST).option("multiLine", True).option("mode", "PERMISSIVE").json(path)
+    m = m.select("*", F.col("_metadata.file_path").alias("file"))
+    whole = first_match(
+        (F.col("_corrupt_record").isNotNull(), "not a manifest in JSON"),
+        (F.col("manifest_version").isNull(), "missing manifest_version"),
+        (F.col("securities").isNull(), "missing securities"),
     )
-    m = spark.read.schema(schema).option("multiLine", True).json(path)
-    return m.select("manifest_version", F.explode("securities").alias("_s")).select("manifest_version", "_s.*")
+    one = F.when(whole.isNotNull(), F.array(F.lit(None).cast(m.schema["securities"].dataType.elementType))).otherwise(F.col("securities"))
+    rows = m.select("file", "manifest_version", whole.alias("_whole"), F.posexplode(one).alias("entry_no", "_s"))
+    blank = lambda name: F.coalesce(F.trim(F.col("_s")[name]), F.lit("")) == ""
+    lacking = first_match(*[(blank(name), f"missing {name}") for name in ("symbol", "category", "inclusion_reason")])
+    return rows.withColumn("reason", F.coalesce("_whole", lacking))
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Usable entries of every manifest (JSON, one a file) with its version.
+
+    Files that don't parse, manifests without a version or a list, and entries without a symbol, category or reason are
+    in `manifest_rejects`; a job that must not go on with some of them passes those to `sinks.require_empty`.
+    """
+    return _manifest_entries(spark, path).where("reason IS NULL").select("manifest_version", "_s.*", "file")
+
+
+def manifest_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(file, entry_no, symbol, reason); entry_no and symbol are NULL where the manifest fails as a whole."""
+    rows = _manifest_entries(spark, path).where("reason IS NOT NULL")
+    return rows.select("file", F.when(F.col("_whole").isNull(), F.col("entry_no")).alias("entry_no"), F.col("_s.symbol").alias("symbol"), "reason")
 
 
 def resolve_entries(manifest: DataFrame, directory: DataFrame, tickers: DataFrame, submissions: DataFrame, observed: Column) -> DataFrame:
