@@ -27,6 +27,7 @@ from knownat.llm import words
 # Code points of white space, and the letters of one- and two-letter contractions after an apostrophe.
 WHITE_SPACE = (0x9, 0xA, 0xB, 0xC, 0xD, 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 ONE_LETTER = "stmd"
+CONTRACTED = frozenset(ONE_LETTER)
 TWO_LETTERS = ("re", "ve", "ll")
 
 # Symbols: letter, number, other sign, apostrophe before one or two letters of a contraction, space that the next sign
@@ -37,6 +38,8 @@ L, N, O, A1, A2, SPACE, BLANK, RUN, END = range(9)
 FRESH, LETTERS, NUMBERS, SIGNS, JOIN, BLANKS, ONE, TWO = range(8)
 _SENTINEL = 0x110000
 BLOCK = 256
+#: Texts up to this many bytes are cut sign by sign: below it the cost of array calls outweighs that of the text.
+SHORT = 512
 #: Slices longer than this are merged with a heap, as their length has no bound.
 LONG = 48
 #: Slices that each worker remembers before it starts anew.
@@ -59,7 +62,7 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 
 STEP, STARTS = _automaton()
 _STEP, _STARTS = STEP.tolist(), STARTS.tolist()
-_tables: dict[str, np.ndarray] = {}
+_tables: dict[str, np.ndarray | bytes] = {}
 
 
 def _classes() -> np.ndarray:
@@ -132,6 +135,29 @@ def _walk(found: np.ndarray) -> np.ndarray:
     return np.array(flags, bool)
 
 
+def starts(text: bytes) -> list[int]:
+    """Byte positions where the slices of one text start; a short one is walked without arrays."""
+    if len(text) > SHORT:
+        return Slices(pa.array([text], pa.binary())).starts.tolist()
+    if "bytes" not in _tables:
+        _tables["bytes"] = _classes().tobytes()
+    kinds, signs = _tables["bytes"], text.decode()
+    found = [kinds[ord(c)] for c in signs]
+    found.append(END)
+    out, at, state, wide = [], 0, FRESH, len(signs) < len(text)
+    for i, c in enumerate(signs):
+        symbol = found[i]
+        if symbol == RUN and found[i + 1] < RUN:
+            symbol = SPACE if c == " " else BLANK
+        elif c == "'":
+            symbol = A1 if signs[i + 1 : i + 2] in CONTRACTED else A2 if signs[i + 1 : i + 3] in TWO_LETTERS else symbol
+        if _STARTS[symbol][state]:
+            out.append(at)
+        state = _STEP[symbol][state]
+        at += len(c.encode()) if wide else 1
+    return out
+
+
 class Slices:
     """Pre-token slices of a run of texts."""
 
@@ -179,6 +205,11 @@ class Merger:
                 self.known[piece] = found
         return found
 
+    def counts(self, pieces: list[bytes]) -> np.ndarray:
+        """The number of ids of each slice; equal ones are looked up once."""
+        known = {piece: len(self.ids(piece)) for piece in set(pieces)}
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
     def _merge(self, piece: bytes) -> tuple[int, ...]:
         ranks = self.ranks
         if piece in ranks:

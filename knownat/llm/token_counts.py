@@ -12,6 +12,7 @@ slice start at least three code points before the edit and may end at the first
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +28,30 @@ EDIT = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructFiel
 
 
 class CountTree:
-    """Sums over slices. Leaves stay where they are: a leaf may hold several slices, or none, after edits."""
-
-    def __init__(self, slices: list[bytes], merger: bpe.Merger):
-        self.merger = merger
-        self.leaves = [[s] for s in slices] or [[]]
-        self.width = 1 << (len(self.leaves) - 1).bit_length()
-        self.sizes = self._sums([len(s) for s in slices])
-        self.tokens = self._sums([len(merger.ids(s)) for s in slices])
+    """Sums over slices. Leaves stay where they are: a leaf may hold several slices, or none, after edits.
+
+    Only leaves that an edit changed are kept as lists; the others are their one slice. `counts` are the tokens of each
+    slice, where they are known.
+    """
+
+    def __init__(self, slices: list[bytes], merger: bpe.Merger, counts: np.ndarray | None = None):
+        self.merger, self.slices = merger, slices
+        self.changed: dict[int, list[bytes]] = {} if slices else {0: []}
+        self.last = max(len(slices) - 1, 0)
+        self.width = 1 << self.last.bit_length()
+        self.sizes, self.tokens = self._sums(list(map(len, slices)), merger.counts(slices) if counts is None else counts)
         self.whole = b"".join(slices)
         self.encoded = 0  # bytes encoded for edits so far
 
-    def _sums(self, leaves: list[int]) -> list[int]:
-        """The tree over some leaves, level by level; node i has the children 2i and 2i + 1."""
-        levels = [np.zeros(self.width, np.int64)]
-        levels[0][: len(leaves)] = leaves
-        while len(levels[-1]) > 1:
-            levels.append(levels[-1].reshape(-1, 2).sum(1))
-        return [0, *np.concatenate(levels[::-1]).tolist()]
+    def _sums(self, *leaves: list[int] | np.ndarray) -> list[memoryview]:
+        """The trees over some leaves, level by level; node i has the children 2i and 2i + 1."""
+        levels = [np.zeros((len(leaves), self.width), np.int64)]
+        for row, values in zip(levels[0], leaves):
+            row[: len(values)] = values
+        while levels[-1].shape[1] > 1:
+            levels.append(levels[-1][:, ::2] + levels[-1][:, 1::2])
+        nodes = np.concatenate([np.zeros_like(levels[-1]), *levels[::-1]], 1)
+        return [memoryview(row) for row in nodes]
 
     @property
     def size(self) -> int:
@@ -54,28 +61,42 @@ class CountTree:
     def count(self) -> int:
         return self.tokens[1]
 
+    @property
+    def leaves(self) -> list[list[bytes]]:
+        return [self._held(leaf) for leaf in range(self.last + 1)]
+
     def text(self) -> bytes:
         return self.whole
 
+    def _held(self, leaf: int) -> list[bytes]:
+        found = self.changed.get(leaf)
+        return [self.slices[leaf]] if found is None else found
+
     def _leaf(self, at: int) -> tuple[int, int]:
         """The leaf that holds byte `at` (the last with text, at the end) and the byte where it starts."""
+        sizes, width = self.sizes, self.width
         at, node, start = min(at, max(self.size - 1, 0)), 1, 0
-        while node < self.width:
+        while node < width:
             node *= 2
-            if at >= start + self.sizes[node]:
-                start += self.sizes[node]
+            if at >= start + sizes[node]:
+                start += sizes[node]
                 node += 1
-        return min(node - self.width, len(self.leaves) - 1), start
-
-    def _set(self, leaf: int, slices: list[bytes]) -> None:
-        self.leaves[leaf] = slices
-        node = leaf + self.width
-        self.sizes[node] = sum(map(len, slices))
-        self.tokens[node] = sum(len(self.merger.ids(s)) for s in slices)
-        while node > 1:
-            node //= 2
-            self.sizes[node] = self.sizes[2 * node] + self.sizes[2 * node + 1]
-            self.tokens[node] = self.tokens[2 * node] + self.tokens[2 * node + 1]
+        return min(node - width, self.last), start
+
+    def _set(self, first: int, last: int, slices: list[bytes]) -> None:
+        """Give the leaf `first` these slices and the leaves after it up to `last` none, and update the sums above."""
+        sizes, tokens, ids = self.sizes, self.tokens, self.merger.ids
+        low, high = first + self.width, last + self.width
+        self.changed[first] = slices
+        sizes[low], tokens[low] = sum(map(len, slices)), sum([len(ids(s)) for s in slices])
+        for leaf in range(first + 1, last + 1):
+            self.changed[leaf] = []
+            sizes[leaf + self.width] = tokens[leaf + self.width] = 0
+        while low > 1:
+            low, high = low // 2, high // 2
+            for node in range(low, high + 1):
+                sizes[node] = sizes[2 * node] + sizes[2 * node + 1]
+                tokens[node] = tokens[2 * node] + tokens[2 * node + 1]
 
     def edit(self, at: int, removed: int, added: bytes) -> None:
         """Replace `removed` bytes from byte `at` by `added`; both ends must be code point limits."""
@@ -87,36 +108,30 @@ class CountTree:
         first, start = self._leaf(max(at - LOOK_AROUND, 0))
         last, last_start = self._leaf(at + removed + 2 * LOOK_AROUND)
         end = last_start + self.sizes[last + self.width]
-        old = [s for leaf in self.leaves[first : last + 1] for s in leaf]
-        more = 1
+        old = [s for leaf in range(first, last + 1) for s in self._held(leaf)]
+        moved, more = len(added) - removed, 1
         while True:
-            text = b"".join(old)
-            new = text[: at - start] + added + text[at + removed - start :]
-            cut = bpe.Slices(pa.array([new], pa.binary()))
-            moved = len(added) - removed
-            limits = np.cumsum([start, *map(len, old)])[:-1]  # where old slices start
-            kept = limits[limits >= at + removed] + moved  # those after the edit, where they are now
-            common = np.intersect1d(cut.starts + start, kept)
-            agreed = common[common < start + len(new) - LOOK_AROUND]  # two more signs follow: its symbol is the true one
-            if end == self.size or len(agreed):
+            new = self.whole[start : end + moved]
+            found = bpe.starts(new)
+            if end == self.size:
+                agreed = None
                 break
-            grown = min(last + more, len(self.leaves) - 1)  # include more slices to the right
+            limits = list(accumulate(map(len, old), initial=start))[:-1]  # where old slices start
+            kept = {x + moved for x in limits if x >= at + removed}  # those after the edit, where they are now
+            sure = len(new) - LOOK_AROUND  # two more signs follow a start before it: its symbol is the true one
+            agreed = next((i for i, x in enumerate(found) if x + start in kept and x < sure), None)
+            if agreed is not None:
+                break
+            grown = min(last + more, self.last)  # include more slices to the right
             for leaf in range(last + 1, grown + 1):
-                old += self.leaves[leaf]
+                old += self._held(leaf)
                 end += self.sizes[leaf + self.width]
             last, more = grown, 2 * more
-        slices = list(cut)
-        if end != self.size:  # from the agreed start on, the old slices hold
-            whole = agreed[0] - start
-            sizes = np.cumsum([0, *map(len, slices)])
-            slices = slices[: int(np.searchsorted(sizes, whole))]
-            rest = int(np.searchsorted(limits + moved, agreed[0]))
-            slices += old[rest:]
+        slices = [new[a:b] for a, b in pairwise([*found, len(new)])]
+        if agreed is not None:  # from the agreed start on, the old slices hold
+            slices = slices[:agreed] + old[limits.index(found[agreed] + start - moved) :]
         self.encoded += len(new)
-        self._set(first, slices)
-        for leaf in range(first + 1, last + 1):
-            if self.leaves[leaf]:
-                self._set(leaf, [])
+        self._set(first, last, slices)
 
 
 def count_edits(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", edits: str = "edits") -> DataFrame:
@@ -139,9 +154,10 @@ def count_edits(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", ed
         for batch in batches:
             for part in words.slices(batch, text):
                 cut = bpe.Slices(part.column(text))
-                pieces, found = list(cut), []
-                for i, wanted in enumerate(part.column(edits).to_pylist()):
-                    tree = CountTree(pieces[cut.first[i] : cut.first[i + 1]], merger)
+                pieces, found, limits = list(cut), [], cut.first.tolist()
+                counts = merger.counts(pieces)
+                for wanted, a, b in zip(part.column(edits).to_pylist(), limits, limits[1:]):
+                    tree = CountTree(pieces[a:b], merger, counts[a:b])
                     before = tree.count
                     for e in wanted or []:
                         apply(tree, e["at"] or 0, e["removed"] or 0, e["added"] or "")
@@ -155,9 +171,10 @@ def count_edits(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", ed
 def apply(tree: CountTree, at: int, removed: int, added: str) -> None:
     """An edit whose positions count code points."""
     data = tree.text()
-    if len(data) == len(text := data.decode()):
+    if data.isascii():
         tree.edit(at, removed, added.encode())
         return
+    text = data.decode()
     at = min(max(at, 0), len(text))
     start = len(text[:at].encode())
     tree.edit(start, len(text[at : at + max(removed, 0)].encode()), added.encode())

@@ -102,6 +102,31 @@ def test_count_tree_follows_edits(ranks, encoding):
             assert tree.text().decode() == text and tree.count == len(encoding.encode_ordinary(text))
 
 
+def test_starts_of_one_text_are_its_slices():
+    for text in [*(sample(i) for i in range(600)), *(sample(i, 4 * bpe.SHORT) for i in range(60)), "", "it's 'twas we'll'd", "a" * bpe.SHORT]:
+        assert bpe.starts(text.encode()) == bpe.Slices(pa.array([text])).starts.tolist()
+
+
+def test_count_tree_looks_up_what_changes(ranks, encoding):
+    """Equal slices are looked up once, and an edit neither looks up nor unpacks the slices far from it."""
+
+    class Watched(bpe.Merger):
+        looked = 0
+
+        def ids(self, piece):
+            self.looked += 1
+            return super().ids(piece)
+
+    merger, text = Watched(ranks), "word and word, " * 2000
+    tree = token_counts.CountTree(list(bpe.Slices(pa.array([text]))), merger)
+    assert merger.looked < 10 and tree.count == len(encoding.encode_ordinary(text))
+    for at, removed, new in ((20000, 10, ""), (15000, 0, "it's new"), (10, 5, "'s"), (14000, 900, "")):
+        text, before = text[:at] + new + text[at + removed :], merger.looked
+        token_counts.apply(tree, at, removed, new)
+        assert merger.looked - before < 40 and tree.count == len(encoding.encode_ordinary(text)) and tree.text().decode() == text
+    assert len(tree.changed) < 400
+
+
 def test_token_counts(spark, odd, ranks, encoding):
     rows = token_counts.count_edits(token_counts.sample_edits(odd), ranks).collect()
     assert len(rows) == len(ODD)
