@@ -18,6 +18,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -44,6 +45,8 @@ SHORT = 512
 LONG = 48
 #: Slices that each worker remembers before it starts anew.
 CACHE = 300_000
+#: Ids that are decoded at once.
+DECODED = 1 << 18
 
 
 def _automaton() -> tuple[np.ndarray, np.ndarray]:
@@ -304,22 +307,36 @@ def _encoder(spark: SparkSession, ranks: dict[bytes, int], text: str, schema: T.
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], ids: str = "ids", output: str = "decoded") -> DataFrame:
-    """Add the bytes of each row's ids. Null ids give empty bytes; an unknown id raises KeyError."""
-    from pyspark.sql.pandas.types import to_arrow_schema
+    """Add the bytes of each row's ids. Null ids give empty bytes; an unknown id raises KeyError.
 
+    All columns of `encoded` go through the workers, whole batches at a time: those that are not needed later, such as
+    the text or the slices, should be dropped before.
+    """
     schema = added(encoded, [T.StructField(output, T.BinaryType(), False)])
-    shared = encoded.sparkSession.sparkContext.broadcast({rank: token for token, rank in ranks.items()})
+    return encoded.mapInArrow(_decoder(encoded.sparkSession, ranks, ids, output, schema), schema)
+
+
+def _decoder(spark: SparkSession, ranks: dict[bytes, int], ids: str, output: str, schema: T.StructType) -> Callable:
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    numbers, tokens = zip(*{rank: token for token, rank in ranks.items()}.items()) if ranks else ((), ())
+    shared = spark.sparkContext.broadcast((pa.array(numbers, pa.int64()), pa.array(tokens, pa.binary())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, form = shared.value, to_arrow_schema(schema)
+        (numbers, tokens), form = shared.value, to_arrow_schema(schema)
         for batch in batches:
-            column = batch.column(ids)
-            values, where = column.values.to_numpy(), column.offsets.to_numpy()
-            missing = column.is_null().to_pylist() if column.null_count else None
-            made = []
-            for i in range(batch.num_rows):
-                chosen = [] if missing and missing[i] else values[where[i] : where[i + 1]].tolist()
-                made.append(b"".join(map(token.__getitem__, chosen)))
-            yield with_columns(batch, form, {output: pa.array(made, pa.binary())})
-
-    return encoded.mapInArrow(run, schema)
+            for part in words.parts(batch, _offsets(batch.column(ids)), DECODED):
+                column = part.column(ids)
+                values = column.flatten().cast(pa.int64())
+                at = pc.index_in(values, value_set=numbers)
+                if at.null_count:
+                    raise KeyError(values.filter(at.is_null())[0].as_py())
+                pieces = pa.ListArray.from_arrays(pa.array(_offsets(column), pa.int32()), tokens.take(at))
+                yield with_columns(part, form, {output: pc.binary_join(pieces, b"")})
+
+    return run
+
+
+def _offsets(column: pa.ListArray) -> np.ndarray:
+    """Where the values of each list start among those of all lists; a null is an empty list."""
+    return np.concatenate([[0], np.cumsum(pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])

@@ -29,9 +29,12 @@ class Words(NamedTuple):
 
 def slices(batch: pa.RecordBatch, column: str, target: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about `target` bytes of text, to bound the arrays made from them."""
-    if not batch.num_rows:
-        return
-    _, offsets = flat(batch.column(column))
+    if batch.num_rows:
+        yield from parts(batch, flat(batch.column(column))[1], target)
+
+
+def parts(batch: pa.RecordBatch, offsets: np.ndarray, target: int) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of whole rows of about `target` items; `offsets` say where the items of each row start."""
     start = 0
     while start < batch.num_rows:
         stop = int(np.searchsorted(offsets, offsets[start] + target, "right")) - 1

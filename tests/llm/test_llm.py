@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tests_llm_odd import DOCS, ODD
 
@@ -89,6 +91,31 @@ def test_bpe_round_trip(spark, odd, docs, ranks, encoding):
         assert r["decoded_sha256"] == hashlib.sha256((docs[r["doc_id"]] or "").encode()).hexdigest()
 
 
+def test_decoding_carries_bounded_batches(spark, ranks, encoding):
+    """Decoding gets neither texts nor slices, and passes on what it decodes in runs of whole rows, not whole batches."""
+    plan = queries.op2_byte_bpe(spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    taken = re.findall(r"MapInArrow run\((.*?)\)#", plan)
+    assert len(taken) == 2 and not re.search("text|slice_", taken[0]) and "text" in taken[1]
+
+    def decoded(ids, vocabulary=ranks):
+        rows = spark.createDataFrame([], "ids array<int>")
+        run = bpe._decoder(spark, vocabulary, "ids", "decoded", bpe.added(rows, [T.StructField("decoded", T.BinaryType(), False)]))
+        return list(run(iter([pa.record_batch({"ids": pa.array(ids, pa.list_(pa.int32()))})])))
+
+    text = "".join(sample(i) for i in range(900))
+    long, short = encoding.encode_ordinary(text), encoding.encode_ordinary("it's")
+    ids = [long, None, [], short] * (3 * bpe.DECODED // len(long))
+    got = decoded(ids)
+    assert len(got) > 2 and all(sum(len(x or ()) for x in b.column("ids").to_pylist()) <= bpe.DECODED for b in got)
+    assert [x for b in got for x in b.column("ids").to_pylist()] == ids
+    assert [x for b in got for x in b.column("decoded").to_pylist()] == [text.encode(), b"", b"", b"it's"] * (len(ids) // 4)
+    assert [x for b in decoded([long * (2 * bpe.DECODED // len(long))]) for x in b.column("decoded").to_pylist()] == [text.encode() * (2 * bpe.DECODED // len(long))]
+    assert not decoded([]) and decoded([None, []], {})[0].column("decoded").to_pylist() == [b"", b""]
+    for unknown, vocabulary in (([short, [10**9]], ranks), ([[-1]], ranks), ([[0]], {})):
+        with pytest.raises(KeyError):
+            decoded(unknown, vocabulary)
+
+
 def test_count_tree_follows_edits(ranks, encoding):
     merger, source = bpe.Merger(ranks), random.Random(2)
     for i in range(600):
