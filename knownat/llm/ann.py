@@ -24,6 +24,8 @@ from knownat.llm.store import stored
 
 #: Vectors of a block of codes, and of a block of queries.
 CODES, QUERIES = 4096, 256
+#: Blocks of codes meet the queries in so many groups, beyond that in groups of so many blocks: queries are copied for each.
+GROUPS, CODES_TOGETHER = 32, 8
 #: Blocks of codes whose nearest are put together at once.
 FAN = 64
 #: Width of the error bound in standard deviations of the estimate; beyond three lie about 3 candidates in 1000.
@@ -107,9 +109,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
     blocks = stored(_packed(candidates, CODES).withColumn("code", F.monotonically_increasing_id()), "codes")
     asking = stored(_packed(asked, QUERIES).select("size", F.col("ids").alias("query_ids"), F.col("vectors").alias("query_vectors")), "queries")
     parts = max(blocks.count(), 1)
-    # every block of queries goes to every group of codes, about one block each: CODES times fewer than there are rows
-    blocks = blocks.withColumn("group", F.pmod(F.xxhash64("code"), F.lit(parts)).cast("int"))
-    spread = asking.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    groups = max(min(parts, GROUPS), parts // CODES_TOGETHER)
+    # every block of queries goes to every group of blocks of codes. A plan takes exploded rows for one, so without a
+    # hint all these copies would be sent to the driver to be broadcast
+    blocks = blocks.withColumn("group", F.pmod(F.xxhash64("code"), F.lit(groups)).cast("int"))
+    spread = asking.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).hint("merge")
     met = blocks.join(spread, ["size", "group"]).select("code", "size", "ids", "bits", "own", "vectors", "query_ids", "query_vectors")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
