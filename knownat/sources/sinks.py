@@ -17,8 +17,13 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Incoming rows whose key is not stored, one per key: append-only and repeatable."""
-    return incoming.dropDuplicates(list(keys)).join(existing.select(*keys), list(keys), "left_anti")
+    """Incoming rows whose key is not stored, one per key: append-only and repeatable.
+
+    The stored keys grow with the table, and their size can't be told from a plan (exploded rows count as one), so they
+    are never sent to the driver.
+    """
+    held = existing.select(*keys).hint("merge")
+    return incoming.dropDuplicates(list(keys)).join(held, list(keys), "left_anti")
 
 
 def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:

@@ -18,3 +18,15 @@ def test_queries_of_nearest_are_not_broadcast(spark):
     found = ann.nearest(table, table.where("vec_id % 10 = 0"), k=3)
     assert "Broadcast" not in plan(found)
     assert found.groupBy("query_id").count().where("count = 3").count() == 6
+
+
+def test_stored_keys_are_not_broadcast(spark):
+    """Keys of exploded rows look small in a plan; all of them went through the driver. NULL keys are still appended."""
+    from knownat.sources.sinks import append_new
+
+    def exploded(n):
+        return spark.range(n).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("c"))
+
+    rows = append_new(exploded(4), exploded(6).unionByName(exploded(6)), ["k", "c"])
+    assert "Broadcast" not in plan(rows)
+    assert sorted((r.k or -1, r.c) for r in rows.collect()) == [(-1, "a"), (-1, "b"), (4, "a"), (4, "b"), (5, "a"), (5, "b")]
