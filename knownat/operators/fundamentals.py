@@ -184,59 +184,79 @@ def resolve_inputs(
     First concept by priority with any usable fact wins, then the newest
     acceptance. Filings and the moments asked for are put in one order of time per
     (key, period), and the best value so far of every input is carried forward, so
-    each filing is read once whatever the number of states.
+    each filing is read once whatever the number of states. What is carried is
+    (rank, filing, value); concepts are named after the last shuffle, and the rows
+    of `grid` travel along with all their columns, so nothing is joined to them.
     """
-    has_prior = "prior_end" in grid.columns and len(prior_inputs) > 0
-    names = list(dict.fromkeys([*inputs, *prior_inputs]))
-    targets = F.array("period_end", "prior_end") if has_prior else F.array("period_end")
-    wanted = grid.select(F.col(key).alias("_k"), F.col("knowledge_date").alias("_at"), F.struct(*grid.columns).alias("_state"), F.posexplode(targets).alias("_which", "_target"))
-    filings = stated.select(F.col(key).alias("_k"), F.col("period_end").alias("_target"), F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *[f"_v{i}" for (n, _), i in SLOTS.items() if n in names])
-    filings = filings.selectExpr("_k", "_target", "_at", *[f"{_first_stated(n)} AS {n}" for n in names])
-    mixed = filings.unionByName(wanted.where(F.col("_target").isNotNull()), allowMissingColumns=True)
-    # a fact accepted at the very moment is known then: filings, which have no `_which`, come before states
-    so_far = "(PARTITION BY _k, _target ORDER BY _at, _which NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    filled = mixed.selectExpr("_which", "_state", *[f"max({n}) OVER {so_far} AS {n}" for n in names]).where("_which >= 0")
-    rows = filled.where("_which = 0").selectExpr("_state.*", *[_input(n, n, n) for n in inputs])
-    if not has_prior:
-        return rows
-    keys = [key, "period_end", "knowledge_date"]
-    prior = filled.where("_which = 1").selectExpr(*[f"_state.{c} AS _{c}" for c in keys], *[_input(n, n, f"prior_{n}") for n in prior_inputs])
-    joined = rows.join(prior, [F.col(c) == F.col(f"_{c}") for c in keys], "left")
-    return joined.drop(*[f"_{c}" for c in keys])
-
-
-#: Days are numbered from 1900 in so many bits; dates lie before 2079.
-DAY_BITS, DAY_ZERO = 16, 25567
+    names = list(dict.fromkeys(inputs))
+    rows = grid
+    if "prior_end" in grid.columns and len(prior_inputs) > 0:
+        known = F.col(key).isNotNull() & F.col("period_end").isNotNull() & F.col("knowledge_date").isNotNull() & F.col("prior_end").isNotNull()
+        before = _carried(grid.where(known), stated, "prior_end", list(dict.fromkeys(prior_inputs)), "_p_", key)
+        rows = before.unionByName(grid.where(~known), allowMissingColumns=True)
+    carried = _carried(rows, stated, "period_end", names, "_n_", key)
+    return carried.selectExpr(
+        *[f"`{c}`" for c in grid.columns], *[_input(f"_n_{n}", n, n) for n in inputs],
+        *[_input(f"_p_{n}", n, f"prior_{n}") for n in prior_inputs if rows is not grid],
+    )
+
+
+def _carried(grid: DataFrame, stated: DataFrame, target: str, names: list[str], prefix: str, key: str) -> DataFrame:
+    """Rows of `grid` with the best (rank, filing, value) of each input for the period `target`, as known at knowledge_date.
+
+    Filings are dealt out and sorted as they are stored, numbers and one accession, and made into structs only then.
+    """
+    state = F.struct(*[F.col(f"`{c}`") for c in grid.columns])
+    wanted = grid.select(F.col(key).alias("_k"), F.col(target).alias("_target"), F.col("knowledge_date").alias("_at"), F.lit(1).alias("_asks"), state.alias("_state"))
+    slots = [f"_v{i}" for (n, _), i in SLOTS.items() if n in names]
+    filings = stated.select(F.col(key).alias("_k"), F.col("period_end").alias("_target"), F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *slots)
+    # a fact accepted at the very moment is known then: filings, which have no `_asks`, come before states
+    order = [F.col("_at"), F.col("_asks").asc_nulls_first()]
+    mixed = filings.unionByName(wanted, allowMissingColumns=True).repartition("_k", "_target").sortWithinPartitions("_k", "_target", *order)
+    mixed = mixed.selectExpr("_k", "_target", "_at", "_asks", "_state", *[f"{_first_stated(n)} AS {n}" for n in names])
+    so_far = "(PARTITION BY _k, _target ORDER BY _at, _asks NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    filled = mixed.selectExpr("_asks", "_state", *[f"max({n}) OVER {so_far} AS {n}" for n in names]).where("_asks = 1")
+    short = lambda n: f"CASE WHEN {n} IS NOT NULL THEN named_struct('rank', {n}.rank, 'filing', {n}.filing, 'value', {n}.value) END AS {prefix}{n}"
+    return filled.selectExpr("_state.*", *[short(n) for n in names])
 
 
 def instant_as_of(grid: DataFrame, stated: DataFrame, name: str, as_of: dict[str, Column], key: str = "cik") -> DataFrame:
     """Latest positive balance dated at or before each as-of column, as known then.
 
-    Both the fact's date and its acceptance are bounded from above. Dates are cut
-    into dyadic spans: a fact is entered in the span of each length that holds its
-    date, and the days up to a question's date are at most one span of each length.
-    In every span facts and questions are put in one order of time and the best fact
-    so far is carried forward; a question takes the best of its spans.
+    Both the fact's date and its acceptance are bounded from above. The distinct
+    dates of a company's facts are numbered, and the numbers cut into dyadic spans:
+    a fact is entered in the span of each length that holds its date, and the dates
+    up to a question's are at most one span of each length. In every span facts and
+    questions are put in one order of time and the best fact so far is carried
+    forward; a question takes the best of its spans. All of it is done where a
+    company's facts and questions, which are short rows, were dealt once.
     """
-    keys = [key, "period_end", "knowledge_date"]
-    day = lambda c: F.unix_date(c) + DAY_ZERO
-    facts = stated.select(F.col(key).alias("_k"), "period_end", F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *[f"_v{i}" for (n, _), i in SLOTS.items() if n == name])
-    facts = facts.withColumn("_one", F.expr(_first_stated(name, "if({0} > 0, {0}, NULL)"))).where(F.col("_one").isNotNull()).select(
-        "_k", "_at", day(F.col("period_end")).alias("_day"), F.struct("_one.rank", F.col("period_end").alias("end"), "_one.at", "_one.filing", "_one.value").alias("_fact"),
+    facts = stated.select(F.col(key).alias("_k"), F.col("period_end").alias("_date"), F.col("accepted_at").alias("_at"), F.col("accession_no").alias("_filing"), *[f"_v{i}" for (n, _), i in SLOTS.items() if n == name])
+    facts = facts.where(F.col("_k").isNotNull() & F.col("_date").isNotNull()).withColumn("_one", F.expr(_first_stated(name, "if({0} > 0, {0}, NULL)"))).where(F.col("_one").isNotNull()).select(
+        "_k", "_date", "_at", F.struct("_one.rank", F.col("_date").alias("end"), "_one.at", "_one.filing", "_one.value").alias("_fact"),
     )
-    levels = F.explode(F.sequence(F.lit(0), F.lit(DAY_BITS - 1))).alias("_level")
-    entered = facts.select("_k", "_at", "_fact", "_day", levels).select("_k", "_level", F.expr("shiftright(_day, _level)").alias("_span"), "_at", "_fact")
-    asks = F.array(*[F.struct(F.lit(i).alias("out"), (day(at) + 1).alias("end")) for i, at in enumerate(as_of.values())])
+    asks = F.array(*[F.struct(F.lit(i).alias("out"), at.alias("date")) for i, at in enumerate(as_of.values())])
     asked = grid.select(F.col(key).alias("_k"), F.col("knowledge_date").alias("_at"), "period_end", F.explode(asks).alias("_ask"))
-    asked = asked.select("_k", "_at", "period_end", F.col("_ask.out").alias("_out"), F.col("_ask.end").alias("_end"), levels)
-    # the days before `_end`: a span of 2^level days for each bit that is set in it
-    asked = asked.where("getbit(_end, _level) = 1").select("_k", "_level", F.expr("shiftright(_end, _level) - 1").alias("_span"), "_at", "period_end", "_out")
-    so_far = Window.partitionBy("_k", "_level", "_span").orderBy("_at", F.col("_out").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = entered.unionByName(asked, allowMissingColumns=True).withColumn("_best", F.max("_fact").over(so_far))
-    picked = filled.where("_out IS NOT NULL AND _best IS NOT NULL").groupBy(F.col("_k").alias(key), "period_end", F.col("_at").alias("knowledge_date")).agg(
-        *[F.max(F.when(F.col("_out") == i, F.col("_best"))).alias(out) for i, out in enumerate(as_of)]
+    asked = asked.select("_k", F.col("_ask.date").alias("_date"), "_at", "period_end", F.col("_ask.out").alias("_out"))
+    dealt = facts.unionByName(asked, allowMissingColumns=True).repartition("_k")
+    own = Window.partitionBy("_k").orderBy("_date", F.col("_out").asc_nulls_first())  # of one date, facts come first
+    first = F.when(F.col("_out").isNull() & F.coalesce(F.lag("_date").over(own) != F.col("_date"), F.lit(True)), 1).otherwise(0)
+    dealt = dealt.withColumn("_first", first)
+    dealt = dealt.withColumn("_no", F.sum("_first").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    dealt = dealt.withColumn("_all", F.sum("_first").over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    # spans of 2^level dates: of a fact every one that holds its date, of a question one for each bit that is set in the number of dates
+    bits = lambda n: F.sequence(F.lit(0), F.length(F.bin(n)) - 1)
+    held = F.transform(bits(F.col("_all")), lambda i: F.struct(i.alias("level"), F.call_function("shiftright", F.col("_no") - 1, i).alias("span")))
+    upto = F.transform(
+        F.filter(bits(F.col("_no")), lambda i: F.call_function("getbit", F.col("_no"), i) == 1),
+        lambda i: F.struct(i.alias("level"), (F.call_function("shiftright", F.col("_no"), i) - 1).alias("span")),
     )
-    return grid.select(*keys).distinct().join(picked.selectExpr(*keys, *[_input(c, name, c) for c in as_of]), keys, "left")
+    spread = dealt.select("_k", "_at", "_fact", "period_end", "_out", F.explode_outer(F.when(F.col("_out").isNull(), held).otherwise(upto)).alias("_s"))
+    spread = spread.select("_k", F.col("_s.level").alias("_level"), F.col("_s.span").alias("_span"), "_at", "_fact", "period_end", "_out")
+    so_far = Window.partitionBy("_k", "_level", "_span").orderBy("_at", F.col("_out").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = spread.withColumn("_best", F.when(F.col("_level").isNotNull(), F.max("_fact").over(so_far))).where("_out IS NOT NULL")
+    picked = filled.groupBy("_k", "period_end", "_at").agg(*[F.max(F.when(F.col("_out") == i, F.col("_best"))).alias(out) for i, out in enumerate(as_of)])
+    return picked.selectExpr(f"_k AS {key}", "period_end", "_at AS knowledge_date", *[_input(c, name, c) for c in as_of])
 
 
 def derived_fundamentals(
@@ -251,8 +271,7 @@ def derived_fundamentals(
     stated = cut_lineage(stated_values(mapped_facts(facts, concept_mapping(facts.sparkSession))))
     ends = annual_ends(stated)
     periods = prior_period(latest_periods(ends, None if since is None else F.lit(since).cast("date")), ends)
-    grid = periods.join(knowledge_states(stated), ["cik", "period_end"])
-    rows = resolve_inputs(grid, stated, list(CONCEPTS), list(PRIOR_INPUTS))
+    grid = cut_lineage(periods.join(knowledge_states(stated), ["cik", "period_end"]))
     shares = instant_as_of(
         grid, stated, "shares_outstanding",
         {
@@ -261,13 +280,15 @@ def derived_fundamentals(
             "_prior_shares": F.col("prior_end"),
         },
     )
-    rows = rows.join(shares, ["cik", "period_end", "knowledge_date"])
+    # counts, companies and prices first meet the states, which are short; the inputs, some thirty structs, come last
+    rows = grid.join(shares, ["cik", "period_end", "knowledge_date"])
     rows = rows.join(securities.select("security_id", "cik", "sic_code", "class_count"), "cik")
     rows = asof_join(
         rows.withColumn("_known_on", F.col("knowledge_date").cast("date")),
         bars.where(F.col("close").isNotNull()).withColumn("price_date", F.col("date")),
         ["security_id"], "_known_on", "date", ["close", "price_date"],
     ).withColumnRenamed("close", "market_cap_price_used").withColumnRenamed("price_date", "market_cap_price_date")
+    rows = resolve_inputs(rows, stated, list(CONCEPTS), list(PRIOR_INPUTS))
 
     held = F.when(F.col("_shares.value").isNotNull(), F.col("_shares")).otherwise(F.col("shares_outstanding"))
     rows = rows.withColumn("_shares", held)

@@ -3,8 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Drops a query's shuffle files when it ends; without it they stay until the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(app: str = "knownat", master: str | None = None, **conf) -> SparkSession:
@@ -41,7 +48,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Queries that end inside leave no shuffle files: for writes whose results are read from the files written."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Written to the shared folder once and read from there, as compressed columns of which later steps read what they use.
+
+    A checkpoint holds whole rows uncompressed, and the shuffle files behind it stay beside it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/kept-{uuid4().hex}"
+    typed = df.withColumns({c: F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if kind == "void"})
+    with shuffles_dropped(spark):
+        typed.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(typed.schema).parquet(path)
