@@ -8,13 +8,14 @@ lost executor or job never leaves a half-overwritten table behind. Appended tabl
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from urllib.parse import quote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..session import shuffles_dropped
+
 
 def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Incoming rows whose key is not stored, one per key: append-only and repeatable.
@@ -101,7 +102,8 @@ def stage_run(df: DataFrame, path: str, run_id: str) -> int:
     """Write one run's rows to its own folder, over whatever an earlier try left there; returns the rows."""
     seen = Observation()
     rows = df.withColumn("run_id", F.lit(run_id)).observe(seen, F.count(F.lit(1)).alias("n"))
-    rows.write.mode("overwrite").parquet(f"{path}/rows/{_folder(run_id)}")
+    with shuffles_dropped(df.sparkSession):
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/rows/{_folder(run_id)}")
     return seen.get["n"]
 
 
@@ -124,8 +126,11 @@ def append_run(df: DataFrame, path: str, run_id: str, keys: Sequence[str]) -> in
         return 0
     _clear(spark, f"{path}/rows/{_folder(run_id)}")  # of a killed try: its files must not be listed by the read below
     rows = df.drop("run_id")
-    held = read_appended(spark, path, rows.schema).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)])
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
-    written = stage_run(rows.dropDuplicates(list(keys)).join(held, same, "left_anti"), path, run_id)
+    held = read_appended(spark, path, rows.schema).select(*keys, F.lit(True).alias("_held"))
+    # rows and held keys are dealt by key once: a group with a held key gives nothing, any other one row
+    both = rows.withColumn("_held", F.lit(False)).unionByName(held, allowMissingColumns=True)
+    first = Window.partitionBy(*keys).orderBy(F.desc("_held"))
+    fresh = both.withColumn("_place", F.row_number().over(first)).where("_place = 1 AND NOT _held").select(*rows.columns)
+    written = stage_run(fresh, path, run_id)
     commit_run(spark, path, run_id, written)
     return written
