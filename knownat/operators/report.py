@@ -40,9 +40,11 @@ def restatements(facts: DataFrame, meaning: Sequence[str] = MEANING) -> DataFram
     Meanings are compared by their columns, not by a hash made for each fact. A meaning
     has as many filings as restate one period of one company, so their sets stay small.
     """
-    filing = F.xxhash64("accession_no")
-    per = facts.groupBy(*meaning).agg(
-        F.count("*").alias("n_rows"), F.size(F.collect_set(filing)).cast("long").alias("n_accessions"),
+    filing = F.xxhash64("accession_no").alias("_filing")
+    # dealt as they are, a hash and a number: sets made before would be sorted, spilled and shuffled with a key each
+    own = facts.select(*meaning, filing, "normalized_numeric_value").repartition(*meaning)
+    per = own.groupBy(*meaning).agg(
+        F.count("*").alias("n_rows"), F.size(F.collect_set("_filing")).cast("long").alias("n_accessions"),
         F.size(F.collect_set("normalized_numeric_value")).cast("long").alias("n_values"),
     )
     return per.where((F.col("n_accessions") > 1) & (F.col("n_values") > 1))
