@@ -70,3 +70,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     with shuffles_dropped(spark):
         typed.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(typed.schema).parquet(path)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder, for short tables such as counts per value."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
